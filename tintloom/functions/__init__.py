@@ -1 +1 @@
-
+"""Scalar functions: colour spaces, optical density, names."""

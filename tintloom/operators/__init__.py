@@ -1 +1 @@
-
+"""Operators over slides, tiles and pixels."""

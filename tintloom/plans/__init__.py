@@ -1 +1 @@
-
+"""Whole runs, and the catalogue of queries."""

@@ -1,11 +1,319 @@
-"""The queries of the engine by name, each with the SQL it must equal."""
+"""The queries of the engine by name, over slides made from the ``events`` table, each with the SQL it must equal."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import IMAGE_SUFFIXES, MIN_TISSUE_PIXELS, MODES, WSI_SUFFIXES, JobConfig
+from ..functions import color, names
+from ..operators import grid, normalize, packed, pyramid, quality, stains, stats, tissue
+from ..sources import files, pixels as px, sinks
+from . import oracle, pipeline
+
+#: Tiles of the fixture slides.
+T = 10
+TILE = normalize.TILE
+OUT = ["slide_id", "tx", "ty", "x", "y", "r2", "g2", "b2"]
+
+
+def view(spark: SparkSession, d: str) -> DataFrame:
+    return px.from_events(spark.read.parquet(f"{d}/events.parquet"), T)
+
+
+def _slides(p: DataFrame) -> DataFrame:
+    return px.info(p)
+
+
+def rounded(df: DataFrame, columns, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def on_pixels(f):
+    """A query of the pixel view."""
+    return lambda spark, d: f(view(spark, d))
+
+
+def _literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _paths(spark):
+    return _literal(spark, [(p,) for p in oracle.PATHS], "path string")
+
+
+def _windows(p: DataFrame, kind: str):
+    g = grid.sampling_grid(_slides(p), kind, T)
+    return tissue.sampled(g, grid.windows(g, p, T), T)
+
+
+def _thumbnail(p):
+    return px.thumbnail(p, 4)
+
+
+def _filter(kind):
+    def go(p):
+        valid = tissue.biopsy_valid if kind == "biopsy" else tissue.tma_valid
+        return valid(_windows(p, kind)).select("slide_id", "seq", "x", "y", "valid")
+
+    return on_pixels(go)
+
+
+def _fallback(p):
+    return rounded(tissue.with_fallback(tissue.biopsy_valid(_windows(p, "biopsy"))).select("slide_id", "seq", "score", "valid", "valid_count", "total_count", "fallback", "used"), ["score"])
+
+
+def _save(p):
+    return tissue.save_skips(tissue.scored(p, TILE, T * T))
+
+
+def _manifest(p):
+    named = grid.full_grid(_slides(p), T).select(*TILE, "file")
+    return rounded(_save(p).join(named, TILE).select(*TILE, "file", "score", "skipped"), ["score"])
+
+
+def _counts(p):
+    return sinks.tile_counts(_save(p).withColumn("saved", ~F.col("skipped")), T).drop("skipped_coords")
+
+
+def _image_cdf(p):
+    c = stats.cdf(stats.dense(stats.histogram(p, ["slide_id"]), ["slide_id"]), ["slide_id"])
+    return rounded(c.groupBy("slide_id", "v").pivot("ch", list("RGB")).agg(F.max("cdf")).toDF("slide_id", "v", "r", "g", "b"), "rgb")
+
+
+def _hc(p):
+    return stats.cdf(stats.dense(stats.histogram(p, ["slide_id"]), ["slide_id"]), ["slide_id"])
+
+
+def _first_slide(p) -> normalize.Profile:
+    return normalize.cdf_profile(_hc(p.where("slide_id = 0")))
+
+
+def _match_lut(p):
+    return normalize.lut_rows(stats.cdf(stats.histogram(p, TILE), TILE), _first_slide(p)).select(*TILE, "ch", "v", "lut")
+
+
+def _match(p):
+    return normalize.histogram_match(p, _first_slide(p)).select(*OUT)
+
+
+def _match_bg(p):
+    return normalize.keep_background(normalize.histogram_match(p, _first_slide(p))).select(*OUT)
+
+
+def _packed_match(p):
+    out = px.unpack(normalize.normalize_tiles(px.pack(p), _first_slide(p)), T)
+    return out.withColumnsRenamed({"r": "r2", "g": "g2", "b": "b2"}).select(*OUT)
+
+
+def _packed_histogram(p):
+    return normalize.tile_histograms(px.pack(p))
+
+
+def _lab_stats(p, by):
+    return rounded(stats.lab_stats(p, by), stats.STATS)
+
+
+def _reinhard(scope):
+    def go(p):
+        profile = pipeline.fit(p, _slides(p), _config(3), 0)
+        source = stats.slide_lab_stats(p, _slides(p), "biopsy", T) if scope == "slide" else None
+        return normalize.apply(p, profile, source).select(*OUT)
+
+    return on_pixels(go)
+
+
+def _od_columns(p, f=tissue.with_od):
+    return rounded(f(p).select("slide_id", "x", "y", "od_r", "od_g", "od_b"), ["od_r", "od_g", "od_b"])
+
+
+def _od_round(p):
+    return tissue.with_od(p).select("slide_id", "x", "y", *(color.od_to_rgb(F.col(f"od_{c}") * 0.8 + 0.013).alias(f"{c}2") for c in "rgb"))
+
+
+def _guard(p):
+    n = tissue.od_tissue(p).groupBy(*TILE).agg(F.count("*").alias("n"))
+    rows = p.select(*TILE).distinct().join(n, TILE, "left").select(*TILE, F.coalesce("n", F.lit(0)).cast("long").alias("n_tissue"))
+    return rows.withColumn("use_default", F.col("n_tissue") < MIN_TISSUE_PIXELS)
+
+
+def _gram(p):
+    return rounded(stains.gram(tissue.od_tissue(p), ["slide_id"]), [f"s_{a}{b}" for a, b in stains.PAIRS])
+
+
+def _angles(p):
+    w = stains.angles(tissue.od_tissue(p), oracle.PLANE)
+    return rounded(w.groupBy("slide_id").agg(F.percentile("angle", F.lit(0.15)).alias("low"), F.percentile("angle", F.lit(0.85)).alias("high")), ["low", "high"])
+
+
+def _max_conc(p):
+    c = stains.with_concentrations(tissue.od_tissue(p))
+    return rounded(c.groupBy("slide_id").agg(F.percentile("c0", F.lit(0.99)).alias("max0"), F.percentile("c1", F.lit(0.99)).alias("max1")), ["max0", "max1"])
+
+
+def _fit(mode):
+    def go(spark, d):
+        p = view(spark, d)
+        profile = pipeline.fit(p, _slides(p), _config(mode), 0)
+        rows = [(i, *(float(x) for x in row), None if profile.max_concentrations is None else float(profile.max_concentrations[i])) for i, row in enumerate(profile.stains)]
+        return spark.createDataFrame(rows, "stain int, r double, g double, b double, max_concentration double")
+
+    return go
+
+
+def _default_stains(kind):
+    return normalize.stain_profile(kind, {"stain_matrix": color.DEFAULT_STAINS, "max_concentrations": (1.0, 1.0)})
+
+
+def _pad(p):
+    tiles = pyramid.retile(p, 13)
+    return pyramid.pad_white(tiles, tiles.select(*TILE).distinct(), 13)
+
+
+def _config(mode: int, **more) -> JobConfig:
+    return JobConfig(mode=mode, output_dir="/out", tile_size=T, **more)
+
+
+def _mode(mode: int):
+    def go(p):
+        profile = pipeline.fit(p, _slides(p), _config(mode), 0)
+        return pipeline.transform(p.where("slide_id > 0") if mode in (1, 3, 5, 6) else p, profile).select(*OUT)
+
+    return on_pixels(go)
+
+
+def _tiles_run(p):
+    profile = pipeline.fit(p, _slides(p), _config(1), 0)
+    kept = _save(p).where(~F.col("skipped")).select(*TILE)
+    return pipeline.transform(p.join(kept, TILE), profile).select(*OUT)
+
+
+def _images(kind):
+    def go(p):
+        first = p.where("slide_id = 0")
+        profile = _first_slide(p) if kind == "histogram" else normalize.stats_profile(stats.lab_stats(first, ["slide_id"]).first())
+        return pipeline.image_batch(p, profile)
+
+    return go
+
+
+def _qc(kind):
+    def go(p):
+        rows = _images(kind)(p)[1]
+        return rounded(rows, [c for c, t in rows.dtypes if t == "double"], 6 if kind == "histogram" else 5)
+
+    return on_pixels(go)
+
+
+def _wasserstein(p):
+    out = _images("histogram")(p)[0]
+    rows = quality.wasserstein(out.select("slide_id", "r", "g", "b"), out.select("slide_id", *(F.col(f"{c}2").alias(c) for c in "rgb")), ["slide_id"])
+    return rounded(rows, ["wasserstein"])
+
+
+def _run_log(p):
+    good = _counts(p.where("slide_id < 3")).select(F.concat(F.lit("s"), F.col("slide_id").cast("string")).alias("filename"), "tiles_total", "tiles_saved", "tiles_skipped", F.lit(MODES[1][0]).alias("method"), F.lit(None).cast("string").alias("error"))
+    bad = pipeline.log_rows(p.sparkSession, [{"filename": "s3.svs", "error": "unreadable"}]).select(*good.columns)
+    return good.unionByName(bad)
+
+
+def _timing(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("label"), (F.col("value") / 1000).alias("seconds"))
+    return rounded(quality.timing_report(t), ["total_s", "mean_ms", "max_ms"])
+
+
+def _preview(p):
+    s = _slides(p).select("slide_id", F.concat(F.lit("s"), F.col("slide_id").cast("string")).alias("stem"))
+    made = s.where("slide_id % 2 = 0").select(F.concat(F.lit("/out/"), "stem", F.lit("_norm.tiff")).alias("path"))
+    return files.outputs_of(s, made)
+
+
+def _grays(spark, d):
+    return _literal(spark, [(g,) for g in oracle.GRAYS], "v int").select("v", color.gray16_to_8(F.col("v")).alias("v8"))
+
+
+def _mpps(spark, d):
+    per_cm, unit = names.resolution(F.col("mpp"))
+    return _literal(spark, [(m,) for m in oracle.MPPS], "mpp string").select("mpp", per_cm.alias("resolution"), unit.alias("unit"))
+
+
+def _labels(spark, d):
+    key = names.mode_key(F.col("mode"))
+    return _literal(spark, [(k,) for k in MODES], "mode int").select("mode", key.alias("key"), names.mode_label(F.col("mode")).alias("label"), names.safe_name(key).alias("safe"))
+
 
 def queries() -> dict:
-    return {}
+    p = on_pixels
+    return {
+        "pixel_view": view,
+        "file_discovery_wsi": lambda s, d: files.with_suffix(_paths(s), WSI_SUFFIXES),
+        "file_discovery_images": lambda s, d: files.with_suffix(_paths(s), IMAGE_SUFFIXES),
+        "slide_info": p(_slides),
+        "thumbnail_box": p(_thumbnail),
+        "output_preview": p(_preview),
+        "tile_grid": p(lambda v: grid.full_grid(_slides(v), T)),
+        "biopsy_grid": p(lambda v: grid.sampling_grid(_slides(v), "biopsy", T)),
+        "tma_grid": p(lambda v: grid.sampling_grid(_slides(v), "tma", T)),
+        "sampled_tile_pixels": p(lambda v: grid.padded_windows(grid.sampling_grid(_slides(v), "biopsy", T), v, T)),
+        "tile_score": p(lambda v: rounded(tissue.scored(v, TILE).select(*TILE, "score"), ["score"])),
+        "mostly_white": p(lambda v: rounded(tissue.scored(v, TILE).select(*TILE, "white_frac", "mostly_white"), ["white_frac"])),
+        "biopsy_filter": _filter("biopsy"),
+        "tma_filter": _filter("tma"),
+        "filter_with_fallback": p(_fallback),
+        "tile_save_manifest": p(_manifest),
+        "tile_save_counts": p(_counts),
+        "background_mask": p(lambda v: tissue.background(v).select("slide_id", "x", "y", "bg")),
+        "all_background_tiles": p(lambda v: tissue.background(v).groupBy(*TILE).agg(F.bool_and("bg").alias("all_bg"))),
+        "channel_histogram": p(lambda v: stats.histogram(v, ["slide_id"])),
+        "channel_cdf": p(lambda v: rounded(_hc(v), ["cdf"])),
+        "image_cdf": p(_image_cdf),
+        "slide_histogram_stats": p(lambda v: rounded(stats.slide_cdf(v, _slides(v), "biopsy", T), ["cdf"])),
+        "batch_cdf_pixel_weighted": p(lambda v: rounded(stats.pixel_weighted_cdf(v), ["cdf"])),
+        "batch_cdf_slide_weighted": p(lambda v: rounded(stats.slide_weighted_cdf(stats.slide_cdf(v, _slides(v), "biopsy", T)), ["cdf"])),
+        "match_lut": p(_match_lut),
+        "histogram_match": p(_match),
+        "histogram_match_bg": p(_match_bg),
+        "packed_histogram_match_bg": p(_packed_match),
+        "packed_histogram": p(_packed_histogram),
+        "rgb_to_lab": p(lambda v: rounded(color.rgb_to_lab(v).select("slide_id", "x", "y", "l_", "a_", "b_"), ["l_", "a_", "b_"])),
+        "lab_to_rgb_roundtrip": p(lambda v: color.lab_to_rgb(color.rgb_to_lab(v)).select("slide_id", "x", "y", "r2", "g2", "b2")),
+        "lab_stats_tile": p(lambda v: _lab_stats(v, TILE)),
+        "lab_stats_slide": p(lambda v: rounded(stats.slide_lab_stats(v, _slides(v), "biopsy", T), stats.STATS)),
+        "lab_stats_batch_images": p(lambda v: rounded(stats.mean_stats(stats.lab_stats(v, ["slide_id"]), []), stats.STATS)),
+        "lab_stats_batch_wsi": p(lambda v: rounded(stats.mean_stats(stats.slide_lab_stats(v, _slides(v), "biopsy", T), []), stats.STATS)),
+        "reinhard_tile_scope": _reinhard("tile"),
+        "reinhard_slide_scope": _reinhard("slide"),
+        "rgb_to_od": p(_od_columns),
+        "od_to_rgb": p(_od_round),
+        "od_tissue_pixels": p(lambda v: _od_columns(v, tissue.od_tissue)),
+        "min_tissue_guard": p(_guard),
+        "od_gram": p(_gram),
+        "macenko_angles": p(_angles),
+        "macenko_max_conc": p(_max_conc),
+        "macenko_fit": _fit(5),
+        "vahadane_fit": _fit(6),
+        "ols_concentrations": p(lambda v: rounded(stains.with_concentrations(tissue.with_od(v)).select("slide_id", "x", "y", "c0", "c1"), ["c0", "c1"])),
+        "macenko_apply": p(lambda v: normalize.macenko(v, _default_stains("macenko")).select(*OUT)),
+        "vahadane_apply": p(lambda v: normalize.vahadane(v, _default_stains("vahadane")).select(*OUT)),
+        "edge_pad_white": p(_pad),
+        "gray16_to_8": _grays,
+        "mpp_resolution": _mpps,
+        "mode_labels": _labels,
+        "pyramid_levels": p(lambda v: pyramid.levels(_slides(v), T // 2)),
+        "pyramid_reduce2": p(lambda v: pyramid.reduce_by(v, 2)),
+        "wasserstein": p(_wasserstein),
+        "channel_qc": _qc("histogram"),
+        "lab_qc": _qc("reinhard"),
+        "run_log": p(_run_log),
+        "run_summary": p(lambda v: sinks.run_summary(_run_log(v))),
+        "error_rows": p(lambda v: _run_log(v).where("error is not null").select("filename", "error")),
+        "timing_report": _timing,
+        **{f"mode{m}_end_to_end": _mode(m) for m in MODES},
+        "tiles_end_to_end": p(_tiles_run),
+        "image_batch_histogram": _qc("histogram"),
+        "image_batch_reinhard": _qc("reinhard"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.build(WSI_SUFFIXES, IMAGE_SUFFIXES)

@@ -1 +1 @@
-
+"""Streams of tiles."""
