@@ -37,7 +37,7 @@ class Words(dict):
     The tokenizer drops white space and no word crosses it, so stretches can be encoded one by one.
     """
 
-    most = 150_000
+    most = 300_000
     #: Python takes these for white space, the tokenizer doesn't.
     odd = re.compile("[\x1c-\x1f]").search
     parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -57,24 +57,45 @@ class Words(dict):
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def normal(self, stretches: list[str]) -> list[str]:
+        """Normal forms: the tokenizer's own for what isn't ASCII, in one call; white space parts them safely."""
+        out = [s.lower() for s in stretches]
+        other = [i for i, s in enumerate(stretches) if not s.isascii()]
+        if other:
+            found = self.tokenizer.normalizer.normalize_str(" ".join([stretches[i] for i in other])).split(" ")
+            if len(found) != len(other):
+                found = [self.tokenizer.normalizer.normalize_str(stretches[i]) for i in other]
+            for i, s in zip(other, found, strict=True):
+                out[i] = s
+        return out
+
+    def words_in(self, s: str) -> list[str]:
+        if s.isascii():  # the commonest shapes, without the pattern
+            if s.isalpha():
+                return [s]
+            if s[-1] in ".,;:!?" and s[:-1].isalpha():
+                return [s[:-1], s[-1]]
+        return self.parts(s)
+
     def learn(self, stretches: list[str]) -> None:
         """Encode what is new, all words in one call; the last token of each word tells where it ends."""
-        found = {s: self.parts(self.tokenizer.normalizer.normalize_str(s)) for s in stretches}
-        new = [p for p in dict.fromkeys(p for parts in found.values() for p in parts) if p not in self.pieces]
+        found = [self.words_in(s) for s in self.normal(stretches)]
+        pieces = self.pieces
+        new = list({p for parts in found for p in parts if p not in pieces})
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(new):
                 data, begin = ids.tobytes(), 0
                 for p, end in zip(new, (ends * 4).tolist(), strict=True):
-                    self.pieces[p] = data[begin:end]
+                    pieces[p] = data[begin:end]
                     begin = end
             else:
-                self.pieces.update((p, self.plain(p)) for p in new)
-        for s, parts in found.items():
-            self[s] = b"".join([self.pieces[p] for p in parts])
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
+                pieces.update((p, self.plain(p)) for p in new)
+        for s, parts in zip(stretches, found, strict=True):
+            self[s] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        if len(pieces) > self.most:
+            pieces.clear()
 
     def encode(self, text: str) -> bytes:
         if self.odd(text):
