@@ -152,7 +152,7 @@ def shingle_hashes(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.nda
     counts = np.bincount(of, minlength=len(texts))
     if len(short := np.flatnonzero((counts > 0) & (counts < width))):
         first = np.searchsorted(of, short)
-        more = [sum((words[i + k] * factor[k] for k in range(1, int(c))), words[i] * factor[0]) for i, c in zip(first, counts[short], strict=True)]
+        more = [(words[i : i + c] * np.array(factor[:c])).sum() for i, c in zip(first, counts[short].tolist(), strict=True)]
         which = np.concatenate([which, short])
         value = np.concatenate([value, np.array(more, np.uint64)])
         order = np.argsort(which, kind="stable")
