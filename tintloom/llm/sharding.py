@@ -45,7 +45,11 @@ def _with_range(rows: DataFrame, splitters: list[tuple]) -> DataFrame:
 def _sample(rows: DataFrame, most: int) -> list[tuple]:
     """At most `most` keys, each row's chance being in proportion to its size (the smallest exponential marks)."""
     uniform = (F.shiftrightunsigned(F.xxhash64("salt", F.lit(7)), 11) + 0.5) / float(2**53)
-    return sorted(tuple(r) for r in rows.select(*KEY, (-F.log(uniform) / F.col("size")).alias("mark")).orderBy("mark").limit(most).select(*KEY).collect())
+    marked = rows.select(*KEY, (-F.log(uniform) / F.col("size")).alias("mark"))
+    # about 1.5 * most rows have marks below this, so no more than that are sorted, however many tasks there are
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    below = marked.where(F.col("mark") <= 1.5 * most / max(total, 1))
+    return sorted(tuple(r) for r in below.orderBy("mark").limit(most).select(*KEY).collect())
 
 
 def boundaries(rows: DataFrame, n_shards: int, sample: int, splitters: int, exact_rows: int) -> list[tuple]:
