@@ -1,12 +1,12 @@
-"""The queries of this subpackage: one for each operator, and the corpus pipeline."""
+"""The queries of this subpackage: one for each operator."""
 
 from __future__ import annotations
 
-from . import ann, bpe, licenses, lines, minhash, packing, semdedup, sharding, toxicity
+from . import ann, bpe, chat, licenses, lines, minhash, packing, semdedup, sharding, toxicity
 
 
 def queries() -> dict:
-    found = [lines.op2_line_dedup, semdedup.op3_embedding_dedup, ann.op4_one_bit_codes, bpe.op5_byte_bpe, minhash.op6_bag_minhash, toxicity.op7_toxicity, packing.op8_packing, licenses.op9_license_templates, sharding.op10_sampled_splitters]
+    found = [chat.op1_chat_format, lines.op2_line_dedup, semdedup.op3_embedding_dedup, ann.op4_one_bit_codes, bpe.op5_byte_bpe, minhash.op6_bag_minhash, toxicity.op7_toxicity, packing.op8_packing, licenses.op9_license_templates, sharding.op10_sampled_splitters]
     return {f.__name__: f for f in found}
 
 
