@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def levels(slides: DataFrame, tile: int) -> DataFrame:
-    """Rows (slide_id, level, factor, w, h): halving while both sides stay above two tiles, one level at least."""
+    """Rows (slide_id, level, factor, w, h): halving while both sides stay above two tiles; there is a first level in any case."""
     k = F.explode(F.sequence(F.lit(1), F.lit(20))).alias("level")
     rows = slides.select("slide_id", "width", "height", k).withColumn("factor", F.expr("shiftleft(1, level)"))
-    # the sides before this halving
-    large = F.expr(f"width div (factor div 2) > {2 * tile} and height div (factor div 2) > {2 * tile}")
+    large = F.expr(f"width div factor > {2 * tile} and height div factor > {2 * tile}")
     return rows.where(large | (F.col("level") == 1)).select("slide_id", "level", "factor", F.expr("cast((width + factor - 1) div factor as int)").alias("w"), F.expr("cast((height + factor - 1) div factor as int)").alias("h"))
 
 

@@ -283,7 +283,7 @@ def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
         "gray16_to_8": f"SELECT v, CAST(floor(v::DOUBLE / {d(65535)} * {d(255)}) AS INT) v8 FROM (VALUES {_values([(g,) for g in GRAYS])}) t(v)",
         "mpp_resolution": f"SELECT mpp, CASE WHEN ok THEN 10000.0::DOUBLE / n ELSE 0.0::DOUBLE END resolution, CASE WHEN ok THEN 3 ELSE 1 END unit FROM (SELECT mpp, n, n IS NOT NULL AND n <> 0 ok FROM (SELECT mpp, try_cast(coalesce(mpp, '0.25') AS DOUBLE) n FROM (VALUES {_values([(m,) for m in MPPS])}) t(mpp)))",
         "mode_labels": f"SELECT \"mode\", key, label, replace(replace(key, ' ', '_'), '–', '-') safe FROM (VALUES {_values([(k, *v) for k, v in MODES.items()])}) t(\"mode\", key, label)",
-        "pyramid_levels": "SELECT slide_id, CAST(k AS INT) AS level, CAST(f AS INT) factor, CAST((width + f - 1) // f AS INT) w, CAST((height + f - 1) // f AS INT) h FROM (SELECT sl.*, k, CAST(pow(2, k) AS BIGINT) f FROM sl CROSS JOIN range(1, 21) t(k)) WHERE k = 1 OR (width // (f // 2) > 10 AND height // (f // 2) > 10)",
+        "pyramid_levels": "SELECT slide_id, CAST(k AS INT) AS level, CAST(f AS INT) factor, CAST((width + f - 1) // f AS INT) w, CAST((height + f - 1) // f AS INT) h FROM (SELECT sl.*, k, CAST(pow(2, k) AS BIGINT) f FROM sl CROSS JOIN range(1, 21) t(k)) WHERE k = 1 OR (width // f > 10 AND height // f > 10)",
         "pyramid_reduce2": f"SELECT slide_id, CAST(x // 2 AS INT) x, CAST(y // 2 AS INT) y, {', '.join(f'CAST((2 * sum({c}) + count(*)) // (2 * count(*)) AS INT) {c}' for c in 'rgb')} FROM px GROUP BY slide_id, x // 2, y // 2",
         "wasserstein": _wasserstein("im"),
         "channel_qc": f"SELECT * FROM ({_qc('im')}) JOIN ({_wasserstein('im')}) USING (slide_id, ch)",
