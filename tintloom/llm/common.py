@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +38,58 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_at = path
+    return written
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since one text can be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) != rows:
-        spark.conf.set(key, str(rows))
+def discard(written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    jvm, spark = written.sparkSession._jvm, written.sparkSession
+    place = jvm.org.apache.hadoop.fs.Path(written.written_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 20_000, most_bytes: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch, since one text can be very long, and its rows."""
+    for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", most_bytes)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) != str(value):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+#: Bits of a filter that tells which hashes are wanted; its size doesn't depend on the corpus.
+FILTER_BITS = 1 << 26
+
+
+def wanted_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a long column modulo FILTER_BITS. What it lets through by chance is to be joined away."""
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), 0).alias("one"), place.bitwiseAND(63).cast("int").alias("at"))
+    words = words.select("word", F.expr("shiftleft(one, at)").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for part in words.toArrow().to_batches():  # FILTER_BITS / 64 rows at most
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def wanted(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned values may be wanted."""
+    place = values % np.uint64(FILTER_BITS)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def text_where(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) of the documents whose id is among ids (doc_id): few others are moved."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    bits = spark.sparkContext.broadcast(wanted_filter(ids, "doc_id"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text string").join(ids, "doc_id", "left_semi")
 
 
 def text_of(column: str = "text") -> Column:
@@ -72,7 +117,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, now = now, materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             break
