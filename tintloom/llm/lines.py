@@ -5,12 +5,12 @@ connected lines form a class; of each class the occurrence with the smallest (do
 
 Candidates: a line of length l is cut into edits + 1 even segments, of which a line within reach must hold one
 unchanged. So segments are indexed by length, ordinal and hash, and a line probes with those of its substrings whose
-place can match: of lengths l down to l - edits, shifted by no more than the edits before and behind allow. A
-bit vector of the parities of hashed character pairs (an edit changes 4 at most) screens candidates before banded bit-
-parallel edit distance decides. A very frequent segment, found on a sample of lines, is split: two screened lines
-that share it agree in one of 4 * edits + 1 parts of their bit vectors, which then are part of the key. The sample
-only chooses the way; both ways are exact. Within a segment, lines are first compared with one line; then only with
-those of other components. Lines are known by 64-bit hashes.
+place can match: of lengths l down to l - edits, shifted by no more than the edits before and behind allow. Bit
+vectors of the parities of hashed character pairs (an edit changes 4 at most) and of hashed characters (2) screen
+candidates before banded bit-parallel edit distance decides. A very frequent segment, found on a sample of lines, is
+split: two screened lines that share it agree in one of 4 * edits + 1 parts of their bit vectors, which then are part
+of the key. The sample only chooses the way; both ways are exact. Within a segment, lines are first compared with one
+line; then only with those of other components. Lines are known by 64-bit hashes.
 
 Lines shorter than ``least_near`` characters are compared exactly, those shorter than ``least`` not at all and stay.
 Nulls count as empty texts; a text without lines to drop stays as it is; a document whose lines are all dropped goes.
@@ -25,10 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Powers, components, id_of, materialize, mix, slices, small_batches, table, text_of
+from .common import NO_ID, Powers, components, id_of, materialize, mix, slices, small_batches, table, text_of, wanted, wanted_filter
 
-#: Bits of the filter that tells which lines' texts are wanted; its size doesn't depend on the corpus.
-FILTER_BITS = 1 << 26
 #: A key that occurs so often in the sample of lines (one in SAMPLE) is split; at most so many keys are.
 SAMPLE, FREQUENT, MOST_SPLIT = 64, 4, 50_000
 _K1, _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -65,15 +63,21 @@ class Lines:
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * _K1)
 
+    def _parities(self, classes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        bit = np.zeros(len(self.codes) + 1, np.uint64)
+        np.left_shift(np.uint64(1), classes, out=bit[1 : len(classes) + 1])
+        np.bitwise_xor.accumulate(bit, out=bit)
+        return bit[end] ^ bit[begin]
+
     def parities(self, which: np.ndarray) -> np.ndarray:
         """64 parities of the hashed character pairs of each line."""
         c = self.codes.astype(np.uint64)
-        bit = np.zeros(len(c) + 1, np.uint64)
-        pairs = mix(c[:-1] * _K2 + c[1:] * _K3) >> np.uint64(58)
-        bit[1 : len(c)] = np.uint64(1) << pairs
-        np.bitwise_xor.accumulate(bit, out=bit)
-        begin, end = self.begin[which], np.maximum(self.end[which] - 1, self.begin[which])
-        return bit[end] ^ bit[begin]
+        begin = self.begin[which]
+        return self._parities((c[:-1] * _K2 + c[1:] * _K3) >> np.uint64(58), begin, np.maximum(self.end[which] - 1, begin))
+
+    def letters(self, which: np.ndarray) -> np.ndarray:
+        """64 parities of the hashed characters of each line."""
+        return self._parities(self.codes.astype(np.uint64) * _K1 >> np.uint64(58), self.begin[which], self.end[which])
 
 
 def _segments(size: np.ndarray, ordinal: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +101,18 @@ def index_keys(lines: Lines, which: np.ndarray, edits: int) -> np.ndarray:
 
 
 def probe_keys(lines: Lines, which: np.ndarray, edits: int):
-    """For each substring that may match an indexed segment: the lines, the key, and how much longer the line is."""
+    """For each substring that may match an indexed segment: the lines, the key, and how much longer the line is.
+
+    A line's own segments are left out: they are indexed, and an indexed line also probes.
+    """
     size, begin = lines.size[which], lines.begin[which]
     for less in range(edits + 1):
         short = size - less
         for i in range(edits + 1):
             at, length = _segments(short, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                if not less and not shift:
+                    continue
                 fits = (at + shift >= 0) & (at + shift + length <= size) & (short > edits)
                 yield which[fits], _key(lines, (begin + at + shift)[fits], length[fits], short[fits], i), less
 
@@ -156,8 +165,8 @@ def _schema(docs: DataFrame) -> str:
 
 
 def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> DataFrame:
-    """Rows (doc_id, lines array<struct<number, h, size, parities>>, sample array<long>)."""
-    kind = pa.struct([("number", pa.int32()), ("h", pa.int64()), ("size", pa.int32()), ("parities", pa.int64())])
+    """Rows (doc_id, lines array<struct<number, h, parities, letters>>, sample array<long>)."""
+    kind = pa.struct([("number", pa.int32()), ("h", pa.int64()), ("parities", pa.int64()), ("letters", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -166,7 +175,7 @@ def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> Dat
                 lines = Lines(texts[a:b], least)
                 w = lines.chosen
                 h = lines.hashes(lines.begin[w], lines.end[w])
-                rows = pa.StructArray.from_arrays([pa.array(lines.number[w].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(lines.size[w].astype(np.int32)), pa.array(lines.parities(w).view(np.int64))], fields=list(kind))
+                rows = pa.StructArray.from_arrays([pa.array(lines.number[w].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(lines.parities(w).view(np.int64)), pa.array(lines.letters(w).view(np.int64))], fields=list(kind))
                 ends = np.searchsorted(lines.of[w], np.arange(b - a + 1)).astype(np.int32)
                 some = (lines.size[w] >= least_near) & (h % np.uint64(SAMPLE) == 0)
                 keys = index_keys(lines, w[some], edits)
@@ -174,11 +183,11 @@ def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "lines", "sample"])
 
     rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lines array<struct<number: int, h: long, size: int, parities: long>>, sample array<long>")
+    return rows.mapInArrow(run, "doc_id long, lines array<struct<number: int, h: long, parities: long, letters: long>>, sample array<long>")
 
 
 def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) -> DataFrame:
-    """Rows (key, h, kind): kind is -1 for an indexed segment, else how much longer the probing line is."""
+    """Rows (key, h, kind): kind is -1 for a line's own segment, else how much longer the probing line is."""
     parts = 4 * edits + 1
 
     def run(batches):
@@ -196,8 +205,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) ->
                 w = w[new]
                 if len(known) < 300_000:
                     known.update(all_h[w].tolist())
-                parities = np.zeros(len(all_h), np.uint64)
-                parities[w] = lines.parities(w)
+                parities = None
                 index = index_keys(lines, w, edits)
                 groups = [(w, index[:, i], -1) for i in range(edits + 1)] + list(probe_keys(lines, w, edits))
                 for which, keys, kind in groups:
@@ -205,6 +213,9 @@ def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) ->
                     hot = frequent[np.minimum(at, len(frequent) - 1)] == keys if len(frequent) else np.zeros(len(keys), bool)
                     out_k, out_h = [keys[~hot]], [all_h[which[~hot]]]
                     if hot.any():
+                        if parities is None:
+                            parities = np.zeros(len(all_h), np.uint64)
+                            parities[w] = lines.parities(w)
                         for sub in _split(keys[hot], parities[which[hot]], parts):
                             out_k.append(sub)
                             out_h.append(all_h[which[hot]])
@@ -254,19 +265,9 @@ def shared(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, h long, kind byte")
 
 
-def wanted_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash modulo FILTER_BITS. Its size is fixed; what it lets through by chance is joined away."""
-    place = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for part in words.toArrow().to_batches():  # FILTER_BITS / 64 rows at most
-        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return out.view(np.uint64)
-
-
 def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
     """Rows (h, line) of the lines whose hash is among ids (h)."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(ids, "h"))
 
     def run(batches):
         known: set[int] = set()
@@ -276,8 +277,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
                 lines = Lines(texts[a:b], least_near)
                 w = lines.chosen
                 h = lines.hashes(lines.begin[w], lines.end[w])
-                place = h % np.uint64(FILTER_BITS)
-                some = np.flatnonzero(bits.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                some = np.flatnonzero(wanted(bits.value, h))
                 if len(known) > 300_000:
                     known.clear()
                 out_h, out = [], []
@@ -326,22 +326,25 @@ def line_classes(docs: DataFrame, occ: DataFrame, least_near: int, edits: int) -
     rows = materialize(shared(keyed(docs, frequent, least_near, edits)), "shared")
     if rows.isEmpty():
         return None
-    lines = occ.select(F.explode("lines").alias("l")).select("l.h", "l.parities").join(rows.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    ids = rows.select("h").distinct()
+    lines = occ.select(F.explode("lines").alias("l")).select("l.h", "l.parities", "l.letters").join(ids, "h", "left_semi").dropDuplicates(["h"])
     rows = materialize(rows.join(lines, "h"), "screened")
-    near = F.bit_count(F.col("x.parities").bitwiseXOR(F.col("y.parities"))) <= 4 * edits
+    texts = materialize(line_texts(docs, ids, least_near), "lines")
+    apart = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    near = (apart("parities") <= 4 * edits) & (apart("letters") <= 2 * edits)
     links, found, done = None, None, None
     for step in range(2):
         if found is None:
             part = rows.withColumn("component", F.col("h"))
         else:
-            part = rows.join(found, rows.h == found.node, "left").select("key", "h", "kind", "parities", F.coalesce("component", "h").alias("component"))
+            part = rows.join(found, rows.h == found.node, "left").select(*rows.columns, F.coalesce("component", "h").alias("component"))
             mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             part = materialize(part.join(mixed, "key", "left_semi"), "mixed")
-        index, probe = part.where("kind = -1"), part.where("kind >= 0")
+        index, probe = part.where("kind = -1"), part
         if step == 0:
-            index = index.groupBy("key").agg(F.min(F.struct("h", "parities", "component")).alias("lead")).select("key", "lead.*")
+            index = index.groupBy("key").agg(F.min(F.struct("h", "parities", "letters", "component")).alias("lead")).select("key", "lead.*")
         # lines of equal length meet both ways round: one is enough once all are compared
-        order = F.col("x.h") != F.col("y.h") if step == 0 else (F.col("y.kind") > 0) | (F.col("x.h") < F.col("y.h"))
+        order = F.col("x.h") != F.col("y.h") if step == 0 else (F.col("y.kind") >= 0) | (F.col("x.h") < F.col("y.h"))
         pairs = index.alias("x").join(probe.alias("y"), F.col("x.key") == F.col("y.key")).where(near & order & (F.col("x.component") != F.col("y.component")))
         pairs = pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
         if done is not None:
@@ -349,8 +352,6 @@ def line_classes(docs: DataFrame, occ: DataFrame, least_near: int, edits: int) -
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        texts = materialize(line_texts(docs, ids, least_near), "lines")
         good = materialize(verify(pairs, texts, edits), "links")
         done = pairs if done is None else done.unionByName(pairs)
         links = good if links is None else links.unionByName(good)
