@@ -112,7 +112,7 @@ def links(units: DataFrame, centres: np.ndarray, least: float) -> tuple[DataFram
 def near_duplicates(rows: DataFrame, *, least: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", most_sample: int = 20_000, cell_size: int = 500, most_cells: int = 1024) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row.
 
-    About ``cell_size`` vectors share a cell, with at most ``most_cells`` cells.
+    About ``cell_size`` vectors of the commonest label share a cell, with at most ``most_cells`` cells.
     """
     small_batches(rows.sparkSession)
     units = materialize(unit_vectors(rows, vec_id, embedding, label), "units")
@@ -120,7 +120,8 @@ def near_duplicates(rows: DataFrame, *, least: float = 0.93, vec_id: str = "vec_
     # ids that repeat on different vectors would make classes share a representative
     classes = materialize(classes.withColumn("rep_id", F.col("rep")).withColumn("rep", F.xxhash64("label", "unit")), "classes")
     sample = sample_rows(units, most_sample)
-    n = classes.count()
+    # cells are shared by all labels, but only vectors of one label meet in them
+    n = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     centres = spherical_kmeans(sample, max(1, min(most_cells, n // cell_size))) if len(sample) else sample
     counts, chosen = links(classes, centres, least)
     ids = classes.select(F.col("rep"), "rep_id")
