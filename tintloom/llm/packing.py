@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, materialize, small_batches, table, text_of
+from .common import id_of, materialize, slices, small_batches, table, text_of
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -31,10 +32,11 @@ RANKED = 1000
 SLOTS = "length int, low long, high long, each long, first_sequence long, first_offset long"
 
 
-class Words(dict):
-    """Maps a stretch without white space to its ids as little-endian unsigned 32-bit numbers.
+class Words:
+    """Maps stretches without white space to their ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and no word crosses it, so stretches can be encoded one by one.
+    The tokenizer drops white space and no word crosses it, so stretches can be encoded one by one. What was met is
+    kept in two generations, so that it stays bounded.
     """
 
     most = 300_000
@@ -45,12 +47,12 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         ids = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(ids.values()) + 1, bool)
         self.closes[[i for t, i in ids.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -93,24 +95,25 @@ class Words(dict):
             else:
                 pieces.update((p, self.plain(p)) for p in new)
         for s, parts in zip(stretches, found, strict=True):
-            self[s] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+            self.known[s] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
         if len(pieces) > self.most:
             pieces.clear()
 
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):
-            return self.plain(text)
-        stretches = text.split()
-        new = {s for s in stretches if s not in self}
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts; what is new in any of them is encoded at once."""
+        parted = [t.split() for t in texts]
+        if len(self.known) >= self.most:
+            self.older, self.known = self.known, {}
+        new = list(filterfalse(self.known.__contains__, set(chain.from_iterable(parted))))
         if new:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-                new = set(stretches)
-            again = [s for s in new if s in self.older]
-            self.update((s, self.older[s]) for s in again)
-            self.learn([s for s in new if s not in self.older])
-        return b"".join([self[s] for s in stretches])
+            older = self.older
+            self.known.update((s, older[s]) for s in new if s in older)
+            self.learn([s for s in new if s not in older])
+        get = self.known.__getitem__
+        return [self.plain(t) if self.odd(t) else b"".join(map(get, p)) for t, p in zip(texts, parted, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(2)
@@ -133,10 +136,12 @@ def encode_pieces(docs: DataFrame, capacity: int, path: str | None = None) -> Da
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             lengths, crcs = [], []
-            for text in batch.column(2):
-                data = memoryview(code.encode(text.as_py()) + end)
-                lengths.append(len(data) // 4)
-                crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts, 200_000):
+                for ids in code.encode_all(texts[a:b]):
+                    data = memoryview(ids + end)
+                    lengths.append(len(data) // 4)
+                    crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=names)
 
     rows = docs.select(id_of().alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), text_of().alias("text"))
