@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a hashed character n-gram in the lower-cased text with its white space collapsed. Its
-value is the log ratio of its smoothed document frequencies in toxic and other texts; logistic regression with an
+A feature is that a hashed character n-gram occurs once, twice or four times at least in the lower-cased text with
+its white space collapsed. Its value is the log ratio of its smoothed document frequencies in toxic and other texts; logistic regression with an
 L2 penalty weighs these values. N-grams whose frequencies hardly differ are left out. Labels are learnt only from
 rows whose crc32(doc_id as text) mod 5 is not 0.
 
@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import id_of, materialize, mix, slices, small_batches, table, text_of
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
+#: N-grams are hashed into 2**BITS buckets; a bucket gives a feature for each of LEVELS that its count in a text reaches.
 BITS = 18
+LEVELS = (1, 2, 4)
+SPACE = len(LEVELS) << BITS
 
 
 @dataclass(frozen=True)
 class Model:
-    """place: for each bucket its feature or -1; weight: of each feature, ratio included."""
+    """place: for each place in the feature space its number or -1; weight: of each feature, ratio included."""
 
     place: np.ndarray
     weight: np.ndarray
@@ -55,16 +58,26 @@ def ngrams(texts: list[str]):
 
 
 def _distinct(texts: list[str], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets (with place: features) of each text."""
+    """The features of each text: places in the feature space, or with ``place`` (what is known of it) their numbers."""
+    used = None if place is None else (place.reshape(len(LEVELS), -1) >= 0).any(0)
     keys = []
     for of, bucket in ngrams(texts):
-        if place is not None:
-            bucket = place[bucket]
-            known = bucket >= 0
+        if used is not None:
+            known = used[bucket]
             of, bucket = of[known], bucket[known]
         keys.append(of.astype(np.int64) << 32 | bucket)
-    keys = np.unique(np.concatenate(keys))
-    return keys >> 32, (keys & 0xFFFFFFFF).astype(np.int64)
+    keys = np.concatenate(keys)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    found = np.concatenate([keys[counts >= least] + (level << BITS) for level, least in enumerate(LEVELS)])
+    of, feature = found >> 32, found & 0xFFFFFFFF
+    if place is not None:
+        feature = place[feature]
+        of, feature = of[feature >= 0], feature[feature >= 0]
+    order = np.argsort(of, kind="stable")
+    return of[order], feature[order].astype(np.int64)
 
 
 def _fit_weights(of: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
@@ -98,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_byt
     sample = materialize(texts.join(F.broadcast(kept_ids), "doc_id").repartition(8, "doc_id"), "labelled")
 
     def frequencies(batches):
-        both = np.zeros((2, 1 << BITS), np.int64)
+        both = np.zeros((2, SPACE), np.int64)
         for batch in batches:
             own, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(int)
             for a, b in slices(own):
@@ -109,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_byt
 
     totals = {int(r["y"]): r["count"] for r in sample.groupBy("y").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    none = Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log((n1 + 1e-9) / (n0 + 1e-9))) if n1 + n0 else -745.0)
+    none = Model(np.full(SPACE, -1, np.int32), np.zeros(0), float(np.log((n1 + 1e-9) / (n0 + 1e-9))) if n1 + n0 else -745.0)
     if not n0 or not n1:
         return none
     df = sample.select("text", "y").mapInArrow(frequencies, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
