@@ -206,11 +206,11 @@ def shingle_hashes(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.nda
     return which, mix(value)
 
 
-def slices(texts: list[str], most: int = 2_000_000):
+def slices(texts: list[str], most: int = 2_000_000, most_texts: int = 1_000):
     """Index ranges of texts of about `most` characters, so that working arrays stay small."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > most:
+        if i > begin and (held + len(t) > most or i - begin >= most_texts):
             yield begin, i
             begin, held = i, 0
         held += len(t)

@@ -268,10 +268,11 @@ def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: the one with the smallest doc_id, repeated rows once. Texts without words stay."""
     found = classes(docs.select("doc_id", "text"), **options)
-    stays = found.where("class_id <=> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    stays = materialize(found.where("class_id <=> doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times")), "stays")
+    kept = lambda times: docs.join(stays.where(times), id_of().eqNullSafe(F.col("__id"))).drop("__id", "__times")
+    again = kept("__times > 1")
     empty = F.length(F.regexp_replace(text_of(), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")) == 0
-    kept = docs.join(stays, id_of().eqNullSafe(F.col("__id"))).drop("__id")
-    return kept.where(~empty).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(empty))
+    return kept("__times = 1").unionByName(again.where(~empty).dropDuplicates(["doc_id", "text"])).unionByName(again.where(empty))
 
 
 def op6_bag_minhash(spark, sf_dir):
