@@ -159,4 +159,4 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: l
 
 
 def op9_license_templates(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("notices")

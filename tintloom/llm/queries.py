@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, licenses, lines, minhash, packing, semdedup, sharding, toxicity
+from . import ann, bpe, chat, licenses, lines, minhash, oracle, packing, semdedup, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
