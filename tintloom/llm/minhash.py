@@ -9,9 +9,9 @@ after the latest register, are dropped, so most of the tree is never drawn.
 
 Registers are banded; candidates whose one-bit sketches (the registers' lowest bits) are far apart are left out, the
 others are verified exactly by the overlap of their multisets. Within a bucket, each member
-is first compared with one leader, the member found in the fullest buckets; then, as long as candidates lie in
-different components, with the leaders among those; at last all candidate pairs that still lie in different
-components. So every candidate pair is verified or already connected, and a bucket of copies is not paired out.
+is first compared with one leader, the member found in the fullest buckets (``rounds`` adds rounds with other leaders);
+then all candidate pairs that still lie in different components are. So every candidate pair is verified or already
+connected, and a bucket of copies is not paired out.
 
 Documents with equal multisets form one class at once. Nulls count as empty; a text without words is a class of its
 own and kept. A text with fewer words than a shingle has one shingle of all its words. Rows that share a doc_id are
@@ -210,7 +210,7 @@ def _alike(left: str, right: str):
     return apart <= FAR
 
 
-def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 1) -> DataFrame:
     """Rows (doc_id, n_shingles, class_id), one for each row of docs: the smallest doc_id of those connected by links."""
     coded = materialize(sign(docs, width), "signed")
     some = coded.where("n > 0")
