@@ -18,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application, where the session names no folder.
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tintloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        own = spark.sparkContext.applicationId
+        if own not in _folders:
+            _folders[own] = "file://" + tempfile.mkdtemp(prefix="tintloom-")
+        found = _folders[own]
     return found.rstrip("/")
 
 
