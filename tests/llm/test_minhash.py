@@ -78,3 +78,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (7, 7), (-3, 160)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: -3 for i in range(100, 161)}, -3: -3, 5: 5, 7: 5, 9: 5}
+
+
+def test_null_and_repeated_ids_on_different_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(14)]
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in texts]
+    # texts without an id, and each again with one, with near copies that have ids
+    rows = [(None, t) for t in texts[:8]] + [(100 + k, t) for k, t in enumerate(texts[:8])] + [(200 + k, t) for k, t in enumerate(near[:8])]
+    # one id on four texts, each with a near copy; another on a text and none; others alone
+    rows += [(50, t) for t in texts[8:12]] + [(60 + k, t) for k, t in enumerate(near[8:12])] + [(70, texts[12]), (70, ""), (71, near[12]), (72, "")]
+    rows += [(80, texts[13]), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {None: None} | {i: None for k in range(8) for i in (100 + k, 200 + k)} | {i: 50 for i in (50, 60, 61, 62, 63)} | {70: 70, 71: 70, 72: 72, 80: 80}
+    out = minhash.classes(df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["class_id"] == want[r["doc_id"]], r
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in minhash.dedup(df).collect()))
+    assert kept == sorted([(i or 0, t or "") for i, t in rows if i in (None, 50, 70, 72, 80)])

@@ -13,9 +13,11 @@ is first compared with one leader, the member found in the fullest buckets (``ro
 then all candidate pairs that still lie in different components are. So every candidate pair is verified or already
 connected, and a bucket of copies is not paired out.
 
-Documents with equal multisets form one class at once. Nulls count as empty; a text without words is a class of its
-own and kept. A text with fewer words than a shingle has one shingle of all its words. Rows that share a doc_id are
-taken as one document (their classes join); null ids count as one id. An empty table gives an empty result.
+Candidates are found and verified between multisets, each with its own bands, sketch and text, whatever the ids of
+its rows; documents with equal multisets form one class at once. Rows that share a doc_id are taken as one document:
+the classes of all its texts join afterwards; null ids count as one id. Nulls count as empty; a text without words is
+a class of its own and kept, unless its id has other texts. A text with fewer words than a shingle has one shingle of
+all its words. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, discard, id_of, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, text_where
+from .common import NO_ID, components, discard, id_of, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, wanted, wanted_filter
 
 BANDS, WIDTH = 30, 5
 REGISTERS = 1024
@@ -196,10 +198,39 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """Rows (rep, text), one for each multiset of keys (rep, doc_id, f1, f2): few other texts are moved."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    # one filter for the ids, which are at hand, and the fingerprints, which tell the texts of one id apart
+    bits = spark.sparkContext.broadcast(wanted_filter(keys.select(F.col("doc_id").alias("v")).unionByName(keys.select(F.col("f1").alias("v"))), "v"))
+
+    def run(batches):
+        known: set[tuple[int, int]] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                f1, f2 = fingerprints(*multisets(texts[a:b], width), b - a)
+                some = np.flatnonzero(wanted(bits.value, f1.view(np.uint64)))
+                if len(known) > 300_000:
+                    known.clear()
+                use = []
+                for i in some.tolist():
+                    # copies that this task has met already needn't be sent again
+                    if (key := (int(f1[i]), int(f2[i]))) not in known:
+                        known.add(key)
+                        use.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(f1[use]), pa.array(f2[use]), pa.array([texts[a + i] for i in use], pa.string())], names=["f1", "f2", "text"])
+
+    rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
+    found = rows.mapInArrow(run, "f1 long, f2 long, text string")
+    return found.join(keys.select("rep", "f1", "f2"), ["f1", "f2"]).select("rep", "text").dropDuplicates(["rep"])
+
+
 def _sketch(rows: DataFrame, sketches: DataFrame, column: str, prefix: str) -> DataFrame:
-    """rows with the sketch of a column's document."""
-    names = [f"{prefix}{i}" for i in range(WORDS)]
-    return rows.join(sketches.toDF(column, *names), column)
+    """rows with the sketch of a column's multiset."""
+    return rows.join(sketches.select(F.col("rep").alias(column), *(F.col(f"w{i}").alias(f"{prefix}{i}") for i in range(WORDS))), column)
 
 
 def _alike(left: str, right: str):
@@ -212,15 +243,18 @@ def _alike(left: str, right: str):
 
 def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 1) -> DataFrame:
     """Rows (doc_id, n_shingles, class_id), one for each row of docs: the smallest doc_id of those connected by links."""
-    coded = materialize(sign(docs, width), "signed")
-    some = coded.where("n > 0")
-    groups = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # one row for each multiset: its smallest document stands for it
-    alone = some.join(groups, ["f1", "f2"]).where("doc_id = rep")
-    unique = alone.select("rep", F.explode("bands").alias("key")).distinct()
+    # texts without words are told apart by their ids
+    signed = sign(docs, width).withColumn("f1", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.col("doc_id")))
+    coded = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    same = ["n", "f1", "f2"]
+    groups = coded.groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"))
+    own = materialize(coded.select("doc_id", *same).join(groups, same).select("doc_id", "n", "rep", "low"), "own")
+    # one row for each multiset: its first row stands for it
+    alone = coded.where("n > 0").join(groups, same).where("row = rep")
+    unique = alone.select("rep", F.explode("bands").alias("key"))
     sizes = unique.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(unique.join(sizes, "key").select("key", "rep", "size"), "buckets")
-    sketches = alone.select("rep", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS))).dropDuplicates(["rep"])
+    sketches = alone.select("rep", "doc_id", "f1", "f2", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)))
     sketches = materialize(sketches.join(buckets.select("rep").distinct(), "rep", "left_semi"), "sketches")
     links, done, found = None, None, None
     for step in range(rounds + 1):
@@ -248,25 +282,34 @@ def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int
             if step < rounds:
                 continue
             break
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = materialize(text_where(docs, ids), "texts")
+        ids = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
+        texts = materialize(_texts(docs, sketches.select("rep", "doc_id", "f1", "f2").join(ids, "rep", "left_semi"), width), "texts")
         good = materialize(verify(near, texts, least, width), "links")
         discard(texts)
         done = near if done is None else done.unionByName(near)
         links = good if links is None else links.unionByName(good)
         if not good.isEmpty():
             found = materialize(components(links), "components")
-    own = coded.join(groups, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     # rows that share an id share a class
-    if found is None:
-        found = own.sparkSession.createDataFrame([], "node long, component long")
-    final = own.join(found, own.rep == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("class_id"))
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    joint = materialize(own.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "joint")
+    if not joint.isEmpty():
+        found = materialize(components(joint if links is None else links.unionByName(joint)), "components")
+    final = own.withColumn("class_id", F.col("low"))
+    if found is not None:
+        lowest = own.join(found, own.rep == found.node).groupBy("component").agg(F.min("low").alias("lowest"))
+        final = own.join(found.join(lowest, "component").select("node", "lowest"), F.col("rep") == F.col("node"), "left").withColumn("class_id", F.coalesce("lowest", "low"))
+    final = final.select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return final.select(back("doc_id"), "n_shingles", back("class_id"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: the one with the smallest doc_id, repeated rows once. Texts without words stay."""
+    """docs with one document of each class: the one with the smallest doc_id, repeated rows once. Texts without words stay.
+
+    The rows of one id stay or go together: a document that stays keeps each of its different texts (so no text without
+    an id is dropped but for repeats), one that goes loses them all.
+    """
     found = classes(docs.select("doc_id", "text"), **options)
     stays = materialize(found.where("class_id <=> doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times")), "stays")
     kept = lambda times: docs.join(stays.where(times), id_of().eqNullSafe(F.col("__id"))).drop("__id", "__times")
