@@ -91,3 +91,16 @@ def test_documents_keep_their_columns(spark):
     assert lines.dedup(no_documents(spark)).count() == 0
     for r in out.where("n_chars is not null and length(text) <> n_chars").collect():
         raise AssertionError(r)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    common = "a first line that all of these texts have"
+    for own in (None, 7):
+        texts = [f"{common}\n{name * 12}\n{common}" for name in ("alpha", "beta", "gamma", "delta")]
+        df = spark.createDataFrame([*((own, t) for t in texts), (own, texts[0]), (9, common)], "doc_id long, text string").repartition(3)
+        out = [(r["doc_id"], r["text"], r["kept"]) for r in lines.apply_drops(df, lines.drops(df)).select("row.doc_id", "row.text", "kept").collect()]
+        assert len(out) == 6 and (9, common, "") in out
+        # one text keeps the line, once; its repeated row is the same document
+        assert len({t for _, t, kept in out if common in kept}) == 1 and all(kept.count(common) <= 1 for *_, kept in out)
+        for _, text, kept in out:
+            assert text == common or text.split("\n")[1] in kept.split("\n")

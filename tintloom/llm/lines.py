@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
 A document's lines are parted by line feeds and trimmed. Lines within ``edits`` edits of each other are linked, and
-connected lines form a class; of each class the occurrence with the smallest (doc_id, line number) stays.
+connected lines form a class; of each class the occurrence with the smallest (doc_id, hash of the text, line number) stays.
 
 Candidates: a line of length l is cut into edits + 1 even segments, of which a line within reach must hold one
 unchanged. So segments are indexed by length, ordinal and hash, and a line probes with those of its substrings whose
@@ -14,8 +14,10 @@ line; then only with those of other components. Lines are known by 64-bit hashes
 
 Lines shorter than ``least_near`` characters are compared exactly, those shorter than ``least`` not at all and stay.
 Nulls count as empty texts; a text without lines to drop stays as it is; a document whose lines are all dropped goes.
-Rows that share a doc_id are one document: each keeps the lines that the document keeps. Texts of any length are
-taken whole. An empty table gives an empty result.
+A row is known by its doc_id and a 64-bit hash of its text: rows with one doc_id or none are documents of their own,
+in the order of their hashes, and null ids come first; only rows that repeat with id and text (or with no id and the
+same text) count as one document, and each keeps the lines that it keeps. Texts of any length are taken whole. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,7 +167,7 @@ def _schema(docs: DataFrame) -> str:
 
 
 def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> DataFrame:
-    """Rows (doc_id, lines array<struct<number, h, parities, letters>>, sample array<long>)."""
+    """Rows (doc_id, tag, lines array<struct<number, h, parities, letters>>, sample array<long>); tag is the text's hash."""
     kind = pa.struct([("number", pa.int32()), ("h", pa.int64()), ("parities", pa.int64()), ("letters", pa.int64())])
 
     def run(batches):
@@ -180,10 +182,10 @@ def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> Dat
                 some = (lines.size[w] >= least_near) & (h % np.uint64(SAMPLE) == 0)
                 keys = index_keys(lines, w[some], edits)
                 at = np.searchsorted(lines.of[w[some]], np.arange(b - a + 1)).astype(np.int32) * (edits + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "lines", "sample"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "tag", "lines", "sample"])
 
-    rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lines array<struct<number: int, h: long, parities: long, letters: long>>, sample array<long>")
+    rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("tag"))
+    return rows.mapInArrow(run, "doc_id long, tag long, lines array<struct<number: int, h: long, parities: long, letters: long>>, sample array<long>")
 
 
 def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) -> DataFrame:
@@ -361,24 +363,24 @@ def line_classes(docs: DataFrame, occ: DataFrame, least_near: int, edits: int) -
 
 
 def drops(docs: DataFrame, *, edits: int = 2, least: int = 10, least_near: int = 32) -> DataFrame:
-    """Rows (doc_id, drop array<struct<number, h>>): the lines of each document that go; documents without any are left out."""
+    """Rows (doc_id, tag, drop array<struct<number, h>>): the lines of each document that go; documents without any are left out."""
     small_batches(docs.sparkSession)
     occ = materialize(occurrences(docs, least, max(least_near, 4 * (edits + 1)), edits), "occurrences")
     found = line_classes(docs, occ, max(least_near, 4 * (edits + 1)), edits)
-    rows = occ.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.number", "l.h")
+    rows = occ.select("doc_id", "tag", F.explode("lines").alias("l")).select("doc_id", "tag", "l.number", "l.h")
     if found is not None:
-        rows = rows.join(found, rows.h == found.node, "left").select("doc_id", "number", "h", F.coalesce("component", "h").alias("class"))
+        rows = rows.join(found, rows.h == found.node, "left").select("doc_id", "tag", "number", "h", F.coalesce("component", "h").alias("class"))
     else:
         rows = rows.withColumn("class", F.col("h"))
-    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    gone = rows.join(first, "class").where("not (doc_id = first.doc_id and number = first.number)")
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("number", "h")).alias("drop"))
+    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
+    gone = rows.join(first, "class").where("not (doc_id = first.doc_id and tag = first.tag and number = first.number)")
+    return gone.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("number", "h")).alias("drop"))
 
 
 def apply_drops(docs: DataFrame, gone: DataFrame, least: int = 10) -> DataFrame:
     """Rows (row struct of docs' columns, kept string, n_lines, n_dropped)."""
-    keyed_docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(id_of(), F.lit(NO_ID)).alias("__id"), text_of().alias("__text"))
-    joined = keyed_docs.join(gone.toDF("__id", "drop"), "__id", "left").select("row", "__text", F.col("drop.number").alias("numbers"), F.col("drop.h").alias("hs"))
+    keyed_docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(id_of(), F.lit(NO_ID)).alias("__id"), text_of().alias("__text"), F.xxhash64(text_of()).alias("__tag"))
+    joined = keyed_docs.join(gone.toDF("__id", "__tag", "drop"), ["__id", "__tag"], "left").select("row", "__text", F.col("drop.number").alias("numbers"), F.col("drop.h").alias("hs"))
 
     def run(batches):
         for batch in batches:
