@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tintloom.llm import toxicity
 
@@ -57,3 +58,21 @@ def test_edges(spark):
     assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0}
     only = toxicity.fit(docs, labels.where("toxic = 1"))
     assert {r["predicted"] for r in toxicity.score(docs, only).collect()} == {1}
+
+
+def test_one_large_document_does_not_cut_off_the_others(spark):
+    docs, labels, truth = labelled(spark, 300)
+    first = docs.where(~toxicity.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    others = docs.where(F.col("doc_id") != first)
+    without = toxicity.fit(others, labels, most_bytes=400_000)
+    assert len(without.weight)
+    long_text = spark.createDataFrame([(first, "word " * 100_000, "en", "s")], docs.schema)
+    repeated = spark.createDataFrame([(first, "word " * 1_000, "en", "s")] * 100, docs.schema)
+    for large in (long_text, repeated):
+        df = others.unionByName(large)
+        model = toxicity.fit(df, labels, most_bytes=400_000)
+        assert (model.place == without.place).all() and np.allclose(model.weight, without.weight)
+        out = toxicity.score(df, model).collect()
+        assert len(out) == df.count() and np.mean([r["predicted"] == truth[r["doc_id"]] for r in out if r["doc_id"] != first]) > 0.93
+    # with nothing but large documents, those that fit are still learnt from
+    assert len(toxicity.fit(docs, labels, most_bytes=400_000, most_share=0.0).weight)

@@ -5,8 +5,9 @@ its white space collapsed. Its value is the log ratio of its smoothed document f
 L2 penalty weighs these values. N-grams whose frequencies hardly differ are left out. Labels are learnt only from
 rows whose crc32(doc_id as text) mod 5 is not 0.
 
-The fit sees at most `most_rows` labelled rows and `most_bytes` bytes of their text, chosen by a hash of doc_id; all
-rows are scored, each text whole. Null texts count as empty; a text without known n-grams gets the base rate. Labels
+The fit sees at most `most_rows` labelled documents and `most_bytes` bytes of their text, chosen by a hash of doc_id;
+documents of more than `most_share` of these bytes (all rows of the id together) come after all others, shortest
+first, and those of more than `most_bytes` are left out. All rows are scored, each text whole. Null texts count as empty; a text without known n-grams gets the base rate. Labels
 that are null or of missing documents are ignored; several labels of one document count by their mean (1 from 0.5
 on). Without labels of both kinds every score is the base rate (0 if there are no labels).
 """
@@ -96,16 +97,17 @@ def _fit_weights(of: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.n
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_bytes: int = 64_000_000, least_z: float = 5.0, most_features: int = 8192, smooth: float = 2.0, penalty: float = 1.0, steps: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_bytes: int = 64_000_000, most_share: float = 1 / 8, least_z: float = 5.0, most_features: int = 8192, smooth: float = 2.0, penalty: float = 1.0, steps: int = 300) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select(id_of().alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("toxic is not null and doc_id is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = docs.select(id_of().alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most most_rows rows
-    # the bound in bytes is taken before the texts move; ties and repeated rows only make the sample smaller
-    sizes = texts.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
-    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # the bound in bytes is taken before the texts move; large documents wait, so that none cuts off the others
+    sizes = texts.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).where(F.col("size") <= most_bytes)
+    late = F.when(F.col("size") > most_bytes * most_share, F.col("size")).otherwise(0)
+    upto = F.sum("size").over(Window.orderBy(late, F.xxhash64("doc_id"), "doc_id"))
     kept = [r[0] for r in sizes.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_bytes).select("doc_id").collect()]
     kept_ids = spark.createDataFrame([(i,) for i in kept], "doc_id long")
     sample = materialize(texts.join(F.broadcast(kept_ids), "doc_id").repartition(8, "doc_id"), "labelled")
