@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tintloom.llm import minhash
 from tintloom.llm.common import components
@@ -97,3 +98,8 @@ def test_null_and_repeated_ids_on_different_texts(spark):
         assert r["class_id"] == want[r["doc_id"]], r
     kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in minhash.dedup(df).collect()))
     assert kept == sorted([(i or 0, t or "") for i, t in rows if i in (None, 50, 70, 72, 80)])
+
+
+def test_links_that_bands_would_lose_are_refused():
+    with pytest.raises(ValueError, match="least"):
+        minhash.classes(None, least=0.6)

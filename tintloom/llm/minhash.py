@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, components, discard, id_of, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, wanted, wanted_filter
 
+#: The least similarity that bands and sketches are made for.
+LEAST = 0.8
 BANDS, WIDTH = 30, 5
 REGISTERS = 1024
 #: Registers whose lowest bits make the sketch. Texts that differ in more bits than FAR are not candidates: at a
@@ -242,7 +244,12 @@ def _alike(left: str, right: str):
 
 
 def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 1) -> DataFrame:
-    """Rows (doc_id, n_shingles, class_id), one for each row of docs: the smallest doc_id of those connected by links."""
+    """Rows (doc_id, n_shingles, class_id), one for each row of docs: the smallest doc_id of those connected by links.
+
+    Bands and sketches are made for links of a similarity of LEAST or more; a smaller ``least`` is refused.
+    """
+    if least < LEAST:
+        raise ValueError(f"least must be {LEAST} or more: the bands and sketches would lose links of {least}")
     # texts without words are told apart by their ids
     signed = sign(docs, width).withColumn("f1", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.col("doc_id")))
     coded = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
