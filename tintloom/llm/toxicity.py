@@ -7,9 +7,11 @@ rows whose crc32(doc_id as text) mod 5 is not 0.
 
 The fit sees at most `most_rows` labelled documents and `most_bytes` bytes of their text, chosen by a hash of doc_id;
 documents of more than `most_share` of these bytes (all rows of the id together) come after all others, shortest
-first, and those of more than `most_bytes` are left out. All rows are scored, each text whole. Null texts count as empty; a text without known n-grams gets the base rate. Labels
-that are null or of missing documents are ignored; several labels of one document count by their mean (1 from 0.5
-on). Without labels of both kinds every score is the base rate (0 if there are no labels).
+first, and those of more than `most_bytes` are left out. All rows are scored, each text whole; rows that repeat get
+the same score each. Null texts count as empty; a text without known n-grams gets the base rate. A null doc_id is
+held out. Labels that are null or of missing documents are ignored; several labels of one document count by their
+mean (1 from 0.5 on). Without labels of both kinds every score is the base rate (0 if there are no labels). An empty
+table gives an empty result. Other columns are not read, whatever their names; `clean` passes them on.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SIZES = (3, 4, 5, 6)
 BITS = 18
 LEVELS = (1, 2, 4)
 SPACE = len(LEVELS) << BITS
+#: About so many characters are worked on at once.
+PIECE = 200_000
 
 
 @dataclass(frozen=True)
@@ -44,41 +48,66 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def ngrams(texts: list[str]):
-    """For each size of n-gram: the index of the text and the bucket, for every place."""
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of the lower-cased texts with their white space collapsed, a zero between two texts."""
     plain = [" " + " ".join(t.lower().replace("\0", " ").split()) + " " for t in texts]
-    codes = np.frombuffer("\0".join(plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    of = np.cumsum(codes == 0).astype(np.int32)
-    value = np.zeros(len(codes), np.uint64)
+    return np.frombuffer("\0".join(plain).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def ngrams(codes: np.ndarray, begins: int | None = None):
+    """For each size of n-gram: the index of the text and the bucket, for every place (the first ``begins`` ones)."""
+    of = np.cumsum(codes == 0, dtype=np.int32)
+    wide, value = codes.astype(np.uint64), np.zeros(len(codes), np.uint64)
     for n in range(1, max(SIZES) + 1):
-        value = value[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        value = value[: max(0, len(codes) - n + 1)] * np.uint64(0x100000001B3) + wide[n - 1 :]
         if n in SIZES:
-            whole = of[: len(value)] == of[n - 1 :]
-            whole &= codes[: len(value)] != 0
-            yield of[: len(value)][whole], (mix(value[whole] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32)
+            k = len(value) if begins is None else min(begins, len(value))
+            whole = (of[:k] == of[n - 1 : n - 1 + k]) & (codes[:k] != 0)
+            yield of[:k][whole], (mix(value[:k][whole] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def _used(place: np.ndarray) -> np.ndarray:
+    """The buckets of which some level has a feature."""
+    return (place.reshape(len(LEVELS), -1) >= 0).any(0)
 
 
-def _distinct(texts: list[str], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The features of each text: places in the feature space, or with ``place`` (what is known of it) their numbers."""
-    used = None if place is None else (place.reshape(len(LEVELS), -1) >= 0).any(0)
+def _counts(texts: list[str], used: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts, fewer than 2**(31 - BITS), or of one long one: index of the text, bucket, and count, in order.
+
+    A long text is counted piece by piece, so that the working arrays are as small as for the others.
+    """
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        codes, total = _codes(texts), np.zeros(1 << BITS, np.int64)
+        for begin in range(0, len(codes), PIECE):
+            for _, bucket in ngrams(codes[begin : begin + PIECE + max(SIZES) - 1], PIECE):
+                total += np.bincount(bucket, minlength=1 << BITS)
+        found = np.flatnonzero(total if used is None else total * used)
+        return np.zeros(len(found), np.int64), found, total[found]
     keys = []
-    for of, bucket in ngrams(texts):
+    for of, bucket in ngrams(_codes(texts)):
         if used is not None:
             known = used[bucket]
             of, bucket = of[known], bucket[known]
-        keys.append(of.astype(np.int64) << 32 | bucket)
-    keys = np.concatenate(keys)
-    keys.sort()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(keys)))
-    keys = keys[first]
-    found = np.concatenate([keys[counts >= least] + (level << BITS) for level, least in enumerate(LEVELS)])
-    of, feature = found >> 32, found & 0xFFFFFFFF
-    if place is not None:
-        feature = place[feature]
-        of, feature = of[feature >= 0], feature[feature >= 0]
-    order = np.argsort(of, kind="stable")
-    return of[order], feature[order].astype(np.int64)
+        keys.append(of << BITS | bucket)
+    key = np.concatenate(keys)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    own = key[first]
+    return (own >> BITS).astype(np.int64), (own & ((1 << BITS) - 1)).astype(np.int64), np.diff(np.append(first, len(key)))
+
+
+def features(texts: list[str], place: np.ndarray | None = None, used: np.ndarray | None = None):
+    """The features of the texts, slice by slice: begin and end of the slice, index of the text within it, and places
+    in the feature space, or with ``place`` (and ``used``, what is known of it) their numbers."""
+    for a, b in slices(texts, PIECE):
+        of, bucket, counts = _counts(texts[a:b], used)
+        found = [(of[counts >= least], bucket[counts >= least] + (level << BITS)) for level, least in enumerate(LEVELS)]
+        of, feature = (np.concatenate(x) for x in zip(*found, strict=True))
+        if place is not None:
+            feature = place[feature]
+            of, feature = of[feature >= 0], feature[feature >= 0].astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        yield a, b, of[order], feature[order]
 
 
 def _fit_weights(of: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
@@ -116,9 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_byt
         both = np.zeros((2, SPACE), np.int64)
         for batch in batches:
             own, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(int)
-            for a, b in slices(own):
-                of, bucket = _distinct(own[a:b])
-                np.add.at(both, (y[a:b][of], bucket), 1)
+            for a, b, of, place in features(own):
+                np.add.at(both.reshape(-1), y[a:b][of] * SPACE + place, 1)
         at = np.flatnonzero(both.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0, at]), pa.array(both[1, at])], names=["bucket", "n0", "n1"])
 
@@ -139,15 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_byt
     prior = (a + b) / (n0 + n1)
     ratio = np.log((b + smooth * prior) / (n1 + smooth)) - np.log((a + smooth * prior) / (n0 + smooth))
 
-    def features(batches):
+    used = _used(place)
+
+    def known(batches):
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for i, j in slices(own):
-                of, feature = _distinct(own[i:j], place)
+            for i, j, of, feature in features(own, place, used):
                 ends = np.searchsorted(of, np.arange(1, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array([x.tolist() for x in np.split(feature, ends)], pa.list_(pa.int64()))], names=["y", "features"])
 
-    rows = sample.select("text", "y").mapInArrow(features, "y double, features array<long>").collect()  # most_rows rows of known features
+    rows = sample.select("text", "y").mapInArrow(known, "y double, features array<long>").collect()  # most_rows rows of known features
     y = np.array([r["y"] for r in rows])
     of = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
     feature = np.array([f for r in rows for f in r["features"]], np.int64)
@@ -155,33 +184,40 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_byt
     return Model(place, w * ratio, bias)
 
 
+def _scores(texts: list[str], model: Model, used: np.ndarray) -> np.ndarray:
+    z = np.full(len(texts), model.bias)
+    for a, b, of, feature in features(texts, model.place, used):
+        z[a:b] += np.bincount(of, model.weight[feature], b - a) if len(of) else 0
+    return 1 / (1 + np.exp(-np.clip(z, -745, 700)))
+
+
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
-    """Rows of (doc_id, held_out, score, predicted) and docs' own columns under `row`. One narrow pass: no shuffle."""
+    """Rows (doc_id, held_out, score, predicted), one for each row of docs. One narrow pass: no shuffle."""
     small_batches(docs.sparkSession)
-    schema = docs.schema
+    used = _used(model.place)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            z = np.full(len(texts), model.bias)
-            for a, b in slices(texts):
-                of, feature = _distinct(texts[a:b], model.place)
-                z[a:b] += np.bincount(of, model.weight[feature], b - a) if len(of) else 0
-            p = 1 / (1 + np.exp(-np.clip(z, -745, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
+            p = _scores(batch.column(1).to_pylist(), model, used)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(text_of().alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema.fields)
-    return rows.mapInArrow(run, f"row struct<{fields}>, score double, predicted int").select(
-        id_of("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "score", "predicted", "row"
-    )
+    rows = docs.select(id_of().alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def clean(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that the model rejects."""
-    return score(docs, model, threshold=threshold).where("predicted = 0").select("row.*")
+    """docs without the rows that the model rejects, their columns as they are. Each text is sent once."""
+    small_batches(docs.sparkSession)
+    used, at = _used(model.place), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(at).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array(_scores([t or "" for t in own], model, used) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels"))).drop("row")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
