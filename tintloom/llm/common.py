@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,17 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context has as checkpoint folder.
+
+    A local master may do without (tests): then it is a temporary folder. On a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = spark.sparkContext.applicationId
         if own not in _folders:
             _folders[own] = "file://" + tempfile.mkdtemp(prefix="tintloom-")
@@ -33,6 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written within ``scratch``, by its depth.
+_written: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end what ``materialize`` wrote within, but for the tables given to the function it yields."""
+    own: list[DataFrame] = []
+    _written.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _written.remove(own)
+        for df in own:
+            discard(df)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
@@ -46,6 +77,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_at = path
+    if _written:
+        _written[-1].append(written)
     return written
 
 
@@ -106,6 +139,25 @@ def id_of(column: str = "doc_id") -> Column:
     return F.col(column).cast("long")
 
 
+#: At most so many keys are taken as frequent.
+FREQUENT_KEYS = 5_000
+
+
+def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], times: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key (no nulls) and tells in ``times`` how many rows of left have it.
+
+    Keys with more than one in FREQUENT_KEYS of all these rows (fewer than FREQUENT_KEYS, whatever the tables) are
+    broadcast, so that no task gets all rows of a frequent key; the others are joined as usual. Both tables are read
+    twice, so they should be written ones. how: inner or left.
+    """
+    total = right.agg(F.sum(times)).first()[0] or 0
+    often = F.col(times) > max(1, total // FREQUENT_KEYS)
+    hot, rest = right.where(often), right.where(~often)
+    near = left.join(F.broadcast(hot), keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component being the smallest node.
 

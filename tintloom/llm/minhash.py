@@ -7,27 +7,30 @@ into random registers, and a register keeps its earliest point. Two multisets ag
 probability of their weighted Jaccard similarity. Halves that begin at w or later, and those whose first point comes
 after the latest register, are dropped, so most of the tree is never drawn.
 
-Registers are banded; candidates whose one-bit sketches (the registers' lowest bits) are far apart are left out, the
-others are verified exactly by the overlap of their multisets. Within a bucket, each member
-is first compared with one leader, the member found in the fullest buckets (``rounds`` adds rounds with other leaders);
-then all candidate pairs that still lie in different components are. So every candidate pair is verified or already
-connected, and a bucket of copies is not paired out.
+Registers are banded. Candidates are members of a bucket whose one-bit sketches (the registers' lowest bits) are not
+far apart; a bucket's rows carry the sketches, so only candidates become rows. They are verified exactly by the overlap of
+their multisets. In each round a bucket has a leader, at first the member found in the fullest buckets, later one of
+its largest component, and each multiset is verified with one leader only, the nearest by sketch. Rounds go on while
+the rows of buckets that still hold several components fall. Then members of each such bucket's smaller components
+meet all others of the bucket, in blocks of bounded size. So every candidate pair is verified or already connected,
+and a bucket of copies is not paired out.
 
 Candidates are found and verified between multisets, each with its own bands, sketch and text, whatever the ids of
 its rows; documents with equal multisets form one class at once. Rows that share a doc_id are taken as one document:
 the classes of all its texts join afterwards; null ids count as one id. Nulls count as empty; a text without words is
 a class of its own and kept, unless its id has other texts. A text with fewer words than a shingle has one shingle of
-all its words. An empty table gives an empty result.
+all its words. An empty table gives an empty result. Only doc_id and text are read, whatever other columns are named;
+``dedup`` passes them on.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, discard, id_of, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, wanted, wanted_filter
+from .common import NO_ID, components, discard, id_of, join_by_key, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, wanted, wanted_filter
 
 #: The least similarity that bands and sketches are made for.
 LEAST = 0.8
@@ -36,6 +39,10 @@ REGISTERS = 1024
 #: Registers whose lowest bits make the sketch. Texts that differ in more bits than FAR are not candidates: at a
 #: similarity of 0.8 about 102 of 1024 bits differ, with a deviation of 9.6.
 WORDS, FAR = REGISTERS // 64, 146
+#: Members of a bucket that share a leader, or meet as a block, in one task.
+BLOCK = 1024
+#: Texts are worked on by slices of so many characters.
+PIECE = 400_000
 #: Bits of a shingle's hash that are kept; the rest of 64 bits tells texts apart while sorting.
 HASH_BITS = 48
 
@@ -148,7 +155,7 @@ def sign(docs: DataFrame, width: int = 5) -> DataFrame:
             texts = batch.column(1).to_pylist()
             n, f1, f2 = (np.zeros(len(texts), np.int64) for _ in range(3))
             keys, bits = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), WORDS), np.int64)
-            for a, b in slices(texts):
+            for a, b in slices(texts, PIECE):
                 of, element, count = multisets(texts[a:b], width)
                 n[a:b] = np.bincount(of, count, b - a)
                 f1[a:b], f2[a:b] = fingerprints(of, element, count, b - a)
@@ -190,7 +197,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
             ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             texts = list(dict.fromkeys([*ta, *tb]))
             held = {}
-            for i, j in slices(texts):
+            for i, j in slices(texts, PIECE):
                 of, element, count = multisets(texts[i:j], width)
                 ends = np.searchsorted(of, np.arange(j - i + 1))
                 held.update((texts[i + k], (element[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]])) for k in range(j - i))
@@ -201,21 +208,21 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
 
 
 def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """Rows (rep, text), one for each multiset of keys (rep, doc_id, f1, f2): few other texts are moved."""
+    """Rows (rep, text), one for each multiset of keys (rep, low, f1, f2; low being one of its ids): few other texts are moved."""
     spark = docs.sparkSession
     small_batches(spark)
     # one filter for the ids, which are at hand, and the fingerprints, which tell the texts of one id apart
-    bits = spark.sparkContext.broadcast(wanted_filter(keys.select(F.col("doc_id").alias("v")).unionByName(keys.select(F.col("f1").alias("v"))), "v"))
+    bits = spark.sparkContext.broadcast(wanted_filter(keys.select(F.col("low").alias("v")).unionByName(keys.select(F.col("f1").alias("v"))), "v"))
 
     def run(batches):
         known: set[tuple[int, int]] = set()
         for batch in batches:
             batch = batch.filter(pa.array(wanted(bits.value, batch.column(0).to_numpy().view(np.uint64))))
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, PIECE):
                 f1, f2 = fingerprints(*multisets(texts[a:b], width), b - a)
                 some = np.flatnonzero(wanted(bits.value, f1.view(np.uint64)))
-                if len(known) > 300_000:
+                if len(known) > 100_000:
                     known.clear()
                 use = []
                 for i in some.tolist():
@@ -230,23 +237,119 @@ def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     return found.join(keys.select("rep", "f1", "f2"), ["f1", "f2"]).select("rep", "text").dropDuplicates(["rep"])
 
 
-def _sketch(rows: DataFrame, sketches: DataFrame, column: str, prefix: str) -> DataFrame:
-    """rows with the sketch of a column's multiset."""
-    return rows.join(sketches.select(F.col("rep").alias(column), *(F.col(f"w{i}").alias(f"{prefix}{i}") for i in range(WORDS))), column)
-
-
-def _alike(left: str, right: str):
-    """Whether two sketches differ in few bits; compiled, unlike functions over arrays."""
+def _apart(left: str, right: str) -> Column:
+    """In how many bits two sketches differ; compiled, unlike functions over arrays."""
     apart = F.lit(0)
     for i in range(WORDS):
-        apart = apart + F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}")))
-    return apart <= FAR
+        apart = apart + F.bit_count(F.col(f"{left}w{i}").bitwiseXOR(F.col(f"{right}w{i}")))
+    return apart
+
+
+def _buckets(coded: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (key, rep, sub, weight, w0 ...): the multisets of each bucket that several have, with their sketches.
+
+    sub deals the members of a large bucket; weight is the number of members in all buckets of the multiset.
+    """
+    single = materialize(coded.where("n > 0").join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "bands", "bits"), "single")
+    keyed = single.select("rep", F.explode("bands").alias("key"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    full = join_by_key(keyed, sizes, ["key"], "size").withColumn("weight", F.sum("size").over(Window.partitionBy("rep")))
+    full = full.withColumn("sub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
+    sketches = single.select("rep", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)))
+    out = materialize(full.join(sketches, "rep").drop("size"), "buckets")
+    for df in (single, sizes):
+        discard(df)
+    return out
+
+
+def _mixed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components, with ``component`` and ``members``, its number of multisets."""
+    if found is None:
+        return buckets.withColumn("component", F.col("rep")).withColumn("members", F.lit(1).cast("long"))
+    sized = join_by_key(found, found.groupBy("component").agg(F.count("*").alias("members")), ["component"], "members")
+    rows = buckets.join(sized.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("members", F.coalesce("members", F.lit(1)))
+    rows = materialize(rows, "placed")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("times"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "times")
+    return join_by_key(rows, materialize(mixed, "keys"), ["key"], "times").drop("times")
+
+
+def _untested(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+
+
+def _ordered(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _with_leaders(rows: DataFrame, done: DataFrame | None, step: int) -> DataFrame:
+    """One pair (a, b) for each multiset that has an untested leader of another component among its buckets: the nearest."""
+    rank = [F.desc("weight" if step == 0 else "members"), F.xxhash64("rep", F.lit(step)), F.col("rep")]
+    w = Window.partitionBy("key", "sub").orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.withColumn("lead", F.first(F.struct("rep", "component", *(f"w{i}" for i in range(WORDS)))).over(w))
+    led = led.where("component <> lead.component").withColumn("apart", _apart("", "lead.")).where(F.col("apart") <= FAR)
+    near = led.select("rep", "apart", *_ordered("rep", "lead.rep")).distinct()
+    return _untested(near, done).groupBy("rep").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
+def _with_all(rows: DataFrame, done: DataFrame | None) -> DataFrame:
+    """All untested candidate pairs (a, b) of different components: in each bucket, the members of all components but
+    its fullest meet all others, block by block."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    parts = parts.select("key", F.col("top.component").alias("top"), "n", F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("few"), F.ceil(F.col("n") / BLOCK).alias("all"))
+    rows = materialize(join_by_key(rows, materialize(parts, "parts"), ["key"], "n").withColumn("minor", F.col("component") != F.col("top")), "mixed")
+    part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    x = rows.where("minor").withColumn("p", part("few")).withColumn("q", each("all")).alias("x")
+    y = rows.withColumn("q", part("all")).withColumn("p", each("few")).alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    once = ~F.col("y.minor") | (F.col("x.rep") < F.col("y.rep"))
+    pairs = x.join(y, met & once & (F.col("x.component") != F.col("y.component")) & (_apart("x.", "y.") <= FAR))
+    return _untested(pairs.select(*_ordered("x.rep", "y.rep")).distinct(), done)
+
+
+def _linked(docs: DataFrame, groups: DataFrame, buckets: DataFrame, least: float, width: int, rounds: int) -> DataFrame | None:
+    """The links (a, b) that connect all that candidate pairs connect; None if there are none."""
+    links, done, found, before = None, None, None, None
+    for step in range(rounds + 1):
+        rows = materialize(_mixed(buckets, found), "mixed")
+        now = rows.count()
+        # the leaders have done their part once the rows hardly fall
+        last = step == rounds or before is not None and now > 0.8 * before
+        before = now
+        near = materialize(_with_all(rows, done) if last else _with_leaders(rows, done, step), "near")
+        if not near.isEmpty():
+            ids = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
+            texts = materialize(_texts(docs, groups.select("rep", "low", "f1", "f2").join(ids, "rep", "left_semi"), width), "texts")
+            good = materialize(verify(near, texts, least, width), "links")
+            discard(texts)
+            done = near if done is None else done.unionByName(near)
+            links = good if links is None else links.unionByName(good)
+            if not last and not good.isEmpty():
+                found = materialize(components(links), "components")
+        discard(rows)
+        if last:
+            break
+    return links
+
 
+def _of_one_id(coded: DataFrame, groups: DataFrame, same: list[str]) -> DataFrame | None:
+    """Links (a, b) between the texts of each id that has several; None if no id has."""
+    several = coded.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y"), F.count("*").alias("rows")).where("x <> y").select("doc_id", "rows")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return None
+    texts = materialize(join_by_key(coded.select("doc_id", *same), several, ["doc_id"], "rows").select("doc_id", *same).distinct(), "texts")
+    owned = materialize(join_by_key(texts, groups.select(*same, "rep", "times"), same, "times").select("doc_id", "rep"), "owned")
+    hub = materialize(owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("rows")), "hubs")
+    return join_by_key(owned, hub, ["doc_id"], "rows").where("a <> rep").select("a", F.col("rep").alias("b"))
 
-def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 1) -> DataFrame:
+
+def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 4) -> DataFrame:
     """Rows (doc_id, n_shingles, class_id), one for each row of docs: the smallest doc_id of those connected by links.
 
-    Bands and sketches are made for links of a similarity of LEAST or more; a smaller ``least`` is refused.
+    Bands and sketches are made for links of a similarity of LEAST or more; a smaller ``least`` is refused. There are
+    at most ``rounds`` rounds of leaders; their number doesn't change the result.
     """
     if least < LEAST:
         raise ValueError(f"least must be {LEAST} or more: the bands and sketches would lose links of {least}")
@@ -254,61 +357,20 @@ def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int
     signed = sign(docs, width).withColumn("f1", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.col("doc_id")))
     coded = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     same = ["n", "f1", "f2"]
-    groups = coded.groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"))
-    own = materialize(coded.select("doc_id", *same).join(groups, same).select("doc_id", "n", "rep", "low"), "own")
     # one row for each multiset: its first row stands for it
-    alone = coded.where("n > 0").join(groups, same).where("row = rep")
-    unique = alone.select("rep", F.explode("bands").alias("key"))
-    sizes = unique.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(unique.join(sizes, "key").select("key", "rep", "size"), "buckets")
-    sketches = alone.select("rep", "doc_id", "f1", "f2", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)))
-    sketches = materialize(sketches.join(buckets.select("rep").distinct(), "rep", "left_semi"), "sketches")
-    links, done, found = None, None, None
-    for step in range(rounds + 1):
-        rows = buckets if found is None else buckets.join(found, buckets.rep == found.node, "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
-        if found is not None:
-            mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "size")
-            rows = rows.drop("size").join(mixed, "key")
-        else:
-            rows = rows.withColumn("component", F.col("rep"))
-        rows = materialize(rows, "mixed")
-        if step < rounds:
-            weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
-            # later on any member may lead: the most frequent one has been tried
-            best = F.max(F.struct(F.col("weight") if step == 0 else F.lit(0).alias("weight"), F.xxhash64("rep", F.lit(step)).alias("mark"), "rep", "component"))
-            leaders = rows.join(weight, "rep").groupBy("key").agg(best.alias("lead"))
-            near = rows.join(leaders, "key").where("component <> lead.component").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-            near = _sketch(_sketch(near, sketches, "a", "p"), sketches, "b", "q").where(_alike("p", "q")).select("a", "b")
-        else:
-            sides = [_sketch(rows.select("key", F.col("rep").alias(n), F.col("component").alias(f"c{n}")), sketches, n, p) for n, p in (("a", "p"), ("b", "q"))]
-            near = sides[0].join(sides[1], "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _alike("p", "q")).select("a", "b").distinct()
-        if done is not None:
-            near = near.join(done, ["a", "b"], "left_anti")
-        near = materialize(near, "near")
-        if near.isEmpty():
-            if step < rounds:
-                continue
-            break
-        ids = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-        texts = materialize(_texts(docs, sketches.select("rep", "doc_id", "f1", "f2").join(ids, "rep", "left_semi"), width), "texts")
-        good = materialize(verify(near, texts, least, width), "links")
-        discard(texts)
-        done = near if done is None else done.unionByName(near)
-        links = good if links is None else links.unionByName(good)
-        if not good.isEmpty():
-            found = materialize(components(links), "components")
-    # rows that share an id share a class
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
-    joint = materialize(own.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "joint")
-    if not joint.isEmpty():
-        found = materialize(components(joint if links is None else links.unionByName(joint)), "components")
-    final = own.withColumn("class_id", F.col("low"))
-    if found is not None:
-        lowest = own.join(found, own.rep == found.node).groupBy("component").agg(F.min("low").alias("lowest"))
-        final = own.join(found.join(lowest, "component").select("node", "lowest"), F.col("rep") == F.col("node"), "left").withColumn("class_id", F.coalesce("lowest", "low"))
-    final = final.select("doc_id", F.col("n").alias("n_shingles"), "class_id")
+    groups = materialize(coded.groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("times")), "groups")
+    links = _linked(docs, groups, _buckets(coded, groups), least, width, rounds)
+    joint = _of_one_id(coded, groups, same)
+    edges = [e for e in (links, joint) if e is not None]
+    named = groups.select(*same, "times", F.col("low").alias("class_id"))
+    if edges:
+        found = materialize(components(edges[0].unionByName(edges[1]) if len(edges) > 1 else edges[0]), "components")
+        placed = materialize(groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+        lowest = materialize(placed.groupBy("component").agg(F.min("low").alias("class_id"), F.count("*").alias("members")), "lowest")
+        named = materialize(join_by_key(placed, lowest, ["component"], "members").select(*same, "times", "class_id"), "named")
+    final = join_by_key(coded.select("doc_id", *same), named, same, "times")
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return final.select(back("doc_id"), "n_shingles", back("class_id"))
+    return final.select(back("doc_id"), F.col("n").alias("n_shingles"), back("class_id"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
