@@ -17,20 +17,23 @@ Nulls count as empty texts; a text without lines to drop stays as it is; a docum
 A row is known by its doc_id and a 64-bit hash of its text: rows with one doc_id or none are documents of their own,
 in the order of their hashes, and null ids come first; only rows that repeat with id and text (or with no id and the
 same text) count as one document, and each keeps the lines that it keeps. Texts of any length are taken whole. An
-empty table gives an empty result.
+empty table gives an empty result. Only doc_id and text are read; ``dedup`` passes all other columns on, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Powers, components, id_of, materialize, mix, slices, small_batches, table, text_of, wanted, wanted_filter
+from .common import NO_ID, Powers, components, id_of, join_by_key, materialize, mix, slices, small_batches, table, text_of, wanted, wanted_filter
 
 #: A key that occurs so often in the sample of lines (one in SAMPLE) is split; at most so many keys are.
 SAMPLE, FREQUENT, MOST_SPLIT = 64, 4, 50_000
+#: Texts are worked on by slices of so many characters.
+PIECE = 400_000
 _K1, _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -45,16 +48,10 @@ class Lines:
         self.of = np.repeat(np.arange(len(texts)), lengths)
         self.number = np.arange(len(begin)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
-        for _ in range(1 << 30):
-            more = (begin < end) & blank[np.minimum(begin, len(codes) - 1)]
-            if not more.any():
-                break
-            begin = begin + more
-        for _ in range(1 << 30):
-            more = (begin < end) & blank[end - 1]
-            if not more.any():
-                break
-            end = end - more
+        # the first and last characters of each line that aren't blank; a line of blanks is empty, at its end
+        full = np.flatnonzero(~blank)
+        begin = np.minimum(np.append(full, len(codes))[np.searchsorted(full, begin)], end)
+        end = np.maximum(np.append(full, -1)[np.searchsorted(full, end) - 1] + 1, begin)
         self.codes, self.begin, self.end = codes, begin, end
         self.size = end - begin
         self.chosen = np.flatnonzero(self.size >= least)
@@ -162,10 +159,6 @@ def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
     return np.minimum(distance, most + 1)
 
 
-def _schema(docs: DataFrame) -> str:
-    return "row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields) + ">"
-
-
 def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> DataFrame:
     """Rows (doc_id, tag, lines array<struct<number, h, parities, letters>>, sample array<long>); tag is the text's hash."""
     kind = pa.struct([("number", pa.int32()), ("h", pa.int64()), ("parities", pa.int64()), ("letters", pa.int64())])
@@ -173,7 +166,7 @@ def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> Dat
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, PIECE):
                 lines = Lines(texts[a:b], least)
                 w = lines.chosen
                 h = lines.hashes(lines.begin[w], lines.end[w])
@@ -196,7 +189,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) ->
         known: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, PIECE):
                 lines = Lines(texts[a:b], least_near)
                 w = lines.chosen
                 all_h = lines.hashes(lines.begin, lines.end)
@@ -205,7 +198,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) ->
                 w = w[first]
                 new = np.array([h not in known for h in all_h[w].tolist()], bool)
                 w = w[new]
-                if len(known) < 300_000:
+                if len(known) < 100_000:
                     known.update(all_h[w].tolist())
                 parities = None
                 index = index_keys(lines, w, edits)
@@ -275,12 +268,12 @@ def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
         known: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, PIECE):
                 lines = Lines(texts[a:b], least_near)
                 w = lines.chosen
                 h = lines.hashes(lines.begin[w], lines.end[w])
                 some = np.flatnonzero(wanted(bits.value, h))
-                if len(known) > 300_000:
+                if len(known) > 100_000:
                     known.clear()
                 out_h, out = [], []
                 raw = lines.codes.tobytes()
@@ -329,7 +322,7 @@ def line_classes(docs: DataFrame, occ: DataFrame, least_near: int, edits: int) -
     if rows.isEmpty():
         return None
     ids = rows.select("h").distinct()
-    lines = occ.select(F.explode("lines").alias("l")).select("l.h", "l.parities", "l.letters").join(ids, "h", "left_semi").dropDuplicates(["h"])
+    lines = occ.select(F.explode("lines").alias("l")).select("l.h", "l.parities", "l.letters").dropDuplicates(["h"]).join(ids, "h", "left_semi")
     rows = materialize(rows.join(lines, "h"), "screened")
     texts = materialize(line_texts(docs, ids, least_near), "lines")
     apart = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
@@ -368,57 +361,71 @@ def drops(docs: DataFrame, *, edits: int = 2, least: int = 10, least_near: int =
     occ = materialize(occurrences(docs, least, max(least_near, 4 * (edits + 1)), edits), "occurrences")
     found = line_classes(docs, occ, max(least_near, 4 * (edits + 1)), edits)
     rows = occ.select("doc_id", "tag", F.explode("lines").alias("l")).select("doc_id", "tag", "l.number", "l.h")
-    if found is not None:
-        rows = rows.join(found, rows.h == found.node, "left").select("doc_id", "tag", "number", "h", F.coalesce("component", "h").alias("class"))
+    # lines are gathered by hash, then classes, each with how often and where first it occurs
+    each = rows.groupBy("h").agg(F.min(F.struct("doc_id", "tag", "number")).alias("first"), F.count("*").alias("times"))
+    if found is None:
+        each = each.where("times > 1").select("h", "times", "first")
     else:
-        rows = rows.withColumn("class", F.col("h"))
-    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    gone = rows.join(first, "class").where("not (doc_id = first.doc_id and tag = first.tag and number = first.number)")
+        each = materialize(each.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("component", "h")), "each")
+        whole = each.groupBy("class").agg(F.min("first").alias("first"), F.sum("times").alias("n"), F.count("*").alias("lines")).where("n > 1").select("class", "first", "lines")
+        each = join_by_key(each.select("h", "times", "class"), materialize(whole, "whole"), ["class"], "lines").select("h", "times", "first")
+    gone = join_by_key(rows, materialize(each, "repeated"), ["h"], "times").where("not (doc_id = first.doc_id and tag = first.tag and number = first.number)")
+    # rows that repeat with id and text are one document
     return gone.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("number", "h")).alias("drop"))
 
 
-def apply_drops(docs: DataFrame, gone: DataFrame, least: int = 10) -> DataFrame:
-    """Rows (row struct of docs' columns, kept string, n_lines, n_dropped)."""
-    keyed_docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(id_of(), F.lit(NO_ID)).alias("__id"), text_of().alias("__text"), F.xxhash64(text_of()).alias("__tag"))
-    joined = keyed_docs.join(gone.toDF("__id", "__tag", "drop"), ["__id", "__tag"], "left").select("row", "__text", F.col("drop.number").alias("numbers"), F.col("drop.h").alias("hs"))
+def _with_drops(docs: DataFrame, gone: DataFrame, columns: list[Column], schema: str) -> DataFrame:
+    """Rows of the given columns of docs with kept (string), n_lines and n_dropped. Each text is sent once."""
+    own = docs.select(*columns, F.coalesce(id_of(), F.lit(NO_ID)).alias("__id"), text_of().alias("__text"), F.xxhash64(text_of()).alias("__tag"))
+    joined = own.join(gone.toDF("__id", "__tag", "drop"), ["__id", "__tag"], "left").drop("__id", "__tag").withColumn("numbers", F.col("drop.number")).withColumn("hs", F.col("drop.h")).drop("drop")
+    n = len(columns)
 
     def run(batches):
         for batch in batches:
-            texts, numbers, hs = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            texts, numbers, hs = (batch.column(i).to_pylist() for i in (n, n + 1, n + 2))
             kept, dropped = list(texts), np.zeros(len(texts), np.int32)
-            some = [i for i, n in enumerate(numbers) if n]
-            for a, b in slices([texts[i] for i in some]):
+            some = [i for i, x in enumerate(numbers) if x]
+            for a, b in slices([texts[i] for i in some], PIECE):
                 now = some[a:b]
                 lines = Lines([texts[i] for i in now], 0)
                 h = lines.hashes(lines.begin, lines.end).view(np.int64)
                 ends = np.searchsorted(lines.of, np.arange(b - a + 1))
                 for j, i in enumerate(now):
                     gone_ = set(zip(numbers[i], hs[i], strict=True))
-                    own = h[ends[j] : ends[j + 1]].tolist()
-                    stay = [t for n, (t, v) in enumerate(zip(texts[i].split("\n"), own, strict=True)) if (n, v) not in gone_]
-                    dropped[i] = len(own) - len(stay)
+                    mine = h[ends[j] : ends[j + 1]].tolist()
+                    stay = [t for k, (t, v) in enumerate(zip(texts[i].split("\n"), mine, strict=True)) if (k, v) not in gone_]
+                    dropped[i] = len(mine) - len(stay)
                     kept[i] = "\n".join(stay)
             count = pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), count, pa.array(dropped)], names=["row", "kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(kept, pa.string()), count, pa.array(dropped)], names=[*batch.schema.names[:n], "kept", "n_lines", "n_dropped"])
+
+    return joined.mapInArrow(run, schema + ", kept string, n_lines int, n_dropped int")
+
 
-    return joined.mapInArrow(run, _schema(docs) + ", kept string, n_lines int, n_dropped int")
+def apply_drops(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (doc_id, kept string, n_lines, n_dropped), one for each row of docs."""
+    return _with_drops(docs, gone, [id_of().alias("doc_id")], "doc_id long")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with their lines deduplicated (and n_chars, if there, counted anew); documents left without a line go."""
-    out = apply_drops(docs, drops(docs, **options))
-    blank = F.length(F.regexp_replace("kept", r"\s+", "")) == 0
-    stay = out.where(~(blank & (F.col("n_dropped") > 0)))
-    changed = F.col("n_dropped") > 0
     types = dict(docs.dtypes)
-    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept")} if "n_chars" in types else {})
-    return stay.select(*(F.when(changed, new[c].cast(types[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    # all columns but the text travel beside it
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    fields = "".join(f"`{c}`: {t}, " for c, t in docs.dtypes if c != "text")
+    out = _with_drops(docs, drops(docs, **options), [F.struct(*others, F.col("text").isNull().alias("__none")).alias("row")], f"row struct<{fields}`__none`: boolean>")
+    changed = F.col("n_dropped") > 0
+    blank = F.length(F.regexp_replace("kept", r"\s+", "")) == 0
+    new = {"text": F.when(~F.col("row.__none"), F.col("kept")).cast(types["text"])}
+    if "n_chars" in types:
+        new["n_chars"] = F.when(changed, F.length("kept").cast(types["n_chars"])).otherwise(F.col("row.n_chars"))
+    return out.where(~(blank & changed)).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = apply_drops(docs, drops(docs))
-    return out.select("row.doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
 __all__ = ["dedup", "drops", "edit_distances", "op2_line_dedup"]
