@@ -11,9 +11,9 @@ Registers are banded. Candidates are members of a bucket whose one-bit sketches
 far apart; a bucket's rows carry the sketches, so only candidates become rows. They are verified exactly by the overlap of
 their multisets. In each round a bucket has a leader, at first the member found in the fullest buckets, later one of
 its largest component, and each multiset is verified with one leader only, the nearest by sketch. Rounds go on while
-the rows of buckets that still hold several components fall. Then members of each such bucket's smaller components
-meet all others of the bucket, in blocks of bounded size. So every candidate pair is verified or already connected,
-and a bucket of copies is not paired out.
+they find links. Then members of each bucket's smaller components meet all others of the bucket, in blocks of bounded
+size; a pair becomes a row in the first band on which it agrees. So every candidate pair is verified or already
+connected, and a bucket of copies is not paired out.
 
 Candidates are found and verified between multisets, each with its own bands, sketch and text, whatever the ids of
 its rows; documents with equal multisets form one class at once. Rows that share a doc_id are taken as one document:
@@ -39,10 +39,15 @@ REGISTERS = 1024
 #: Registers whose lowest bits make the sketch. Texts that differ in more bits than FAR are not candidates: at a
 #: similarity of 0.8 about 102 of 1024 bits differ, with a deviation of 9.6.
 WORDS, FAR = REGISTERS // 64, 146
+#: The last step also compares the registers' second bits: at 0.8 about 154 registers differ in one of both, with a
+#: deviation of 11.4.
+FAR_BOTH = 206
 #: Members of a bucket that share a leader, or meet as a block, in one task.
 BLOCK = 1024
 #: Texts are worked on by slices of so many characters.
 PIECE = 400_000
+#: A round of leaders that finds links in fewer of its pairs is the last one.
+FEW = 0.1
 #: Bits of a shingle's hash that are kept; the rest of 64 bits tells texts apart while sorting.
 HASH_BITS = 48
 
@@ -145,32 +150,33 @@ def fingerprints(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int)
 
 
 def sign(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Rows (doc_id, n, f1, f2, bands array<long>, bits array<long>): shingles, fingerprint, a key for each band, and
-    the registers' lowest bits. One narrow pass."""
+    """Rows (doc_id, n, f1, f2, bands array<long>, bits array<long>, more array<long>): shingles, fingerprint, a key for
+    each band, and the registers' lowest and second bits. One narrow pass."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n", "f1", "f2", "bands", "bits"]
+    names = ["doc_id", "n", "f1", "f2", "bands", "bits", "more"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n, f1, f2 = (np.zeros(len(texts), np.int64) for _ in range(3))
-            keys, bits = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), WORDS), np.int64)
+            keys, bits = np.zeros((len(texts), BANDS), np.int64), np.zeros((2, len(texts), WORDS), np.int64)
             for a, b in slices(texts, PIECE):
                 of, element, count = multisets(texts[a:b], width)
                 n[a:b] = np.bincount(of, count, b - a)
                 f1[a:b], f2[a:b] = fingerprints(of, element, count, b - a)
                 whole = signatures(of, element, count, b - a)
-                bits[a:b] = np.packbits((whole & 1).astype(np.uint8), axis=1).view(np.int64)
+                for k in range(2):
+                    bits[k, a:b] = np.packbits((whole >> k & 1).astype(np.uint8), axis=1).view(np.int64)
                 sig = whole[:, : BANDS * WIDTH].astype(np.uint64).reshape(b - a, BANDS, WIDTH)
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b - a, BANDS))
                 for k in range(WIDTH):
                     key = mix(key * _A + sig[:, :, k])
                 keys[a:b] = key.view(np.int64)
-            lists = [pa.ListArray.from_arrays(np.arange(0, k * len(texts) + 1, k, dtype=np.int32), x.ravel()) for k, x in ((BANDS, keys), (WORDS, bits))]
+            lists = [pa.ListArray.from_arrays(np.arange(0, k * len(texts) + 1, k, dtype=np.int32), x.ravel()) for k, x in ((BANDS, keys), (WORDS, bits[0]), (WORDS, bits[1]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, f1, f2)), *lists], names=names)
 
     rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, bits array<long>, more array<long>")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -245,21 +251,28 @@ def _apart(left: str, right: str) -> Column:
     return apart
 
 
-def _buckets(coded: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (key, rep, sub, weight, w0 ...): the multisets of each bucket that several have, with their sketches.
+def _apart_both(left: str, right: str) -> Column:
+    """In how many registers the lowest or second bits differ; for the few pairs that are near by the lowest ones."""
+    differ = [F.zip_with(f"{left}{k}", f"{right}{k}", lambda p, q: p.bitwiseXOR(q)) for k in ("bits", "more")]
+    counts = F.zip_with(*differ, lambda p, q: F.bit_count(p.bitwiseOR(q)))
+    return F.aggregate(counts, F.lit(0), lambda x, y: x + y)
+
+
+def _buckets(coded: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, rep, band, sub, weight, w0 ...): the multisets of each bucket that several have, with their sketches;
+    and rows (rep, bands, bits, more) of all multisets.
 
     sub deals the members of a large bucket; weight is the number of members in all buckets of the multiset.
     """
-    single = materialize(coded.where("n > 0").join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "bands", "bits"), "single")
-    keyed = single.select("rep", F.explode("bands").alias("key"))
+    single = materialize(coded.where("n > 0").join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "bands", "bits", "more"), "single")
+    keyed = single.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     full = join_by_key(keyed, sizes, ["key"], "size").withColumn("weight", F.sum("size").over(Window.partitionBy("rep")))
     full = full.withColumn("sub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
     sketches = single.select("rep", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)))
     out = materialize(full.join(sketches, "rep").drop("size"), "buckets")
-    for df in (single, sizes):
-        discard(df)
-    return out
+    discard(sizes)
+    return out, single
 
 
 def _mixed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -291,41 +304,45 @@ def _with_leaders(rows: DataFrame, done: DataFrame | None, step: int) -> DataFra
     return _untested(near, done).groupBy("rep").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
 
 
-def _with_all(rows: DataFrame, done: DataFrame | None) -> DataFrame:
+def _with_all(rows: DataFrame, bands: DataFrame, done: DataFrame | None) -> DataFrame:
     """All untested candidate pairs (a, b) of different components: in each bucket, the members of all components but
-    its fullest meet all others, block by block."""
+    its fullest meet all others, block by block. A pair that shares several buckets is taken from the first only."""
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
     parts = parts.select("key", F.col("top.component").alias("top"), "n", F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("few"), F.ceil(F.col("n") / BLOCK).alias("all"))
-    rows = materialize(join_by_key(rows, materialize(parts, "parts"), ["key"], "n").withColumn("minor", F.col("component") != F.col("top")), "mixed")
+    rows = rows.join(bands, "rep")
+    rows = materialize(join_by_key(materialize(rows, "banded"), materialize(parts, "parts"), ["key"], "n").withColumn("minor", F.col("component") != F.col("top")), "mixed")
     part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     x = rows.where("minor").withColumn("p", part("few")).withColumn("q", each("all")).alias("x")
     y = rows.withColumn("q", part("all")).withColumn("p", each("few")).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
     once = ~F.col("y.minor") | (F.col("x.rep") < F.col("y.rep"))
-    pairs = x.join(y, met & once & (F.col("x.component") != F.col("y.component")) & (_apart("x.", "y.") <= FAR))
+    earlier = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))
+    pairs = x.join(y, met & once & (F.col("x.component") != F.col("y.component")) & (_apart("x.", "y.") <= FAR) & ~earlier & (_apart_both("x.", "y.") <= FAR_BOTH))
     return _untested(pairs.select(*_ordered("x.rep", "y.rep")).distinct(), done)
 
 
-def _linked(docs: DataFrame, groups: DataFrame, buckets: DataFrame, least: float, width: int, rounds: int) -> DataFrame | None:
+def _linked(docs: DataFrame, groups: DataFrame, buckets: DataFrame, bands: DataFrame, least: float, width: int, rounds: int) -> DataFrame | None:
     """The links (a, b) that connect all that candidate pairs connect; None if there are none."""
-    links, done, found, before = None, None, None, None
+    links, done, found, some = None, None, None, True
     for step in range(rounds + 1):
         rows = materialize(_mixed(buckets, found), "mixed")
-        now = rows.count()
-        # the leaders have done their part once the rows hardly fall
-        last = step == rounds or before is not None and now > 0.8 * before
-        before = now
-        near = materialize(_with_all(rows, done) if last else _with_leaders(rows, done, step), "near")
-        if not near.isEmpty():
+        # the leaders have done their part once they find few links
+        last = step == rounds or not some
+        near = materialize(_with_all(rows, bands, done) if last else _with_leaders(rows, done, step), "near")
+        tested = near.count()
+        some = False
+        if tested:
             ids = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
             texts = materialize(_texts(docs, groups.select("rep", "low", "f1", "f2").join(ids, "rep", "left_semi"), width), "texts")
             good = materialize(verify(near, texts, least, width), "links")
             discard(texts)
             done = near if done is None else done.unionByName(near)
             links = good if links is None else links.unionByName(good)
-            if not last and not good.isEmpty():
+            linked = good.count()
+            some = linked >= FEW * tested
+            if not last and linked:
                 found = materialize(components(links), "components")
         discard(rows)
         if last:
@@ -345,7 +362,7 @@ def _of_one_id(coded: DataFrame, groups: DataFrame, same: list[str]) -> DataFram
     return join_by_key(owned, hub, ["doc_id"], "rows").where("a <> rep").select("a", F.col("rep").alias("b"))
 
 
-def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int = 5) -> DataFrame:
     """Rows (doc_id, n_shingles, class_id), one for each row of docs: the smallest doc_id of those connected by links.
 
     Bands and sketches are made for links of a similarity of LEAST or more; a smaller ``least`` is refused. There are
@@ -359,7 +376,7 @@ def classes(docs: DataFrame, *, least: float = 0.8, width: int = 5, rounds: int
     same = ["n", "f1", "f2"]
     # one row for each multiset: its first row stands for it
     groups = materialize(coded.groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("times")), "groups")
-    links = _linked(docs, groups, _buckets(coded, groups), least, width, rounds)
+    links = _linked(docs, groups, *_buckets(coded, groups), least, width, rounds)
     joint = _of_one_id(coded, groups, same)
     edges = [e for e in (links, joint) if e is not None]
     named = groups.select(*same, "times", F.col("low").alias("class_id"))
