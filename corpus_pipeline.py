@@ -1,7 +1,9 @@
 """The corpus pipeline: toxic documents go, then repeated lines, then near copies; what stays is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents.
+of documents, and any others the table has, whatever their names. Null and empty texts are kept by the first three
+stages and packed as one end token each; rows without a doc_id stay if their text differs from others'; rows that
+repeat leave one. Texts of any length are taken whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tintloom.llm import lines, minhash, packing, toxicity
-from tintloom.llm.common import materialize, table
+from tintloom.llm.common import discard, materialize, scratch, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +43,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet and read by the next."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:  # what a stage wrote for itself goes once its result is written
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,3 +36,16 @@ def test_few_rows_and_none(spark):
     out = sharding.shard(df).collect()
     assert sorted((r["doc_id"], r["size"]) for r in out) == [(1, 4), (2, 1)]
     assert sharding.shard(no_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("size,sample,splitters,exact", [(5_000_000, 20, 8, 5), (100_000_000, 20_000, 1_000, 500)])
+def test_one_text_that_outweighs_all_others(spark, size, sample, splitters, exact):
+    df = spark.range(700).selectExpr("id doc_id", f"case when id = 333 then repeat('x', {size}) else 'abcd' end text")
+    out = sharding.shard(df, sample=sample, splitters=splitters, exact_rows=exact).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in out) == [(i, size + 1 if i == 333 else 5) for i in range(700)]
+    shards = [r["shard"] for r in sorted(out, key=lambda r: r["doc_id"])]
+    assert shards == sorted(shards) and 0 <= shards[0] and shards[-1] < 16
+    held = {}
+    for r in out:
+        held.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in held.values())

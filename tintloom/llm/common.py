@@ -53,13 +53,13 @@ def scratch():
     _written.append(own)
 
     def keep(df: DataFrame) -> DataFrame:
-        own.remove(df)
+        own[:] = [x for x in own if x is not df]
         return df
 
     try:
         yield keep
     finally:
-        _written.remove(own)
+        _written.pop()
         for df in own:
             discard(df)
 
@@ -84,6 +84,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 def discard(written: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    if _written and any(df is written for df in _written[-1]):
+        _written[-1][:] = [df for df in _written[-1] if df is not written]
     jvm, spark = written.sparkSession._jvm, written.sparkSession
     place = jvm.org.apache.hadoop.fs.Path(written.written_at)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,14 +7,15 @@ nearly equal bytes (they differ by about one record).
 
 Ties in the key are ordered by a hash of the text and then by a hash of the row's place, so a key that holds many
 rows, or rows that repeat, are subdivided as well. A null key comes first, a null text has size 1. With fewer rows
-than shards some shards are empty. An empty table gives an empty result.
+than shards some shards are empty. A text as large as several shards fills one, and those beside it may be empty. An
+empty table gives an empty result. Only the key and the text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, id_of, materialize, table
@@ -42,35 +43,59 @@ def _with_range(rows: DataFrame, splitters: list[tuple]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", range int")
 
 
-def _sample(rows: DataFrame, most: int) -> list[tuple]:
-    """At most `most` keys, each row's chance being in proportion to its size (the smallest exponential marks)."""
-    uniform = (F.shiftrightunsigned(F.xxhash64("salt", F.lit(7)), 11) + 0.5) / float(2**53)
-    marked = rows.select(*KEY, (-F.log(uniform) / F.col("size")).alias("mark"))
+def _sample(rows: DataFrame, most: int, step: int, total: int, weight: Column) -> list[tuple]:
+    """At most `most` keys, each row's chance being in proportion to its weight (the smallest exponential marks).
+
+    total: the sum of the weights. Each step draws anew.
+    """
+    uniform = (F.shiftrightunsigned(F.xxhash64("salt", F.lit(7 + step)), 11) + 0.5) / float(2**53)
+    marked = rows.select(*KEY, (-F.log(uniform) / weight).alias("mark"))
     # about 1.5 * most rows have marks below this, so no more than that are sorted, however many tasks there are
-    total = rows.agg(F.sum("size")).first()[0] or 0
     below = marked.where(F.col("mark") <= 1.5 * most / max(total, 1))
     return sorted(tuple(r) for r in below.orderBy("mark").limit(most).select(*KEY).collect())
 
 
+def _behind(key: tuple) -> tuple:
+    """The next key in the order."""
+    key = list(key)
+    for i in (2, 1, 0):
+        if key[i] < 2**63 - 1:
+            key[i] += 1
+            break
+        key[i] = -(2**63)
+    return tuple(key)
+
+
 def boundaries(rows: DataFrame, n_shards: int, sample: int, splitters: int, exact_rows: int) -> list[tuple]:
-    """The first key of each shard but the first. The driver holds at most `sample` keys, `splitters` sums and
-    `exact_rows` keys a boundary."""
+    """The first key of each shard but the first. The driver holds at most 2 * `sample` keys, 4 * `splitters` sums and
+    `exact_rows` keys a boundary.
+
+    Half of the splitters are drawn by size and half by row, and each range also ends just behind a splitter drawn by
+    size: so a row that outweighs all others is soon alone in its range, and the rows beside it are subdivided.
+    """
     total = rows.agg(F.sum("size")).first()[0]
     found: dict[int, tuple] = {}
+    key = F.struct(*KEY)
+    literal = lambda s: F.struct(*(F.lit(v).cast("long").alias(k) for k, v in zip(KEY, s, strict=True)))
+
+    def within(low, high):
+        part = key >= literal(low) if low else F.lit(True)
+        return part & (key < literal(high)) if high else part
+
     # stretches of the key order that hold boundaries still to be found: (low, high, bytes before, boundaries)
     open_: list[tuple] = [(None, None, 0, {i: total * i / n_shards for i in range(1, n_shards)})] if total else []
+    step = 0
     while open_:
-        key = F.struct(*KEY)
-        literal = lambda s: F.struct(*(F.lit(v).cast("long").alias(k) for k, v in zip(KEY, s, strict=True)))
         inside = F.lit(False)
         for low, high, _, _ in open_:
-            part = F.lit(True)
-            part = part & (key >= literal(low)) if low else part
-            inside = inside | (part & (key < literal(high)) if high else part)
+            inside = inside | within(low, high)
         some = rows.where(inside)
-        taken = _sample(some, sample)
-        step = max(1, len(taken) // splitters)
-        cuts = sorted({*taken[step // 2 :: step], *(s for x in open_ for s in x[:2] if s)})
+        n, held = some.agg(F.count("*"), F.sum("size")).first()
+        drawn = []
+        for weight, sum_ in ((F.col("size"), held), (F.lit(1), n)):
+            taken = _sample(some, sample, step, sum_, weight)
+            drawn.append(taken[max(1, len(taken) // splitters) // 2 :: max(1, len(taken) // splitters)])
+        cuts = sorted({*drawn[0], *map(_behind, drawn[0]), *drawn[1], *(s for x in open_ for s in x[:2] if s)})
         sums = {r["range"]: r for r in _with_range(some, cuts).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
         edges = [None, *cuts, None]
         after: list[tuple] = []
@@ -82,12 +107,8 @@ def boundaries(rows: DataFrame, n_shards: int, sample: int, splitters: int, exac
                 held = sums[r]["bytes"]
                 here = {i: e for i, e in ends.items() if done <= e < done + held}
                 if here and sums[r]["n"] <= exact_rows:
-                    low_, high_ = edges[r], edges[r + 1]
-                    part = F.lit(True)
-                    part = part & (key >= literal(low_)) if low_ else part
-                    part = part & (key < literal(high_)) if high_ else part
                     at = done
-                    for k in sorted((tuple(x[n] for n in KEY), x["size"]) for x in rows.where(part).collect()):
+                    for k in sorted((tuple(x[n] for n in KEY), x["size"]) for x in rows.where(within(edges[r], edges[r + 1])).collect()):
                         for i, e in here.items():
                             if i not in found and e - at <= k[1] / 2:
                                 found[i] = k[0]
@@ -99,6 +120,7 @@ def boundaries(rows: DataFrame, n_shards: int, sample: int, splitters: int, exac
                     after.append((edges[r], edges[r + 1], done, here))
                 done += held
         open_ = after
+        step += 1
     return [found[i] for i in sorted(found)]
 
 
