@@ -91,7 +91,7 @@ def discard(written: DataFrame) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 20_000, most_bytes: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 20_000, most_bytes: int = 4 << 20) -> None:
     """Bound the bytes of an Arrow batch, since one text can be very long, and its rows."""
     for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", most_bytes)):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) != str(value):

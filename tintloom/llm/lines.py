@@ -261,7 +261,7 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
-    """Rows (h, line) of the lines whose hash is among ids (h)."""
+    """Rows (h, line) of the lines whose hash is among ids (h). A written table."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(ids, "h"))
 
     def run(batches):
@@ -286,7 +286,9 @@ def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(out_h, np.uint64).view(np.int64)), pa.array(out, pa.string())], names=["h", "line"])
 
     found = docs.select(text_of().alias("text")).mapInArrow(run, "h long, line string")
-    return found.join(ids, "h", "left_semi").dropDuplicates(["h"])
+    out = materialize(found.join(ids, "h", "left_semi").dropDuplicates(["h"]), "lines")
+    bits.destroy()
+    return out
 
 
 def verify(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -324,7 +326,7 @@ def line_classes(docs: DataFrame, occ: DataFrame, least_near: int, edits: int) -
     ids = rows.select("h").distinct()
     lines = occ.select(F.explode("lines").alias("l")).select("l.h", "l.parities", "l.letters").dropDuplicates(["h"]).join(ids, "h", "left_semi")
     rows = materialize(rows.join(lines, "h"), "screened")
-    texts = materialize(line_texts(docs, ids, least_near), "lines")
+    texts = line_texts(docs, ids, least_near)
     apart = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     near = (apart("parities") <= 4 * edits) & (apart("letters") <= 2 * edits)
     links, found, done = None, None, None

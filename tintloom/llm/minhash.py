@@ -214,7 +214,8 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
 
 
 def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """Rows (rep, text), one for each multiset of keys (rep, low, f1, f2; low being one of its ids): few other texts are moved."""
+    """Rows (rep, text), one for each multiset of keys (rep, low, f1, f2; low being one of its ids): few other texts are
+    moved. A written table."""
     spark = docs.sparkSession
     small_batches(spark)
     # one filter for the ids, which are at hand, and the fingerprints, which tell the texts of one id apart
@@ -240,7 +241,9 @@ def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
 
     rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
     found = rows.mapInArrow(run, "f1 long, f2 long, text string")
-    return found.join(keys.select("rep", "f1", "f2"), ["f1", "f2"]).select("rep", "text").dropDuplicates(["rep"])
+    out = materialize(found.join(keys.select("rep", "f1", "f2"), ["f1", "f2"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    bits.destroy()
+    return out
 
 
 def _apart(left: str, right: str) -> Column:
@@ -335,7 +338,7 @@ def _linked(docs: DataFrame, groups: DataFrame, buckets: DataFrame, bands: DataF
         some = False
         if tested:
             ids = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-            texts = materialize(_texts(docs, groups.select("rep", "low", "f1", "f2").join(ids, "rep", "left_semi"), width), "texts")
+            texts = _texts(docs, groups.select("rep", "low", "f1", "f2").join(ids, "rep", "left_semi"), width)
             good = materialize(verify(near, texts, least, width), "links")
             discard(texts)
             done = near if done is None else done.unionByName(near)

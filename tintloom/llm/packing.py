@@ -112,6 +112,10 @@ class Words:
         get = self.known.__getitem__
         return [self.plain(t) if self.odd(t) else b"".join(map(get, p)) for t, p in zip(texts, parted, strict=True)]
 
+    def forget(self) -> None:
+        for held in (self.known, self.older, self.pieces):
+            held.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -143,6 +147,7 @@ def encode_pieces(docs: DataFrame, capacity: int, path: str | None = None) -> Da
                     lengths.append(len(data) // 4)
                     crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=names)
+        code.forget()  # the worker goes on with other tasks
 
     rows = docs.select(id_of().alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, salt long, doc_tokens long, crcs array<long>")

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,12 +175,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, most_byt
             own = batch.column(0).to_pylist()
             for i, j, of, feature in features(own, place, used):
                 ends = np.searchsorted(of, np.arange(1, j - i))
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array([x.tolist() for x in np.split(feature, ends)], pa.list_(pa.int64()))], names=["y", "features"])
-
-    rows = sample.select("text", "y").mapInArrow(known, "y double, features array<long>").collect()  # most_rows rows of known features
-    y = np.array([r["y"] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
-    feature = np.array([f for r in rows for f in r["features"]], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array([x.tolist() for x in np.split(feature, ends)], pa.list_(pa.int32()))], names=["y", "features"])
+
+    # most_rows rows of known features, as two flat arrays
+    rows = sample.select("text", "y").mapInArrow(known, "y double, features array<int>").toArrow().combine_chunks()
+    y, lists = rows.column("y").to_numpy(), rows.column("features")
+    of = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    feature = pc.list_flatten(lists).to_numpy()
+    del rows, lists
     w, bias = _fit_weights(of, feature, ratio, y, penalty, steps)
     return Model(place, w * ratio, bias)
 
