@@ -26,6 +26,7 @@ all its words. An empty table gives an empty result. Only doc_id and text are re
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -399,12 +400,19 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     The rows of one id stay or go together: a document that stays keeps each of its different texts (so no text without
     an id is dropped but for repeats), one that goes loses them all.
     """
-    found = classes(docs.select("doc_id", "text"), **options)
-    stays = materialize(found.where("class_id <=> doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times")), "stays")
-    kept = lambda times: docs.join(stays.where(times), id_of().eqNullSafe(F.col("__id"))).drop("__id", "__times")
-    again = kept("__times > 1")
+    spark = docs.sparkSession
+    found = classes(docs.select("doc_id", "text"), **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("__stays"))
+    ids = materialize(found.groupBy("__id").agg(F.count("*").alias("__times"), F.min("__stays").alias("__stays")), "ids")
+    # only documents that may go or repeat are joined; the others stay where they are
+    bits = spark.sparkContext.broadcast(wanted_filter(ids.where("__times > 1 or not __stays"), "__id"))
+    maybe = F.pandas_udf(lambda s: pd.Series(wanted(bits.value, s.to_numpy().view(np.uint64))), "boolean")
+    marked = docs.withColumn("__id", F.coalesce(id_of(), F.lit(NO_ID))).withColumn("__maybe", maybe("__id"))
+    some = materialize(marked.where("__maybe").drop("__maybe"), "maybe")
+    kept = materialize(join_by_key(some, ids, ["__id"], "__times").where("__stays").select(*(F.col(f"`{c}`") for c in docs.columns), "__times"), "kept")
+    again = kept.where("__times > 1").drop("__times")
     empty = F.length(F.regexp_replace(text_of(), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")) == 0
-    return kept("__times = 1").unionByName(again.where(~empty).dropDuplicates(["doc_id", "text"])).unionByName(again.where(empty))
+    once = marked.where("not __maybe").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(kept.where("__times = 1").drop("__times"))
+    return once.unionByName(again.where(~empty).dropDuplicates(["doc_id", "text"])).unionByName(again.where(empty))
 
 
 def op6_bag_minhash(spark, sf_dir):
