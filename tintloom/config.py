@@ -50,7 +50,8 @@ REFERENCE_MODES = (1, 3, 5, 6)
 class JobConfig:
     """One run: which method, over which slides, into which output.
 
-    ``source_scope`` is ``tile`` (each tile's own statistics) or ``slide``;
+    ``source_scope`` is ``tile``: a run takes each tile's own statistics (``plans.pipeline.transform`` takes a slide's).
+    ``compression`` is ``deflate`` or ``none``; JPEG needs a library, so it and ``jpeg_quality`` are refused.
     ``orientation`` is ``as_reference`` or ``positive`` (see ``stains.basis``).
     """
 
@@ -59,8 +60,8 @@ class JobConfig:
     ref_path: str | None = None
     slide_type: str = "biopsy"
     tile_size: int = TILE_SIZE
-    compression: str = "jpeg"
-    jpeg_quality: int = 80
+    compression: str = "deflate"
+    jpeg_quality: int | None = None
     output_format: str = "wsi"
     save_log: bool = True
     source_scope: str = "tile"
@@ -87,8 +88,10 @@ class JobConfig:
             found.append("this mode needs a reference slide that exists")
         if not self.output_dir:
             found.append("no output folder is set")
-        choices = (("slide_type", ("biopsy", "tma")), ("compression", ("jpeg", "deflate")), ("output_format", ("wsi", "tiles")), ("source_scope", ("tile", "slide")), ("orientation", ("as_reference", "positive")))
+        choices = (("slide_type", ("biopsy", "tma")), ("compression", ("deflate", "none")), ("output_format", ("wsi", "tiles")), ("source_scope", ("tile",)), ("orientation", ("as_reference", "positive")))
         found += [f"{name} must be one of {', '.join(allowed)}" for name, allowed in choices if getattr(self, name) not in allowed]
+        if self.jpeg_quality is not None:
+            found.append("jpeg_quality has no use: pyramids are written without loss")
         if self.tile_size < 1:
             found.append("tile_size must be positive")
         return found

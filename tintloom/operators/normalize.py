@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -60,10 +61,21 @@ def lut_rows(cdfs: DataFrame, profile: Profile) -> DataFrame:
 
 
 def luts(pixels: DataFrame, profile: Profile, by: list[str]) -> DataFrame:
-    """One row a group with three tables of 256 values."""
-    rows = lut_rows(stats.cdf(stats.dense(stats.histogram(pixels, by), by), by), profile)
-    one = lambda ch: F.transform(F.array_sort(F.collect_list(F.when(F.col("ch") == ch, F.struct("v", "lut")))), lambda s: s["lut"])
-    return rows.groupBy(*by).agg(*(one(c.upper()).alias(f"lut_{c}") for c in "rgb"))
+    """One row a group with three tables of 256 values. A group sends its counts, 768 at most, and gets its tables."""
+    target = profile.cdf
+
+    @F.pandas_udf("lut_r array<int>, lut_g array<int>, lut_b array<int>")
+    def tables(channels: pd.Series, values: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        out = []
+        for ch, v, n in zip(channels, values, counts, strict=True):
+            own = np.zeros((3, 256), np.int64)
+            own[np.asarray(ch), np.asarray(v)] = n
+            shares = own.cumsum(1) / np.maximum(own.sum(1, keepdims=True), 1)
+            out.append([np.searchsorted(target[:, i], shares[i], "left").astype(np.int32) for i in range(3)])
+        return pd.DataFrame({f"lut_{c}": [t[i] for t in out] for i, c in enumerate("rgb")})
+
+    rows = stats.histogram(pixels, by).groupBy(*by).agg(F.collect_list(F.struct((F.instr(F.lit("RGB"), F.col("ch")) - 1).alias("ch"), "v", "n")).alias("counts"))
+    return rows.select(*by, tables("counts.ch", "counts.v", "counts.n").alias("luts")).select(*by, "luts.*")
 
 
 def histogram_match(pixels: DataFrame, profile: Profile, by: list[str] = TILE) -> DataFrame:
@@ -174,23 +186,34 @@ def np_with_background(image: np.ndarray, profile: Profile, function: Callable |
     return out
 
 
-def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = None) -> DataFrame:
-    """Packed tiles, normalized; with ``pad_to`` edge tiles are filled up with white. One narrow pass."""
+def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = None, keep_errors: bool = False) -> DataFrame:
+    """Packed tiles, normalized; with ``pad_to`` edge tiles are filled up with white. One narrow pass.
+
+    With ``keep_errors`` rows also have ``seconds``, and ``error`` where the normalizer fails (without pixels then).
+    """
     function = _REGISTRY[profile.kind]
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                image = np_with_background(array_of(row.pixels, row.h, row.w), profile, function)
+                began = time.perf_counter()
+                try:
+                    image = np_with_background(array_of(row.pixels, row.h, row.w), profile, function)
+                except Exception as e:
+                    if not keep_errors:
+                        raise
+                    out.append((row.slide_id, row.tx, row.ty, row.h, row.w, None, time.perf_counter() - began, str(e) or type(e).__name__))
+                    continue
                 if pad_to:
                     full = np.full((pad_to, pad_to, 3), 255, np.uint8)
                     full[: row.h, : row.w] = image
                     image = full
-                out.append((row.slide_id, row.tx, row.ty, *image.shape[:2], image.tobytes()))
-            yield pd.DataFrame(out, columns=["slide_id", "tx", "ty", "h", "w", "pixels"])
+                out.append((row.slide_id, row.tx, row.ty, *image.shape[:2], image.tobytes(), time.perf_counter() - began, None))
+            yield pd.DataFrame(out, columns=["slide_id", "tx", "ty", "h", "w", "pixels", "seconds", "error"])
 
-    return tiles.select("slide_id", "tx", "ty", "h", "w", "pixels").mapInPandas(run, TILES)
+    out = tiles.select("slide_id", "tx", "ty", "h", "w", "pixels").mapInPandas(run, f"{TILES}, seconds double, error string")
+    return out if keep_errors else out.drop("seconds", "error")
 
 
 def tile_histograms(tiles: DataFrame) -> DataFrame:

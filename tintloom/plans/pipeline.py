@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
-import time
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MIN_VALID_TILES, JobConfig
-from ..functions.names import base_name, resolution, stem
+from ..functions.names import resolution, stem
 from ..operators import normalize, packed, pyramid, quality, stains, stats, tissue
 from ..operators.grid import sampling_grid
 from ..operators.normalize import Profile
@@ -120,51 +120,82 @@ def with_levels(tiles: DataFrame, slides: DataFrame, tile: int) -> tuple[DataFra
 
 
 def run(spark: SparkSession, config: JobConfig, paths: list[str]) -> DataFrame:
-    """A whole batch over slide files; returns the run log. Slides that can't be read become error rows."""
+    """A whole batch over slide files; returns the run log.
+
+    A slide whose header or any tile can't be read, or that can't be normalized or written, becomes an error row, takes
+    no part in batch averages and leaves no file; the others go on. A reference like that ends the run.
+    """
     reference = [config.ref_path] if config.ref_path else []
     # a reference outside the batch is read but not normalized
     every = list(dict.fromkeys([*paths, *reference]))
     problems = config.problems(len(paths), exists=lambda p: p in every)
     if problems:
         raise ValueError("; ".join(problems))
-    began = time.perf_counter()
     ids = spark.createDataFrame([(i, p) for i, p in enumerate(every)], "slide_id int, path string")
     headers = ids.join(files.slide_headers(ids), "path").select("slide_id", "path", "width", "height", "levels", "mpp", "error").persist()
-    bad = [r.asDict() for r in headers.where("error is not null").select(base_name(F.col("path")).alias("filename"), "error").collect()]
+    failed = {r["path"]: r["error"] for r in headers.where("error is not null").collect()}
     slides = tissue.readable(headers)
-    good = {r["path"]: r["slide_id"] for r in slides.select("path", "slide_id").collect()}
+    heights = {r["path"]: r["height"] for r in slides.select("path", "height").collect()}  # a row a slide
+    raw = files.read_tiles(spark, list(heights), config.tile_size, list(heights.values()))
+    # every block is decoded once before anything is fitted or written: one unreadable tile fails its slide
+    failed |= {r["path"]: r["error"] for r in raw.where("error is not null").groupBy("path").agg(F.min("error").alias("error")).collect()}
+    good = {p: i for i, p in enumerate(every) if p not in failed}
     if config.mode in (1, 3, 5, 6) and config.ref_path not in good:
-        raise RuntimeError("the reference slide can't be read")
-    raw = files.read_tiles(spark, list(good), config.tile_size)
+        raise RuntimeError(f"the reference slide can't be read: {failed[config.ref_path]}")
+    slides = slides.where(F.col("slide_id").isin(list(good.values())))
     tiles = raw.where("error is null").join(F.broadcast(ids), "path").select("slide_id", "tx", "ty", "h", "w", "pixels")  # ids: a row a slide
     # batch modes average the batch itself; a reference that isn't part of it has no say there
     batch = [good[p] for p in paths if p in good]
     own, mine = (d.where(F.col("slide_id").isin(batch)) for d in (tiles, slides))
-    by_reference = config.mode in (1, 3, 5, 6)
-    profile = fit_packed(tiles if by_reference else own, slides if by_reference else mine, config, good.get(config.ref_path))
-    named = mine.select("*", stem(F.col("path")).alias("stem"))
-    common = {"method": config.method, "elapsed_s": None}
-    if config.output_format == "tiles":
-        manifest = sinks.write_png_tiles(own, named, profile, config.output_dir).persist()
-        counts = sinks.tile_counts(manifest, config.tile_size).join(named.select("slide_id", "stem"), "slide_id").collect()
-        manifest.unpersist()
-        done = [{"filename": r["stem"], **{k: r[k] for k in ("tiles_total", "tiles_saved", "tiles_skipped")}} for r in counts]
-    else:
-        levels, sizes = with_levels(normalize.normalize_tiles(own, profile, pad_to=config.tile_size), mine, config.tile_size)
-        per_cm, unit = resolution(F.when(F.col("mpp") != "unknown", F.col("mpp")))
-        about = named.join(sizes, "slide_id").select("slide_id", "stem", "widths", "heights", per_cm.alias("resolution"), unit.alias("unit"))
-        done = [{"filename": r["file"], "tiles_total": r["tiles"], **stain_fields(profile)} for r in sinks.write_pyramids(levels, about, config.output_dir, config.tile_size).collect()]
-        if config.mode in (3, 4):
-            done = _with_sample_counts(done, own, named, config)
-    elapsed = round((time.perf_counter() - began) / max(1, len(done)), 2)
-    log = log_rows(spark, [{**common, **r, "elapsed_s": elapsed} for r in done] + bad)
+    name_of = {i: every[i].rsplit("/", 1)[-1] for i in range(len(every))}
+    done: list[dict] = []
+    if batch:
+        by_reference = config.mode in (1, 3, 5, 6)
+        profile = fit_packed(tiles.where(F.col("slide_id").isin(list(good.values()))) if by_reference else own, slides if by_reference else mine, config, good.get(config.ref_path))
+        named = mine.select("*", stem(F.col("path")).alias("stem"))
+        done = (_write_tiles if config.output_format == "tiles" else _write_slides)(own, named, profile, config)
+    elif config.mode in (2, 4):
+        raise RuntimeError("no slide of the batch can be read")
+    lost = [{"filename": p.rsplit("/", 1)[-1], "error": failed[p]} for p in paths if p in failed]
+    lost += [{"filename": name_of[r["slide_id"]], "error": r["error"]} for r in done if r.get("error") is not None]
+    log = log_rows(spark, [{"method": config.method, **r} for r in done if r.get("error") is None] + [{"method": config.method, **r} for r in lost])
     headers.unpersist()
     if config.save_log:
         now = datetime.datetime.now()
-        sinks.write_run_log(log, config, now.strftime("%Y-%m-%d  %H:%M:%S"), now.strftime("%Y%m%d_%H%M%S"))
+        sinks.write_run_log(log, config, now.strftime("%Y-%m-%d %H:%M:%S"), now.strftime("%Y%m%d_%H%M%S"))
     return log
 
 
+def _write_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, config: JobConfig) -> list[dict]:
+    """Rows of the log of PNG tiles, one a slide."""
+    manifest = sinks.write_png_tiles(tiles, slides, profile, config.output_dir).persist()
+    rows = sinks.tile_counts(manifest, config.tile_size).join(manifest.groupBy("slide_id").agg(F.round(F.sum("seconds"), 4).alias("elapsed_s")), "slide_id")
+    counts = rows.join(slides.select("slide_id", "stem"), "slide_id").collect()
+    manifest.unpersist()
+    return [{"slide_id": r["slide_id"], "filename": r["stem"], **{k: r[k] for k in ("tiles_total", "tiles_saved", "tiles_skipped", "elapsed_s")}} for r in counts]
+
+
+def _write_slides(tiles: DataFrame, slides: DataFrame, profile: Profile, config: JobConfig) -> list[dict]:
+    """Rows of the log of pyramids, one a slide; elapsed_s is the work on a slide's own tiles and file."""
+    # normalized once; kept on the executors' disks, since level 0 and the reduced levels both take it
+    made = normalize.normalize_tiles(tiles, profile, pad_to=config.tile_size, keep_errors=True).persist(StorageLevel.DISK_ONLY)
+    try:
+        spent = {r["slide_id"]: r for r in made.groupBy("slide_id").agg(F.sum("seconds").alias("seconds"), F.min("error").alias("error")).collect()}  # a row a slide
+        errors = [i for i, r in spent.items() if r["error"] is not None]
+        fine, some = made.where(~F.col("slide_id").isin(errors)), slides.where(~F.col("slide_id").isin(errors))
+        levels, sizes = with_levels(fine.drop("seconds", "error"), some, config.tile_size)
+        per_cm, unit = resolution(F.when(F.col("mpp") != "unknown", F.col("mpp")))
+        about = some.join(sizes, "slide_id").select("slide_id", "stem", "widths", "heights", per_cm.alias("resolution"), unit.alias("unit"))
+        rows = sinks.write_pyramids(levels, about, config.output_dir, config.tile_size, config.compression).collect()
+    finally:
+        made.unpersist()
+    time_of = lambda r: round(r["seconds"] + (spent[r["slide_id"]]["seconds"] if r["slide_id"] in spent else 0.0), 4)
+    done = [{"slide_id": r["slide_id"], "filename": r["file"], "tiles_total": r["tiles"], "elapsed_s": time_of(r), "error": r["error"], **stain_fields(profile)} for r in rows]
+    if config.mode in (3, 4):
+        done = _with_sample_counts(done, tiles, slides, config)
+    return done + [{"slide_id": i, "error": spent[i]["error"]} for i in errors]
+
+
 def _with_sample_counts(done: list[dict], tiles: DataFrame, slides: DataFrame, config: JobConfig) -> list[dict]:
     """The log of LAB runs also tells how many sampled tiles counted."""
     windows = packed.cut_windows(tiles, sampling_grid(slides, config.slide_type, config.tile_size), config.tile_size)

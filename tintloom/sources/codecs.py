@@ -9,7 +9,10 @@ import numpy as np
 
 # TIFF tags used here.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
+PREDICTOR = 317
 X_RES, Y_RES, PLANAR, UNIT, TILE_W, TILE_H, TILES, TILE_BYTES, SUBFILE = 282, 283, 284, 296, 322, 323, 324, 325, 254
+#: Not a tag: the byte order of the file, "<" or ">", as read_tiff_directories found it.
+ORDER = 0
 SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 16: ("Q", 8)}
 
 
@@ -44,7 +47,7 @@ def bigtiff_ifds(start: int, images: list[dict]) -> bytes:
         ratio = struct.pack("<II", round(im["resolution"] * 1000) & 0xFFFFFFFF, 1000)
         fields = [
             (SUBFILE, 4, struct.pack("<I", int(k > 0))), (WIDTH, 4, struct.pack("<I", im["width"])), (HEIGHT, 4, struct.pack("<I", im["height"])),
-            (BITS, 3, struct.pack("<HHH", 8, 8, 8)), (COMPRESSION, 3, struct.pack("<H", 8)), (PHOTOMETRIC, 3, struct.pack("<H", 2)), (SAMPLES, 3, struct.pack("<H", 3)),
+            (BITS, 3, struct.pack("<HHH", 8, 8, 8)), (COMPRESSION, 3, struct.pack("<H", im.get("compression", 8))), (PHOTOMETRIC, 3, struct.pack("<H", 2)), (SAMPLES, 3, struct.pack("<H", 3)),
             (X_RES, 5, ratio), (Y_RES, 5, ratio), (PLANAR, 3, struct.pack("<H", 1)), (UNIT, 3, struct.pack("<H", im["unit"])),
             (TILE_W, 4, struct.pack("<I", im["tile"])), (TILE_H, 4, struct.pack("<I", im["tile"])),
             (TILES, 16, struct.pack(f"<{n}Q", *im["offsets"])), (TILE_BYTES, 16, struct.pack(f"<{n}Q", *im["sizes"])),
@@ -77,7 +80,7 @@ def read_tiff_directories(read) -> list[dict]:
     while at:
         n = struct.unpack(order + ("Q" if big else "H"), read(at, 8 if big else 2))[0]
         size, first = (20, at + 8) if big else (12, at + 2)
-        tags = {}
+        tags = {ORDER: order}
         for i in range(n):
             e = read(first + size * i, size)
             tag, kind = struct.unpack(order + "HH", e[:4])
@@ -95,16 +98,62 @@ def read_tiff_directories(read) -> list[dict]:
     return found
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, the highest bit first, each width ending one code early."""
+    clear, end = 256, 257
+    table: list[bytes] = []
+    out, before = [], b""
+    held = bits = at = 0
+    width = 9
+    while True:
+        while bits < width:
+            if at == len(data):
+                return b"".join(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
+        code = held >> (bits - width) & ((1 << width) - 1)
+        bits -= width
+        if code == end:
+            return b"".join(out)
+        if code == clear:
+            table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            now = table[code]
+        elif before and code == len(table):
+            now = before + before[:1]
+        else:
+            raise ValueError("broken LZW data")
+        out.append(now)
+        if before:
+            table.append(before + now[:1])
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        before = now
+
+
 def decode_block(data: bytes, tags: dict, h: int, w: int) -> np.ndarray:
-    """A tile or strip as RGB. Uncompressed and deflate; 8-bit RGB, 8-bit and 16-bit gray."""
+    """A tile or strip as RGB. Uncompressed, deflate and LZW, with or without differences along rows; 8-bit RGB, 8-bit
+    and 16-bit gray, samples side by side. All else is an error."""
     kind = tags.get(COMPRESSION, (1,))[0]
     if kind in (8, 32946):
         data = zlib.decompress(data)
+    elif kind == 5:
+        data = unpack_lzw(data)
     elif kind != 1:
         raise ValueError(f"TIFF compression {kind} is not supported")
     samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (8,))[0]
+    if bits not in (8, 16):
+        raise ValueError(f"{bits} bits a sample are not supported")
+    if samples > 1 and tags.get(PLANAR, (1,))[0] != 1:
+        raise ValueError("samples in separate planes are not supported")
+    predictor = tags.get(PREDICTOR, (1,))[0]
+    if predictor not in (1, 2):
+        raise ValueError(f"TIFF predictor {predictor} is not supported")
+    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(tags.get(ORDER, "<") + "u2")
+    if len(data) < h * w * samples * kind.itemsize:
+        raise ValueError("a block is shorter than its size")
+    image = np.frombuffer(data, kind)[: h * w * samples].reshape(h, w, samples)
+    if predictor == 2:
+        image = np.cumsum(image, axis=1, dtype=np.uint16 if bits == 16 else np.uint8)
     if bits == 16:
-        gray = np.frombuffer(data, "<u2")[: h * w * samples].reshape(h, w, samples)[..., :1]
-        return np.repeat((gray / 65535 * 255).astype(np.uint8), 3, axis=2)
-    image = np.frombuffer(data, np.uint8)[: h * w * samples].reshape(h, w, samples)
+        return np.repeat((image[..., :1] / 65535 * 255).astype(np.uint8), 3, axis=2)
     return image[..., :3] if samples >= 3 else np.repeat(image[..., :1], 3, axis=2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,17 +78,21 @@ class _Rows(InputPartition):
 
 
 class TileReader(DataSourceReader):
-    """One partition for each row of tiles of each slide; edge tiles come cropped."""
+    """One partition for each row of tiles of each slide; edge tiles come cropped.
+
+    ``slides`` is a JSON list of [path, height]; a height that isn't known is read from the header.
+    """
 
     def __init__(self, options):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(";") if p]
+        given = options.get("slides")
+        self.slides = json.loads(given) if given else [[p, None] for p in options.get("paths", options.get("path", "")).split(";") if p]
         self.tile = int(options.get("tile", TILE_SIZE))
 
     def partitions(self):
         found = []
-        for path in self.paths:
+        for path, height in self.slides:
             try:
-                height = codecs.read_tiff_directories(reader(path))[0][codecs.HEIGHT][0]
+                height = height or codecs.read_tiff_directories(reader(path))[0][codecs.HEIGHT][0]
                 found += [_Rows(path, ty) for ty in range(-(-height // self.tile))]
             except Exception:
                 found.append(_Rows(path, -1))
@@ -122,7 +128,7 @@ class TileReader(DataSourceReader):
 
 
 class SlideTiles(DataSource):
-    """``spark.read.format("wsi").option("paths", "a.tiff;b.tiff").option("tile", 512)``."""
+    """``spark.read.format("wsi").option("slides", '[["a.tiff", null]]').option("tile", 512)``, or ``paths`` parted by ";"."""
 
     @classmethod
     def name(cls):
@@ -135,9 +141,11 @@ class SlideTiles(DataSource):
         return TileReader(self.options)
 
 
-def read_tiles(spark: SparkSession, paths: list[str], tile: int = TILE_SIZE) -> DataFrame:
+def read_tiles(spark: SparkSession, paths: list[str], tile: int = TILE_SIZE, heights: list[int] | None = None) -> DataFrame:
+    """Tiles of slides; with ``heights``, as ``slide_headers`` has them, the driver opens no file."""
     spark.dataSource.register(SlideTiles)
-    return spark.read.format("wsi").option("paths", ";".join(paths)).option("tile", str(tile)).load()
+    slides = json.dumps(list(zip(paths, heights or [None] * len(paths), strict=True)))
+    return spark.read.format("wsi").option("slides", slides).option("tile", str(tile)).load()
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+import time
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LOG_VERSION, MODES, SAVE_MIN_SCORE, WHITE_LEVEL, WHITE_SHARE
+from ..config import LOG_VERSION, SAVE_MIN_SCORE, WHITE_LEVEL, WHITE_SHARE
 from ..operators.normalize import Profile, _REGISTRY, np_with_background
 from . import codecs
 from .pixels import array_of
@@ -26,12 +29,19 @@ def _open(path: str):
     return system.open_output_stream(place)
 
 
+def _remove(path: str) -> None:
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    system.delete_file(place)
+
+
 def _parent_free(folder: str) -> str:
     return folder.rstrip("/")
 
 
 def write_png_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, folder: str) -> DataFrame:
-    """Normalize and write the tissue tiles; rows (slide_id, tx, ty, file, saved, error), one for each tile evaluated.
+    """Normalize and write the tissue tiles; rows (slide_id, tx, ty, file, saved, error, seconds), one for each tile evaluated.
 
     tiles: packed, padded black where the slide ends; slides: slide_id, stem. Skipped: mostly white, flat, or failing.
     """
@@ -41,7 +51,7 @@ def write_png_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, folde
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                name = f"{r.stem}_x{r.tx:04d}_y{r.ty:04d}.png"
+                name, began = f"{r.stem}_x{r.tx:04d}_y{r.ty:04d}.png", time.perf_counter()
                 error = None
                 try:
                     image = array_of(r.pixels, r.h, r.w)
@@ -52,11 +62,11 @@ def write_png_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, folde
                             f.write(codecs.encode_png(np_with_background(image, profile, function)))
                 except Exception as e:  # a tile that fails is skipped, the run goes on
                     saved, error = False, str(e)
-                out.append((r.slide_id, r.tx, r.ty, name, saved, error))
-            yield pd.DataFrame(out, columns=["slide_id", "tx", "ty", "file", "saved", "error"])
+                out.append((r.slide_id, r.tx, r.ty, name, saved, error, time.perf_counter() - began))
+            yield pd.DataFrame(out, columns=["slide_id", "tx", "ty", "file", "saved", "error", "seconds"])
 
     rows = tiles.join(F.broadcast(slides.select("slide_id", "stem")), "slide_id")  # a row a slide
-    return rows.select("slide_id", "stem", "tx", "ty", "h", "w", "pixels").mapInPandas(run, "slide_id int, tx int, ty int, file string, saved boolean, error string")
+    return rows.select("slide_id", "stem", "tx", "ty", "h", "w", "pixels").mapInPandas(run, "slide_id int, tx int, ty int, file string, saved boolean, error string, seconds double")
 
 
 def tile_counts(manifest: DataFrame, tile: int) -> DataFrame:
@@ -65,56 +75,72 @@ def tile_counts(manifest: DataFrame, tile: int) -> DataFrame:
     return manifest.groupBy("slide_id").agg(F.count("*").cast("int").alias("tiles_total"), F.sum(F.col("saved").cast("int")).cast("int").alias("tiles_saved"), F.sum((~F.col("saved")).cast("int")).cast("int").alias("tiles_skipped"), F.array_sort(F.collect_list(place)).alias("skipped_coords"))
 
 
-def write_pyramids(levels: DataFrame, slides: DataFrame, folder: str, tile: int) -> DataFrame:
-    """Write one tiled, deflated BigTIFF a slide; rows (slide_id, file, tiles).
+def write_pyramids(levels: DataFrame, slides: DataFrame, folder: str, tile: int, compression: str = "deflate") -> DataFrame:
+    """Write one tiled BigTIFF a slide, now; rows (slide_id, file, tiles, seconds, error), one for each slide.
 
     levels: packed tiles of every level (slide_id, level, tx, ty, h, w, pixels) at full tile size.
-    slides: slide_id, stem, and arrays by level of width and height, resolution, unit. Tiles are compressed where
-    they are; then each file is written as a stream in order, one tile in memory at a time.
+    slides: slide_id, stem, and arrays by level of width and height, resolution, unit. Tiles are compressed once, where
+    they are, and kept on the executors' disks; then each file is written as a stream in order, one tile in memory at
+    a time. A slide that lacks a tile, or has one too many, is an error and leaves no file.
     """
 
     def squeeze(batches):
         for batch in batches:
-            yield pd.DataFrame({"slide_id": batch.slide_id, "level": batch.level, "tx": batch.tx, "ty": batch.ty, "data": [zlib.compress(p, 6) for p in batch.pixels]})
+            data = [zlib.compress(p, 6) if compression == "deflate" else bytes(p) for p in batch.pixels]
+            yield pd.DataFrame({"slide_id": batch.slide_id, "level": batch.level, "tx": batch.tx, "ty": batch.ty, "data": data})
 
-    small = levels.select("slide_id", "level", "tx", "ty", "pixels").mapInPandas(squeeze, "slide_id int, level int, tx int, ty int, data binary")
-    folder = _parent_free(folder)
+    small = levels.select("slide_id", "level", "tx", "ty", "pixels").mapInPandas(squeeze, "slide_id int, level int, tx int, ty int, data binary").persist(StorageLevel.DISK_ONLY)
+    folder, spark = _parent_free(folder), levels.sparkSession
     told = {r["slide_id"]: r.asDict() for r in slides.collect()}  # one row a slide in the batch
+    method = 8 if compression == "deflate" else 1
 
     def write(batches):
-        state, made = None, []
+        state = None
 
         def finish():
-            info = told[state["slide"]]
+            info, error = told[state["slide"]], state["error"]
             images = []
-            for k, (offsets, sizes) in sorted(state["levels"].items()):
-                images.append({"width": info["widths"][k], "height": info["heights"][k], "tile": tile, "offsets": offsets, "sizes": sizes, "resolution": info["resolution"], "unit": info["unit"]})
-            # blocks come first, so the header is written with their total, and the directories follow
-            state["file"].write(codecs.bigtiff_ifds(state["at"], images))
+            for k, (w, h) in enumerate(zip(info["widths"], info["heights"], strict=True)):
+                places, offsets, sizes = state["levels"].get(k, ([], [], []))
+                wanted = [(tx, ty) for ty in range(-(-h // tile)) for tx in range(-(-w // tile))]
+                if places != wanted and error is None:
+                    error = f"level {k} has {len(places)} of {len(wanted)} tiles, or others than it needs"
+                images.append({"width": w, "height": h, "tile": tile, "offsets": offsets, "sizes": sizes, "resolution": info["resolution"], "unit": info["unit"], "compression": method})
+            if error is None:
+                # blocks come first, so the header is written with their total, and the directories follow
+                state["file"].write(codecs.bigtiff_ifds(state["at"], images))
             state["file"].close()
-            made.append((state["slide"], state["name"], state["tiles"]))
+            if error is not None:
+                _remove(f"{folder}/{state['name']}")
+            return pd.DataFrame([(state["slide"], state["name"], state["tiles"], time.perf_counter() - state["began"], error)], columns=["slide_id", "file", "tiles", "seconds", "error"])
 
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if state is None or state["slide"] != r.slide_id:
                     if state:
-                        finish()
+                        yield finish()
                     name = f"{told[r.slide_id]['stem']}_norm.tiff"
-                    state = {"slide": r.slide_id, "name": name, "file": _open(f"{folder}/{name}"), "levels": {}, "at": 16, "tiles": 0}
+                    state = {"slide": r.slide_id, "name": name, "file": _open(f"{folder}/{name}"), "levels": {}, "at": 16, "tiles": 0, "error": None, "began": time.perf_counter()}
                     state["file"].write(codecs.bigtiff_header(16 + int(r.total)))
-                offsets, sizes = state["levels"].setdefault(r.level, ([], []))
+                places, offsets, sizes = state["levels"].setdefault(r.level, ([], [], []))
+                places.append((r.tx, r.ty))
                 offsets.append(state["at"])
                 sizes.append(len(r.data))
                 state["file"].write(r.data)
                 state["at"] += len(r.data)
                 state["tiles"] += r.level == 0
         if state:
-            finish()
-        yield pd.DataFrame(made, columns=["slide_id", "file", "tiles"])
+            yield finish()
 
-    totals = small.groupBy("slide_id").agg(F.sum(F.octet_length("data")).alias("total"))
-    rows = small.join(F.broadcast(totals), "slide_id").repartition("slide_id").sortWithinPartitions("slide_id", "level", "ty", "tx")  # totals: a row a slide
-    return rows.mapInPandas(write, "slide_id int, file string, tiles int")
+    schema = "slide_id int, file string, tiles int, seconds double, error string"
+    try:
+        totals = small.groupBy("slide_id").agg(F.sum(F.octet_length("data")).alias("total"))
+        rows = small.join(F.broadcast(totals), "slide_id").repartition("slide_id").sortWithinPartitions("slide_id", "level", "ty", "tx")  # totals: a row a slide
+        made = [tuple(r) for r in rows.mapInPandas(write, schema).collect()]  # a row a slide
+    finally:
+        small.unpersist()
+    lost = told.keys() - {m[0] for m in made}
+    return spark.createDataFrame(made + [(i, f"{told[i]['stem']}_norm.tiff", 0, 0.0, "none of its tiles could be read") for i in sorted(lost)], schema)
 
 
 def write_images(images: DataFrame, folder: str, ending: str = "tif") -> DataFrame:
@@ -156,29 +182,23 @@ def run_summary(log: DataFrame) -> DataFrame:
 
 
 def render_run_log(rows: list[dict], config, when: str) -> str:
-    """The readable log: header, one block a slide, totals."""
-    line, rule = "=" * 72, "-" * 72
-    label = dict(MODES.values()).get(config.method, config.method)
-    out = [line, "  Slide normalization run log", f"  Version  :  {LOG_VERSION}", line, "", f"  Date / Time    :  {when}", f"  Method         :  {label}", f"  Output format  :  {'Individual tiles (PNG)' if config.output_format == 'tiles' else 'Pyramidal TIFF'}", f"  Tile size      :  {config.tile_size} px"]
-    out += [f"  Input folder   :  {config.input_folder}"] if config.input_folder else []
-    out += [f"  Reference slide:  {config.ref_path}"] if config.ref_path else []
-    out += [f"  Output folder  :  {config.output_dir}", f"  Slides in batch:  {len(rows)}"]
-    if rows and rows[0].get("stain_H_r") is not None:
-        out += ["", "  Stain matrix (from reference slide):"]
-        out += [f"    {name:<12} " + "  ".join(f"{c.upper()}={rows[0][f'stain_{k}_{c}']}" for c in "rgb") for k, name in (("H", "Hematoxylin"), ("E", "Eosin"))]
-    if config.output_format == "tiles":
-        out += ["", "  Background tiles were left out; the counts are of tissue tiles."]
-    out += ["", rule, "  Per-slide summary", rule, ""]
-    show = lambda r, k: "?" if r.get(k) is None else r[k]
-    for r in rows:
-        if r.get("error") is not None:
-            out += [f"  [ERROR]  {r.get('filename') or 'unknown'}", f"           {r['error']}", ""]
-        elif config.output_format == "tiles":
-            out += [f"  {r['filename']}", f"    Tiles saved    : {show(r, 'tiles_saved')}", f"    Tiles skipped  : {show(r, 'tiles_skipped')}", f"    Tiles evaluated: {show(r, 'tiles_total')}", f"    Processing time: {show(r, 'elapsed_s')}s", ""]
-        else:
-            out += [f"  {r['filename']}", f"    Tiles processed: {show(r, 'tiles_total')}{'  [fallback: all tiles used]' if r.get('fallback') else ''}", f"    Processing time: {show(r, 'elapsed_s')}s", ""]
-    errors = sum(r.get("error") is not None for r in rows)
-    return "\n".join([*out, rule, f"  Completed: {len(rows) - errors}/{len(rows)} slides  |  Errors: {errors}", line, ""])
+    """A report in Markdown: the settings, the target's stains, a table of the log's columns that have values, errors, totals."""
+    used = [c.split()[0] for c in LOG_COLUMNS.split(", ")]
+    good, bad = [r for r in rows if r.get("error") is None], [r for r in rows if r.get("error") is not None]
+    columns = [c for c in used if not c.startswith("stain_") and c not in ("method", "error") and any(r.get(c) is not None for r in good)]
+    settings = {"finished": when, "report version": LOG_VERSION, "mode": f"{config.mode} ({config.method})"}
+    settings |= {f.name.replace("_", " "): getattr(config, f.name) for f in dataclasses.fields(config) if f.name != "mode" and getattr(config, f.name) is not None}
+    parts = [["# Normalized slides"], [f"- {k}: {v}" for k, v in settings.items()]]
+    stains = {c: good[0][c] for c in used if c.startswith("stain_") and good and good[0].get(c) is not None}
+    if stains:
+        parts.append(["## Target", *(f"- {c}: {v}" for c, v in stains.items())])
+    if good:
+        table = [columns, ["-"] * len(columns), *(["" if r.get(c) is None else str(r[c]) for c in columns] for r in good)]
+        parts.append(["## Slides", *(f"| {' | '.join(cells)} |" for cells in table)])
+    if bad:
+        parts.append(["## Failed", *(f"- {r.get('filename')}: {r['error']}" for r in bad)])
+    parts.append([f"{len(good)} of {len(rows)} slides were written, {len(bad)} failed."])
+    return "\n\n".join("\n".join(p) for p in parts) + "\n"
 
 
 def write_run_log(log: DataFrame, config, when: str, stamp: str) -> list[str]:
@@ -187,7 +207,7 @@ def write_run_log(log: DataFrame, config, when: str, stamp: str) -> list[str]:
     if not rows:
         return []
     name = config.method.replace(" ", "_").replace("–", "-")
-    text = f"{_parent_free(config.output_dir)}/run_log_{name}_{stamp}.txt"
+    text = f"{_parent_free(config.output_dir)}/run_log_{name}_{stamp}.md"
     with _open(text) as f:
         f.write(render_run_log(rows, config, when).encode())
     return [text, write_csv_log(log, config.output_dir, name, stamp)]
