@@ -257,14 +257,15 @@ def _apart(left: str, right: str) -> Column:
 
 def _apart_both(left: str, right: str) -> Column:
     """In how many registers the lowest or second bits differ; for the few pairs that are near by the lowest ones."""
-    differ = [F.zip_with(f"{left}{k}", f"{right}{k}", lambda p, q: p.bitwiseXOR(q)) for k in ("bits", "more")]
+    lowest = [F.array(*(F.col(f"{side}w{i}") for i in range(WORDS))) for side in (left, right)]
+    differ = [F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q)) for x, y in (lowest, (f"{left}more", f"{right}more"))]
     counts = F.zip_with(*differ, lambda p, q: F.bit_count(p.bitwiseOR(q)))
     return F.aggregate(counts, F.lit(0), lambda x, y: x + y)
 
 
 def _buckets(coded: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, rep, band, sub, weight, w0 ...): the multisets of each bucket that several have, with their sketches;
-    and rows (rep, bands, bits, more) of all multisets.
+    and rows (rep, bands, more) of all multisets.
 
     sub deals the members of a large bucket; weight is the number of members in all buckets of the multiset.
     """
@@ -276,18 +277,20 @@ def _buckets(coded: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]
     sketches = single.select("rep", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)))
     out = materialize(full.join(sketches, "rep").drop("size"), "buckets")
     discard(sizes)
-    return out, single
+    return out, single.select("rep", "bands", "more")
 
 
 def _mixed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold several components, with ``component`` and ``members``, its number of multisets."""
     if found is None:
-        return buckets.withColumn("component", F.col("rep")).withColumn("members", F.lit(1).cast("long"))
+        return materialize(buckets.withColumn("component", F.col("rep")).withColumn("members", F.lit(1).cast("long")), "mixed")
     sized = join_by_key(found, found.groupBy("component").agg(F.count("*").alias("members")), ["component"], "members")
     rows = buckets.join(sized.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("members", F.coalesce("members", F.lit(1)))
     rows = materialize(rows, "placed")
     mixed = rows.groupBy("key").agg(F.count("*").alias("times"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "times")
-    return join_by_key(rows, materialize(mixed, "keys"), ["key"], "times").drop("times")
+    out = materialize(join_by_key(rows, materialize(mixed, "keys"), ["key"], "times").drop("times"), "mixed")
+    discard(rows)
+    return out
 
 
 def _untested(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
@@ -314,8 +317,8 @@ def _with_all(rows: DataFrame, bands: DataFrame, done: DataFrame | None) -> Data
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
     parts = parts.select("key", F.col("top.component").alias("top"), "n", F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("few"), F.ceil(F.col("n") / BLOCK).alias("all"))
-    rows = rows.join(bands, "rep")
-    rows = materialize(join_by_key(materialize(rows, "banded"), materialize(parts, "parts"), ["key"], "n").withColumn("minor", F.col("component") != F.col("top")), "mixed")
+    rows = join_by_key(rows, materialize(parts, "parts"), ["key"], "n").withColumn("minor", F.col("component") != F.col("top"))
+    rows = materialize(rows.drop("sub", "weight", "members", "top", "n").join(bands, "rep"), "banded")
     part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     x = rows.where("minor").withColumn("p", part("few")).withColumn("q", each("all")).alias("x")
@@ -324,17 +327,19 @@ def _with_all(rows: DataFrame, bands: DataFrame, done: DataFrame | None) -> Data
     once = ~F.col("y.minor") | (F.col("x.rep") < F.col("y.rep"))
     earlier = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))
     pairs = x.join(y, met & once & (F.col("x.component") != F.col("y.component")) & (_apart("x.", "y.") <= FAR) & ~earlier & (_apart_both("x.", "y.") <= FAR_BOTH))
-    return _untested(pairs.select(*_ordered("x.rep", "y.rep")).distinct(), done)
+    near = materialize(_untested(pairs.select(*_ordered("x.rep", "y.rep")).distinct(), done), "near")
+    discard(rows)
+    return near
 
 
 def _linked(docs: DataFrame, groups: DataFrame, buckets: DataFrame, bands: DataFrame, least: float, width: int, rounds: int) -> DataFrame | None:
     """The links (a, b) that connect all that candidate pairs connect; None if there are none."""
     links, done, found, some = None, None, None, True
     for step in range(rounds + 1):
-        rows = materialize(_mixed(buckets, found), "mixed")
+        rows = _mixed(buckets, found)
         # the leaders have done their part once they find few links
         last = step == rounds or not some
-        near = materialize(_with_all(rows, bands, done) if last else _with_leaders(rows, done, step), "near")
+        near = _with_all(rows, bands, done) if last else materialize(_with_leaders(rows, done, step), "near")
         tested = near.count()
         some = False
         if tested:
