@@ -1,15 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one representative a group.
 
 Cells are fitted on a bounded sample (``most_sample`` vectors); every vector is then assigned to its nearest centre.
-A vector is also sent as a probe to each other cell that can hold a neighbour: if y lies in cell c' and x in cell c,
+A vector is also sent as a probe to each later cell that can hold a neighbour: if y lies in cell c' and x in cell c,
 then x.(c - c') <= |x - y| |c - c'|, and linked vectors are at most sqrt(2 - 2 least) apart. So no link is lost at
-a border. Equal vectors are taken together with their number first. Home vectors and probes of a cell meet in
-blocks of bounded size, so no task holds a whole cell. A block sends one count of links for each probe, and only as
-many links as connect its vectors (a spanning forest), never all pairs.
+a border, and a link between two cells is found in the later one. Equal vectors are taken together with their number
+first. Home vectors and probes of a cell meet in blocks of bounded size, so no task holds a whole cell. A block sends
+one count of links for each vector, and only as many links as connect its vectors (a spanning forest), never all pairs.
 
 Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing: they
 have no links and are kept. Vectors of different length don't link. Rows with a null vec_id link with nothing. Rows
-that repeat a vec_id count as vectors of their own, but share a component. An empty table gives an empty result.
+that repeat a vec_id count as vectors of their own, but share a component. An empty table gives an empty result. Only
+the three named columns are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -24,15 +25,19 @@ from .common import NO_ID, components, materialize, small_batches, table
 from .vectors import matrix, sample_rows, spherical_kmeans, unit_vectors
 
 BLOCK = 2048
+#: Vectors that are held against all centres at once.
+ROWS = 1024
+#: What a vector is in a block: at home in the cell, the same as a probe, or a probe from an earlier cell.
+HOME, OWN, GUEST = 0, 1, 2
 
 
 def _assign(rows: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
-    """Rows (class, dim, label, weight, unit, home, probes array<int>): the cell of each vector and those it probes.
+    """Rows (rep, weight, label, dim, unit, home, probes array<int>): the cell of each vector, and that and the later ones
+    that it probes.
 
     Vectors of another dimension than the centres' share cell 0 with each other.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(centres @ centres.T, -1, 1))) if len(centres) else np.zeros((0, 0))
     names = ["rep", "weight", "label", "dim", "unit", "home", "probes"]
 
     def run(batches):
@@ -40,11 +45,15 @@ def _assign(rows: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
             dims, units = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             home, probes = np.zeros(len(units), np.int32), [[0]] * len(units)
             mine = [i for i, d in enumerate(dims) if len(centres) and d == centres.shape[1]]
-            if mine:
-                dot = matrix([units[i] for i in mine], centres.shape[1]) @ centres.T
+            for first in range(0, len(mine), ROWS):
+                some = mine[first : first + ROWS]
+                dot = matrix([units[i] for i in some], centres.shape[1]) @ centres.T
                 best = dot.argmax(1)
-                near = dot[np.arange(len(mine)), best][:, None] - dot <= reach * apart[best]
-                for r, i in enumerate(mine):
+                apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[best] @ centres.T)))
+                near = dot[np.arange(len(some)), best][:, None] - dot <= reach * apart + 1e-9
+                near &= np.arange(len(centres)) >= best[:, None]
+                near[np.arange(len(some)), best] = True
+                for r, i in enumerate(some):
                     home[i] = best[r]
                     probes[i] = np.flatnonzero(near[r]).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(probes, pa.list_(pa.int32()))], names=names)
@@ -75,41 +84,47 @@ def links(units: DataFrame, centres: np.ndarray, least: float) -> tuple[DataFram
     placed = materialize(_assign(units, centres, least), "cells")
     key = ["label", "dim", "cell"]
     homes = placed.select("label", "dim", F.col("home").alias("cell"), "rep", "weight", "unit")
-    probes = placed.select("label", "dim", F.explode("probes").alias("cell"), "rep", "unit")
+    probes = placed.select("label", "dim", F.explode("probes").alias("cell"), "rep", "weight", "unit", "home")
     count = lambda d, name: d.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     parts = count(homes, "h").join(count(probes, "p"), key)
     side = F.xxhash64("rep")
     # each home block meets each probe block of its cell
     h = homes.join(parts, key).withColumn("hb", F.pmod(side, F.col("h")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     p = probes.join(parts, key).withColumn("pb", F.pmod(side, F.col("p")).cast("int")).withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    both = h.select(*key, "hb", "pb", F.lit(True).alias("is_home"), "rep", "weight", "unit").unionByName(p.select(*key, "hb", "pb", F.lit(False).alias("is_home"), "rep", F.lit(0).cast("long").alias("weight"), "unit"))
+    rows = lambda d, role: d.select(*key, "hb", "pb", role.alias("role"), "rep", "weight", "unit")
+    both = rows(h, F.lit(HOME)).unionByName(rows(p, F.when(F.col("home") == F.col("cell"), F.lit(OWN)).otherwise(F.lit(GUEST))))
+
+    def counted(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"rep": ids, "other": ids, "n": n.astype(np.int64)})[n > 0]
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        home, probe = rows[rows.is_home], rows[~rows.is_home]
-        out = pd.DataFrame({"rep": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        home, probe = rows[rows.role == HOME], rows[rows.role != HOME]
+        none = np.zeros(0, np.int64)
+        found = [pd.DataFrame({"rep": none, "other": none, "n": none})]
         if not len(home) or not len(probe):
-            return out
+            return found[0]
         dim = int(rows.dim.iloc[0])
-        x, w, ids = matrix(home.unit, dim), home.weight.to_numpy(), home.rep.to_numpy()
-        found = []
+        x, weight, ids = matrix(home.unit, dim), home.weight.to_numpy(), home.rep.to_numpy()
         for i in range(0, len(probe), 512):
-            own = probe.rep.to_numpy()[i : i + 512]
-            near = matrix(probe.unit.iloc[i : i + 512], dim) @ x.T >= least
+            part = probe.iloc[i : i + 512]
+            own, guest = part.rep.to_numpy(), part.role.to_numpy() == GUEST
+            near = matrix(part.unit, dim) @ x.T >= least
             near &= own[:, None] != ids[None, :]
-            n = near @ w
             r, c = np.nonzero(near)
-            some = n > 0
-            found.append(pd.DataFrame({"rep": own[some], "other": own[some], "n": n[some]}))
             if len(r):
+                found.append(counted(own, np.bincount(r, weight[c], len(own))))
+                # two vectors at home in this cell meet twice, each as the other's probe
+                once = guest[r]
+                found.append(counted(ids, np.bincount(c[once], part.weight.to_numpy()[r[once]], len(ids))))
                 a, b = forest(own[r], ids[c])
                 found.append(pd.DataFrame({"rep": a, "other": b, "n": np.zeros(len(a), np.int64)}))
-        return pd.concat([out, *found])
+        return pd.concat(found)
 
     made = materialize(both.groupBy(*key, "hb", "pb").applyInPandas(meet, "rep long, other long, n long"), "links")
     return made.where("rep = other").groupBy("rep").agg(F.sum("n").alias("n")), made.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
 
-def near_duplicates(rows: DataFrame, *, least: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", most_sample: int = 20_000, cell_size: int = 500, most_cells: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, *, least: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", most_sample: int = 20_000, cell_size: int = 1000, most_cells: int = 4096) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row.
 
     About ``cell_size`` vectors of the commonest label share a cell, with at most ``most_cells`` cells.
