@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, materialize, small_batches, table
+from .common import NO_ID, components, join_by_key, materialize, small_batches, table
 from .vectors import matrix, sample_rows, spherical_kmeans, unit_vectors
 
 BLOCK = 2048
@@ -142,8 +142,10 @@ def near_duplicates(rows: DataFrame, *, least: float = 0.93, vec_id: str = "vec_
     ids = classes.select(F.col("rep"), "rep_id")
     named = chosen.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     groups = components(named)
-    members = units.join(classes, ["label", "dim", "unit"]).join(counts, "rep", "left").select("vec_id", "rep_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    members = members.join(groups, members.rep_id == groups.node, "left").select("vec_id", "n_links", F.coalesce("component", "rep_id").alias("component_id"))
+    # by class first, so that a vector that many rows hold is no key of these joins
+    known = classes.select("rep", "rep_id", "weight").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep_id"), "rep_id", "left")
+    known = materialize(known.select("rep", "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep_id").alias("component_id")), "known")
+    members = join_by_key(units.select("vec_id", F.xxhash64("label", "unit").alias("rep")), known, ["rep"], "weight").select("vec_id", "n_links", "component_id")
     # a repeated id shares its component, and each of its rows takes the most links
     members = members.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     every = rows.select(F.col(vec_id).cast("long").alias("vec_id"))
