@@ -175,7 +175,7 @@ def _spanning(blocks: DataFrame, auto: Automaton) -> dict:
     return context
 
 
-def actions(turns: DataFrame, *, costs: dict[str, int] | None = None, block: int = 50_000, most_blocks: int = 20_000) -> DataFrame:
+def actions(turns: DataFrame, *, costs: dict[str, int] | None = None, block: int = 5_000, most_blocks: int = 20_000) -> DataFrame:
     """Rows of ``ACTIONS``: what is done with each distinct turn (conv, turn, role, h)."""
     auto = Automaton({**COSTS, **(costs or {})})
     slim = materialize(turns.groupBy("conv", "turn", "role", "h").agg(F.count("*").alias("copies")), "turns")
@@ -202,7 +202,8 @@ def actions(turns: DataFrame, *, costs: dict[str, int] | None = None, block: int
                 out.append((conv, row.turn, row.role, row.h, row.copies, before + k, action, STATES[path[k + 1]], ",".join(STATES[s] for s in added), None if appended is None else ",".join(STATES[s] for s in appended)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ACTIONS.split(", ")])
 
-    return blocks.groupBy("part").applyInPandas(repair, ACTIONS)
+    # a number given here keeps small blocks from being put into a few tasks
+    return blocks.repartition(n, "part").groupBy("part").applyInPandas(repair, ACTIONS)
 
 
 def _empties(column: str):
