@@ -5,7 +5,8 @@ one character a byte, its score is the negative rank, and normalisation is the i
 the pattern, each part is mapped, encoded, and the ids' pieces mapped back to bytes when decoding.
 
 Nulls count as empty texts. An empty text has no ids (n_tokens 0, digests of the empty string). Repeated rows
-give repeated results; texts of any length are encoded whole. An empty table gives an empty result.
+give repeated results; texts of any length are encoded whole. A null doc_id stays null. An empty table gives an empty result. Only doc_id and text are read, whatever
+other columns are named.
 """
 
 from __future__ import annotations

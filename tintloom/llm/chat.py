@@ -15,7 +15,7 @@ combined on the driver: two small rows a block, and blocks are bounded in number
 Nulls: a null conv_id is a conversation of its own; a null turn comes before all others; a null or unknown role costs
 ``unknown`` whatever it becomes; a null text counts as empty. Rows that repeat a conversation, turn, role and text
 are one turn, delivered several times (``copies`` tells how often). Markers in texts are escaped. An empty table gives
-an empty result.
+an empty result. Texts of any length are rendered whole. Only the four named columns are read, whatever others there are.
 """
 
 from __future__ import annotations

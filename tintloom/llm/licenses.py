@@ -6,6 +6,8 @@ where, from some word on, all mandatory wording follows exactly. A plain phrase
 
 Null and empty texts have no words and no matches: n_words 0, n_base 0, first and last null, labels empty, score 0.
 Overlapping places all count. Rows that repeat give results that repeat; texts of any length are scanned whole.
+A null doc_id stays null. An empty table gives an empty result. Only doc_id and text are read, whatever other columns
+are named.
 """
 
 from __future__ import annotations

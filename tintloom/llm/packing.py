@@ -7,7 +7,8 @@ by length (one row a length, so at most `capacity` rows) reach the driver, whate
 the pieces get their places by their rank among the pieces of their length.
 
 Null texts count as empty; an empty text still has its end mark, so one piece of length 1. Rows that repeat are
-packed each on its own. An empty table gives an empty result.
+packed each on its own. A null doc_id stays null. An empty table gives an empty result. Only doc_id and text are read,
+whatever other columns are named.
 """
 
 from __future__ import annotations
