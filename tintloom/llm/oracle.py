@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from . import licenses
 from .licenses import words_of
 
@@ -54,6 +56,63 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id))
 FROM documents LEFT JOIN low USING (doc_id) LEFT JOIN size USING (doc_id)""".replace("both", "paired")
 
 
+_SPLIT = "[^ \\t\\n\\x0B\\f\\r]+"
+
+
+#: The rules of operator 13 in the order of their bits; the first seven are the policy in force.
+_RULES = [
+    "n_words < 50", "100 * n_repeat_words > 50 * n_words", "n_words > 1000000", "word_chars < 3 * n_words", "word_chars > 10 * n_words",
+    "10 * n_symbols > n_words", "2 * n_dup_lines > n_lines", "100 * n_repeat_words > 30 * n_words", "10 * n_dup_lines > 3 * n_lines",
+]
+
+
+def filter_audit_sql() -> str:
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+    counted = lambda c, test: f"CAST(coalesce(sum({c}) FILTER (WHERE {test}), 0) AS BIGINT)"
+    own, before = "(mask & own) <> 0", "(mask & earlier) <> 0"
+    share = "CASE bit_count(mask) " + " ".join(f"WHEN {n} THEN {120 // n}" for n in range(1, 6)) + " END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '{_SPLIT}') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+m AS (SELECT doc_id, part, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INT)
+  + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(least < doc_id, false) AS INT) AS mask FROM w),
+labelled AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m LEFT JOIN labelled USING (doc_id) GROUP BY ALL),
+o AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM (VALUES {orders}) AS v(filter_order)),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, CAST(1 AS INT) << (ascii(filter_order[step]) - 65) AS own,
+  CAST(coalesce(list_sum([1 << (ascii(filter_order[i]) - 65) for i in range(1, step)]), 0) AS INT) AS earlier FROM o)
+SELECT part, filter_order, step, {counted("n", f"NOT {own} AND NOT {before}")} AS kept, {counted("n", f"{own} AND NOT {before}")} AS removed,
+  {counted("n", f"{own} AND {before}")} AS redundant, {counted("n", "mask = own")} AS unique_fails, {counted("good", f"{own} AND NOT {before}")} AS good_lost,
+  {counted("toxic", f"{own} AND NOT {before}")} AS toxic_lost, {counted(f"n * {share}", own)} AS shapley
+FROM c CROSS JOIN s GROUP BY part, filter_order, step"""
+
+
+#: The CRC-32 of a string's ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(x) AS BIGINT) for x in string_split({}, '')]), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda u, k: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)"
+
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, conv_id - conv_id % 5 AS base, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t),
+b AS (SELECT h.conv_id, coalesce(t.turns, [])[1:h.h] || h.turns[h.h + 1:] AS turns FROM h LEFT JOIN t ON t.conv_id = h.base),
+p AS (SELECT conv_id, len(turns) AS len, d, turns[1:d] AS path FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.path[n.d].t)) END AS saved FROM n LEFT JOIN k ON k.d = n.d AND k.path = n.path),
+up AS (SELECT path[1:a] AS path, a AS d, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, up.n_leaves, up.saved_tokens, f.ends_sha256
+FROM f JOIN up ON up.d = f.d AND up.path = f.path LEFT JOIN n q ON q.d = f.d - 1 AND q.path = f.path[1:f.d - 1]"""
+
+RULE_LEDGER = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{_SPLIT}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SPLIT}')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS v(j) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, [{", ".join(_RULES)}] AS fails FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails[1] OR fails[2] AS base_failed, NOT list_bool_or(fails[1:7]) AS kept, n_lines,
+  CAST(list_sum([CASE WHEN fails[i + 1] THEN 1 << i ELSE 0 END for i in range(0, {len(_RULES)})]) AS BIGINT) AS failed FROM f"""
+
+
 def _pattern(template: str) -> str:
     """A template as a regular expression over words that each follow a blank."""
     import re
@@ -91,4 +150,6 @@ SELECT doc_id, n_words, len(hits) AS n_base, list_min(hits) AS first_word, list_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op4_one_bit_codes": NEAREST, "op6_bag_minhash": NEAR_COPIES, "op9_license_templates": license_sql()}
+    return {"op2_line_dedup": LINE_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op4_one_bit_codes": NEAREST, "op6_bag_minhash": NEAR_COPIES, "op9_license_templates": license_sql()} | {
+        "op11_filter_audit": filter_audit_sql(), "op12_prefix_trie": PREFIX_TRIE, "op13_rule_ledger": RULE_LEDGER,
+    }
