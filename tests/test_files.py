@@ -250,6 +250,6 @@ def test_block_layouts():
 
 
 def test_settings_without_effect_are_refused(tmp_path):
-    for wrong in ({"compression": "jpeg"}, {"jpeg_quality": 80}, {"source_scope": "slide"}):
+    for wrong in ({"compression": "webp"}, {"jpeg_quality": 80}, {"jpeg_quality": 101, "compression": "jpeg"}, {"source_scope": "slide"}, {"source_scope": "image"}):
         assert JobConfig(mode=2, output_dir=str(tmp_path), **wrong).problems(1)
     assert not JobConfig(mode=2, output_dir=str(tmp_path)).problems(1)

@@ -32,6 +32,7 @@ DEFAULT_MPP = 0.25
 THUMBNAIL = 1024
 PREVIEW_TILE = 512
 LOG_VERSION = "1.1"
+JPEG_QUALITY = 80
 WSI_SUFFIXES = (".svs", ".ndpi", ".scn", ".mrxs", ".vms", ".vmu", ".tif", ".tiff", ".bif")
 DOCUMENTED_SUFFIXES = (".dcm", ".ndpis")
 IMAGE_SUFFIXES = (".tif", ".tiff", ".jpg", ".jpeg", ".bmp")
@@ -50,8 +51,8 @@ REFERENCE_MODES = (1, 3, 5, 6)
 class JobConfig:
     """One run: which method, over which slides, into which output.
 
-    ``source_scope`` is ``tile``: a run takes each tile's own statistics (``plans.pipeline.transform`` takes a slide's).
-    ``compression`` is ``deflate`` or ``none``; JPEG needs a library, so it and ``jpeg_quality`` are refused.
+    ``source_scope`` is ``tile``, for each tile's own statistics, or in modes 3 and 4 ``slide``, for those of the slide's sampled windows.
+    ``compression`` of pyramids is ``deflate``, ``none`` or ``jpeg``, which takes ``jpeg_quality`` (1 to 100, 80 if not given).
     ``orientation`` is ``as_reference`` or ``positive`` (see ``stains.basis``).
     """
 
@@ -88,10 +89,14 @@ class JobConfig:
             found.append("this mode needs a reference slide that exists")
         if not self.output_dir:
             found.append("no output folder is set")
-        choices = (("slide_type", ("biopsy", "tma")), ("compression", ("deflate", "none")), ("output_format", ("wsi", "tiles")), ("source_scope", ("tile",)), ("orientation", ("as_reference", "positive")))
+        choices = (("slide_type", ("biopsy", "tma")), ("compression", ("deflate", "none", "jpeg")), ("output_format", ("wsi", "tiles")), ("source_scope", ("tile", "slide")), ("orientation", ("as_reference", "positive")))
         found += [f"{name} must be one of {', '.join(allowed)}" for name, allowed in choices if getattr(self, name) not in allowed]
-        if self.jpeg_quality is not None:
-            found.append("jpeg_quality has no use: pyramids are written without loss")
+        if self.jpeg_quality is not None and (self.compression != "jpeg" or self.output_format != "wsi"):
+            found.append("jpeg_quality has no use but with pyramids of compression jpeg")
+        if self.jpeg_quality is not None and not 1 <= self.jpeg_quality <= 100:
+            found.append("jpeg_quality goes from 1 to 100")
+        if self.source_scope == "slide" and self.mode not in (3, 4):
+            found.append("only modes 3 and 4 take statistics of the whole source slide")
         if self.tile_size < 1:
             found.append("tile_size must be positive")
         return found

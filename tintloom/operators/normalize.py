@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from ..config import BACKGROUND_L, CONCENTRATION_EPS, CONCENTRATION_PERCENTILE,
 from ..functions import color
 from ..sources.pixels import TILES, array_of
 from . import stats
+from .quality import no_clock
 from .stains import with_concentrations
 from .tissue import background, with_od
 
@@ -186,10 +187,30 @@ def np_with_background(image: np.ndarray, profile: Profile, function: Callable |
     return out
 
 
-def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = None, keep_errors: bool = False) -> DataFrame:
+#: A slide's own LAB moments beside its tiles; null where each tile has its own.
+SOURCE = ("source_mu", "source_sigma")
+
+
+def with_moments(tiles: DataFrame, moments: DataFrame | None) -> DataFrame:
+    """Tiles with their slide's moments (slide_id, mu_l ... sigma_b), or nulls: a row a slide, joined by slide."""
+    if moments is None:
+        return tiles.withColumns({c: F.lit(None).cast("array<double>") for c in SOURCE})
+    side = moments.select("slide_id", *(F.array(*(f"{k}_{c}" for c in "lab")).alias(name) for k, name in zip(("mu", "sigma"), SOURCE, strict=True)))
+    return tiles.join(side, "slide_id", "left")
+
+
+def of_slide(profile: Profile, row) -> Profile:
+    """The profile, with the moments of the row's slide if it has some."""
+    if row.source_mu is None:
+        return profile
+    return replace(profile, extra=profile.extra | {k: np.asarray(getattr(row, k)) for k in SOURCE})
+
+
+def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = None, keep_errors: bool = False, *, moments: DataFrame | None = None, clock=no_clock) -> DataFrame:
     """Packed tiles, normalized; with ``pad_to`` edge tiles are filled up with white. One narrow pass.
 
-    With ``keep_errors`` rows also have ``seconds``, and ``error`` where the normalizer fails (without pixels then).
+    With ``keep_errors`` rows also have ``seconds``, and ``error`` where a tile couldn't be read, as its row says, or the
+    normalizer fails (without pixels then). moments: LAB moments by slide, in place of each tile's own.
     """
     function = _REGISTRY[profile.kind]
 
@@ -199,7 +220,10 @@ def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = Non
             for row in batch.itertuples(index=False):
                 began = time.perf_counter()
                 try:
-                    image = np_with_background(array_of(row.pixels, row.h, row.w), profile, function)
+                    if row.pixels is None:
+                        raise ValueError(row.error)
+                    with clock("algo.normalize"):
+                        image = np_with_background(array_of(row.pixels, int(row.h), int(row.w)), of_slide(profile, row), function)
                 except Exception as e:
                     if not keep_errors:
                         raise
@@ -207,12 +231,16 @@ def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = Non
                     continue
                 if pad_to:
                     full = np.full((pad_to, pad_to, 3), 255, np.uint8)
-                    full[: row.h, : row.w] = image
+                    full[: image.shape[0], : image.shape[1]] = image
                     image = full
                 out.append((row.slide_id, row.tx, row.ty, *image.shape[:2], image.tobytes(), time.perf_counter() - began, None))
-            yield pd.DataFrame(out, columns=["slide_id", "tx", "ty", "h", "w", "pixels", "seconds", "error"])
+            frame = pd.DataFrame(out, columns=["slide_id", "tx", "ty", "h", "w", "pixels", "seconds", "error"])
+            yield frame.astype({"tx": "Int32", "h": "Int32", "w": "Int32"})
 
-    out = tiles.select("slide_id", "tx", "ty", "h", "w", "pixels").mapInPandas(run, f"{TILES}, seconds double, error string")
+    if "error" not in tiles.columns:
+        tiles = tiles.withColumn("error", F.lit(None).cast("string"))
+    rows = with_moments(tiles.select("slide_id", "tx", "ty", "h", "w", "pixels", "error"), moments)
+    out = rows.mapInPandas(run, f"{TILES}, seconds double, error string")
     return out if keep_errors else out.drop("seconds", "error")
 
 

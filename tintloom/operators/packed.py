@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import WHITE_LEVEL, WHITE_SHARE
 from ..functions.color import np_rgb_to_lab
 from ..sources.pixels import array_of
+from .quality import no_clock
 
 WINDOWS = "slide_id int, seq int, x int, y int, h int, w int, pixels binary"
 
@@ -41,23 +42,38 @@ def cut_windows(tiles: DataFrame, grid: DataFrame, tile: int) -> DataFrame:
     return met.groupBy("slide_id", "seq").applyInPandas(one, WINDOWS)
 
 
-def window_stats(windows: DataFrame) -> DataFrame:
-    """Score, white share, histogram (768 counts) and LAB moments of each packed window. One narrow pass."""
+def window_stats(windows: DataFrame, clock=no_clock) -> DataFrame:
+    """Score, white share, histogram (768 counts) and LAB moments of each packed window. One narrow pass.
+
+    If windows have an ``error``, so has the result, and nothing else where there is one.
+    """
+    names = ["slide_id", "seq", "x", "y", "score", "white_frac", "mostly_white", "hist", "mu", "sigma"]
+    with_error = "error" in windows.columns
+
+    def measure(r):
+        image = array_of(r.pixels, r.h, r.w).reshape(-1, 3)
+        n, v = 3 * len(image), image.astype(np.int64)
+        total, squares = int(v.sum()), int((v * v).sum())
+        white = int((v.sum(1) > 3 * WHITE_LEVEL).sum())
+        lab = np_rgb_to_lab(image)
+        hist = np.concatenate([np.bincount(image[:, i], minlength=256) for i in range(3)])
+        return float(np.sqrt(float(n * squares - total * total)) / n), white / len(image), white >= WHITE_SHARE * len(image), hist.tolist(), lab.mean(0).tolist(), lab.std(0).tolist()
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                image = array_of(r.pixels, r.h, r.w).reshape(-1, 3)
-                n, v = 3 * len(image), image.astype(np.int64)
-                total, squares = int(v.sum()), int((v * v).sum())
-                white = int((v.sum(1) > 3 * WHITE_LEVEL).sum())
-                lab = np_rgb_to_lab(image)
-                hist = np.concatenate([np.bincount(image[:, i], minlength=256) for i in range(3)])
-                out.append((r.slide_id, r.seq, r.x, r.y, float(np.sqrt(float(n * squares - total * total)) / n), white / len(image), white >= WHITE_SHARE * len(image), hist.tolist(), lab.mean(0).tolist(), lab.std(0).tolist()))
-            yield pd.DataFrame(out, columns=["slide_id", "seq", "x", "y", "score", "white_frac", "mostly_white", "hist", "mu", "sigma"])
-
-    return windows.mapInPandas(run, "slide_id int, seq int, x int, y int, score double, white_frac double, mostly_white boolean, hist array<long>, mu array<double>, sigma array<double>")
+                if r.pixels is None:
+                    found = (None,) * 6
+                else:
+                    with clock("algo.sample"):
+                        found = measure(r)
+                out.append((r.slide_id, r.seq, r.x, r.y, *found, *([r.error] if with_error else [])))
+            frame = pd.DataFrame(out, columns=[*names, *(["error"] if with_error else [])])
+            yield frame.astype({"mostly_white": "boolean"})
+
+    schema = "slide_id int, seq int, x int, y int, score double, white_frac double, mostly_white boolean, hist array<long>, mu array<double>, sigma array<double>"
+    return windows.mapInPandas(run, schema + ", error string" * with_error)
 
 
 def histogram_rows(stats: DataFrame) -> DataFrame:

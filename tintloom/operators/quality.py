@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from contextlib import contextmanager
 
+from pyspark import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +42,50 @@ def timing_report(timings: DataFrame) -> DataFrame:
     return timings.groupBy("label").agg(F.count("*").alias("calls"), F.sum("seconds").alias("total_s"), (F.avg("seconds") * 1000).alias("mean_ms"), (F.max("seconds") * 1000).alias("max_ms")).orderBy(F.desc("total_s"), "label")
 
 
+@contextmanager
+def no_clock(label: str):
+    """The clock of work that nobody times."""
+    yield
+
+
+class _ByLabel(AccumulatorParam):
+    """Sums of {label: (calls, total seconds, longest)}."""
+
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, a, b):
+        for k, (n, s, m) in b.items():
+            n0, s0, m0 = a.get(k, (0, 0.0, 0.0))
+            a[k] = (n0 + n, s0 + s, max(m0, m))
+        return a
+
+
+class _Clock:
+    """What tasks carry: clock("io.load") times a block of code within a task, and the driver gets the sums.
+
+    A task that runs again counts again.
+    """
+
+    def __init__(self, held):
+        self.held = held
+
+    @contextmanager
+    def __call__(self, label: str):
+        began = time.perf_counter()
+        yield
+        spent = time.perf_counter() - began
+        self.held.add({label: (1, spent, spent)})
+
+
 class Timings:
-    """Wall seconds of the driver's steps by label; a step that raises isn't counted."""
+    """Seconds by label, of the driver's steps (``time``) and of work within tasks (``clock``); what raises isn't counted."""
 
-    def __init__(self):
+    def __init__(self, spark=None):
         self.rows: list[tuple[str, float]] = []
+        self._held = spark.sparkContext.accumulator({}, _ByLabel()) if spark is not None else None
+        #: To be used within tasks; without a session it times nothing.
+        self.clock = no_clock if spark is None else _Clock(self._held)
 
     @contextmanager
     def time(self, label: str):
@@ -55,11 +95,24 @@ class Timings:
 
     def clear(self) -> None:
         self.rows.clear()
+        if self._held is not None:
+            self._held.value = {}
+
+    @property
+    def tasks(self) -> dict[str, tuple[int, float, float]]:
+        """Calls, total and longest of each label timed within tasks."""
+        return dict(self._held.value) if self._held is not None else {}
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, "label string, seconds double")
 
+    def summary(self, spark) -> DataFrame:
+        """The columns of ``timing_report``, over the driver's steps and what tasks timed."""
+        sums = [(k, n, s, s / n * 1000, m * 1000) for k, (n, s, m) in self.tasks.items()]
+        held = spark.createDataFrame(sums, "label string, calls long, total_s double, mean_ms double, max_ms double")
+        return timing_report(self.frame(spark)).unionByName(held).orderBy(F.desc("total_s"), "label")
+
     def report(self, spark) -> str:
-        rows = timing_report(self.frame(spark)).collect()
+        rows = self.summary(spark).collect()
         lines = [f"{r['label']:<24} {r['calls']:>6} calls  {r['total_s']:>9.3f} s  mean {r['mean_ms']:>9.2f} ms  max {r['max_ms']:>9.2f} ms" for r in rows]
         return "\n".join(lines) or "No timings recorded."

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import dataclasses
 import datetime
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import MIN_VALID_TILES, JobConfig
+from ..config import MIN_VALID_TILES, REFERENCE_MODES, JobConfig
 from ..functions.names import resolution, stem
 from ..operators import normalize, packed, pyramid, quality, stains, stats, tissue
 from ..operators.grid import sampling_grid
 from ..operators.normalize import Profile
-from ..sources import files, pixels as px, sinks
+from ..sources import files, pixels as px, sinks, storage
 
 
 def fit(pixels: DataFrame, slides: DataFrame, config: JobConfig, reference: int | None = None) -> Profile:
@@ -43,28 +43,43 @@ def transform(pixels: DataFrame, profile: Profile, source: DataFrame | None = No
 
 
 def fit_packed(tiles: DataFrame, slides: DataFrame, config: JobConfig, reference: int | None = None) -> Profile:
-    """The same target from packed tiles: only the tiles that a sampled window meets are read by Python."""
-    if config.mode in (1, 3, 5, 6):
+    """The same target from packed tiles; only the tiles that a sampled window meets are shuffled."""
+    if config.mode in REFERENCE_MODES:
         tiles, slides = (d.where(F.col("slide_id") == reference) for d in (tiles, slides))
     windows = packed.cut_windows(tiles, sampling_grid(slides, config.slide_type, config.tile_size), config.tile_size)
-    valid = tissue.biopsy_valid if config.slide_type == "biopsy" else tissue.tma_valid
-    scored = tissue.with_fallback(valid(packed.window_stats(windows))).where("used").persist()
+    scored = score_windows(windows, config).persist()
     try:
-        if config.mode in (1, 2):
-            cdfs = stats.cdf(packed.histogram_rows(scored), ["slide_id"])
-            return normalize.cdf_profile(cdfs if config.mode == 1 else stats.slide_weighted_cdf(cdfs))
-        if config.mode in (3, 4):
-            flat = scored.select("slide_id", *(F.get(k, F.lit(i)).alias(f"{k}_{c}") for i, c in enumerate("lab") for k in ("mu", "sigma")))
-            return normalize.stats_profile(stats.mean_stats(stats.mean_stats(flat, ["slide_id"]), []).first())
-        used = windows.join(scored.select("slide_id", "seq"), ["slide_id", "seq"])
-        if config.mode == 5:
-            return normalize.stain_profile("macenko", stains.fit_macenko_colours(packed.colours(used), config.orientation))
-        long = px.unpack(used.select("slide_id", F.col("seq").alias("tx"), F.lit(0).alias("ty"), "h", "w", "pixels"), config.tile_size)
-        return normalize.stain_profile("vahadane", stains.fit_vahadane(long))
+        return fit_windows(windows, scored, config)
     finally:
         scored.unpersist()
 
 
+def score_windows(windows: DataFrame, config: JobConfig) -> DataFrame:
+    """Statistics of each sampled window, and which are used (``used``, ``valid_count``, ``total_count``, ``fallback``)."""
+    valid = tissue.biopsy_valid if config.slide_type == "biopsy" else tissue.tma_valid
+    return tissue.with_fallback(valid(packed.window_stats(windows)))
+
+
+def window_moments(scored: DataFrame) -> DataFrame:
+    """LAB moments by slide: the means of those of its used windows."""
+    flat = scored.where("used").select("slide_id", *(F.get(k, F.lit(i)).alias(f"{k}_{c}") for i, c in enumerate("lab") for k in ("mu", "sigma")))
+    return stats.mean_stats(flat, ["slide_id"])
+
+
+def fit_windows(windows: DataFrame, scored: DataFrame, config: JobConfig) -> Profile:
+    """The target from sampled windows and their scores."""
+    if config.mode in (1, 2):
+        cdfs = stats.cdf(packed.histogram_rows(scored.where("used")), ["slide_id"])
+        return normalize.cdf_profile(cdfs if config.mode == 1 else stats.slide_weighted_cdf(cdfs))
+    if config.mode in (3, 4):
+        return normalize.stats_profile(stats.mean_stats(window_moments(scored), []).first())
+    used = windows.join(scored.where("used").select("slide_id", "seq"), ["slide_id", "seq"])
+    if config.mode == 5:
+        return normalize.stain_profile("macenko", stains.fit_macenko_colours(packed.colours(used), config.orientation))
+    long = px.unpack(used.select("slide_id", F.col("seq").alias("tx"), F.lit(0).alias("ty"), "h", "w", "pixels"), config.tile_size)
+    return normalize.stain_profile("vahadane", stains.fit_vahadane(long))
+
+
 def stain_fields(profile: Profile) -> dict:
     if profile.stains is None:
         return {}
@@ -119,90 +134,121 @@ def with_levels(tiles: DataFrame, slides: DataFrame, tile: int) -> tuple[DataFra
     return top.unionByName(reduced), arrays
 
 
-def run(spark: SparkSession, config: JobConfig, paths: list[str]) -> DataFrame:
+def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quality.Timings | None = None) -> DataFrame:
     """A whole batch over slide files; returns the run log.
 
-    A slide whose header or any tile can't be read, or that can't be normalized or written, becomes an error row, takes
-    no part in batch averages and leaves no file; the others go on. A reference like that ends the run.
+    A slide whose header, a sampled window or any tile can't be read, that can't be normalized or written, or whose
+    output would take the name of another's, becomes an error row and leaves no file; the others go on. Of these, a slide
+    with a bad header or window has no part in batch averages. (A tile that only turns out to be bad as it is
+    normalized fails its slide then: every block of a slide is decoded once for that, and the blocks under its sampled
+    windows once more, before.) A reference that can't be sampled ends the run. timings: gets the seconds of the
+    driver's steps and of reading, normalizing and writing within tasks.
     """
-    reference = [config.ref_path] if config.ref_path else []
+    timings = timings or quality.Timings()
     # a reference outside the batch is read but not normalized
-    every = list(dict.fromkeys([*paths, *reference]))
+    every = list(dict.fromkeys([*paths, *([config.ref_path] if config.ref_path else [])]))
     problems = config.problems(len(paths), exists=lambda p: p in every)
     if problems:
         raise ValueError("; ".join(problems))
-    ids = spark.createDataFrame([(i, p) for i, p in enumerate(every)], "slide_id int, path string")
-    headers = ids.join(files.slide_headers(ids), "path").select("slide_id", "path", "width", "height", "levels", "mpp", "error").persist()
-    failed = {r["path"]: r["error"] for r in headers.where("error is not null").collect()}
-    slides = tissue.readable(headers)
-    heights = {r["path"]: r["height"] for r in slides.select("path", "height").collect()}  # a row a slide
-    raw = files.read_tiles(spark, list(heights), config.tile_size, list(heights.values()))
-    # every block is decoded once before anything is fitted or written: one unreadable tile fails its slide
-    failed |= {r["path"]: r["error"] for r in raw.where("error is not null").groupBy("path").agg(F.min("error").alias("error")).collect()}
-    good = {p: i for i, p in enumerate(every) if p not in failed}
-    if config.mode in (1, 3, 5, 6) and config.ref_path not in good:
-        raise RuntimeError(f"the reference slide can't be read: {failed[config.ref_path]}")
-    slides = slides.where(F.col("slide_id").isin(list(good.values())))
-    tiles = raw.where("error is null").join(F.broadcast(ids), "path").select("slide_id", "tx", "ty", "h", "w", "pixels")  # ids: a row a slide
-    # batch modes average the batch itself; a reference that isn't part of it has no say there
-    batch = [good[p] for p in paths if p in good]
-    own, mine = (d.where(F.col("slide_id").isin(batch)) for d in (tiles, slides))
-    name_of = {i: every[i].rsplit("/", 1)[-1] for i in range(len(every))}
-    done: list[dict] = []
-    if batch:
-        by_reference = config.mode in (1, 3, 5, 6)
-        profile = fit_packed(tiles.where(F.col("slide_id").isin(list(good.values()))) if by_reference else own, slides if by_reference else mine, config, good.get(config.ref_path))
-        named = mine.select("*", stem(F.col("path")).alias("stem"))
-        done = (_write_tiles if config.output_format == "tiles" else _write_slides)(own, named, profile, config)
-    elif config.mode in (2, 4):
-        raise RuntimeError("no slide of the batch can be read")
-    lost = [{"filename": p.rsplit("/", 1)[-1], "error": failed[p]} for p in paths if p in failed]
-    lost += [{"filename": name_of[r["slide_id"]], "error": r["error"]} for r in done if r.get("error") is not None]
-    log = log_rows(spark, [{"method": config.method, **r} for r in done if r.get("error") is None] + [{"method": config.method, **r} for r in lost])
-    headers.unpersist()
+    by_reference, wanted = config.mode in REFERENCE_MODES, set(paths)
+    ids = spark.createDataFrame([(i, p, p in wanted, p == config.ref_path) for i, p in enumerate(every)], "slide_id int, path string, own boolean, reference boolean")
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        return held[-1]
+
+    try:
+        with timings.time("headers"):
+            headers = keep(ids.join(files.slide_headers(ids), "path").withColumn("stem", stem(F.col("path"))))
+            readable = tissue.readable(headers)
+        # the windows that the target and the slides' own statistics are taken from
+        both = F.col("reference") if config.mode in (1, 5, 6) else F.col("reference") | F.col("own") if config.mode == 3 else F.col("own")
+        sampled = readable.where(both)
+        places = sampling_grid(sampled, config.slide_type, config.tile_size).join(sampled.select("slide_id", "path"), "slide_id")
+        windows = files.read_windows(places, config.tile_size, timings.clock)
+        seen = keep(packed.window_stats(windows, timings.clock))
+        bad = seen.where("error is not null").groupBy("slide_id").agg(F.min("error").alias("error"))
+        valid = tissue.biopsy_valid if config.slide_type == "biopsy" else tissue.tma_valid
+        scored = keep(tissue.with_fallback(valid(seen.join(bad.select("slide_id"), "slide_id", "left_anti"))))
+        problem = headers.where("error is not null").select("slide_id", "error").unionByName(bad)
+        if by_reference and (failed := problem.join(headers.where("reference").select("slide_id"), "slide_id").first()):
+            raise RuntimeError(f"the reference slide can't be read: {failed['error']}")
+        mine = readable.where("own").join(bad.select("slide_id"), "slide_id", "left_anti")
+        done: list[dict] = []
+        if mine.limit(1).count():
+            of_target = scored.join(headers.where("reference" if by_reference else "own").select("slide_id"), "slide_id")
+            with timings.time("fit"):
+                profile = fit_windows(windows, of_target, config)
+            moments = window_moments(scored) if config.source_scope == "slide" else None
+            with timings.time("normalize and write"):
+                done = (_write_tiles if config.output_format == "tiles" else _write_slides)(mine, profile, config, moments, timings.clock)
+            if config.mode in (3, 4) and config.output_format == "wsi":
+                done = _with_sample_counts(done, scored)
+        elif config.mode in (2, 4):
+            raise RuntimeError("no slide of the batch can be read")
+        done += [r.asDict() for r in problem.join(headers.where("own").select("slide_id"), "slide_id").collect()]  # a row a failed slide
+    finally:
+        for df in held:
+            df.unpersist()
+    name_of = lambda r: r.get("filename") or every[r["slide_id"]].rsplit("/", 1)[-1]
+    rows = [{"method": config.method, **r} if r.get("error") is None else {"method": config.method, "filename": name_of({"slide_id": r["slide_id"]}), "error": r["error"]} for r in done]
+    log = log_rows(spark, rows)
     if config.save_log:
         now = datetime.datetime.now()
         sinks.write_run_log(log, config, now.strftime("%Y-%m-%d %H:%M:%S"), now.strftime("%Y%m%d_%H%M%S"))
     return log
 
 
-def _write_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, config: JobConfig) -> list[dict]:
-    """Rows of the log of PNG tiles, one a slide."""
-    manifest = sinks.write_png_tiles(tiles, slides, profile, config.output_dir).persist()
-    rows = sinks.tile_counts(manifest, config.tile_size).join(manifest.groupBy("slide_id").agg(F.round(F.sum("seconds"), 4).alias("elapsed_s")), "slide_id")
-    counts = rows.join(slides.select("slide_id", "stem"), "slide_id").collect()
-    manifest.unpersist()
-    return [{"slide_id": r["slide_id"], "filename": r["stem"], **{k: r[k] for k in ("tiles_total", "tiles_saved", "tiles_skipped", "elapsed_s")}} for r in counts]
+def _write_tiles(slides: DataFrame, profile: Profile, config: JobConfig, moments: DataFrame | None, clock) -> list[dict]:
+    """Rows of the log of PNG tiles, one a slide. Tiles get their final names once all of their slide were read."""
+    first = F.row_number().over(Window.partitionBy("stem").orderBy("slide_id")) == 1
+    ranked = slides.select("slide_id", "path", "stem", "height", first.alias("first"))
+    same = ranked.where("not first").select("slide_id", F.concat(F.lit("another slide of the batch is written to the folder "), "stem").alias("error"))
+    some = ranked.where("first")
+    work = f"{config.output_dir.rstrip('/')}/.tintloom-{uuid.uuid4().hex}"
+    tiles = files.tiles_of(some, config.tile_size, clock)
+    manifest = sinks.write_png_tiles(tiles, some, profile, work, moments=moments, clock=clock).persist(StorageLevel.DISK_ONLY)
+    try:
+        bad = manifest.where("unreadable").groupBy("slide_id").agg(F.min("error").alias("error"))
+        good = manifest.join(bad.select("slide_id"), "slide_id", "left_anti")
+        lost = sinks.move_png_tiles(good, some, work, config.output_dir).where("error is not null").groupBy("slide_id").agg(F.min("error").alias("error"))
+        errors = [r.asDict() for r in lost.unionByName(bad).unionByName(same).collect()]  # a row a failed slide
+        rows = sinks.tile_counts(good, config.tile_size).join(good.groupBy("slide_id").agg(F.round(F.sum("seconds"), 4).alias("elapsed_s")), "slide_id")
+        failed = {r["slide_id"] for r in errors}
+        counts = [r for r in rows.join(some.select("slide_id", "stem"), "slide_id").collect() if r["slide_id"] not in failed]
+    finally:
+        manifest.unpersist()
+        storage.remove(work)
+    return [{"slide_id": r["slide_id"], "filename": r["stem"], **{k: r[k] for k in ("tiles_total", "tiles_saved", "tiles_skipped", "elapsed_s")}} for r in counts] + errors
 
 
-def _write_slides(tiles: DataFrame, slides: DataFrame, profile: Profile, config: JobConfig) -> list[dict]:
+def _write_slides(slides: DataFrame, profile: Profile, config: JobConfig, moments: DataFrame | None, clock) -> list[dict]:
     """Rows of the log of pyramids, one a slide; elapsed_s is the work on a slide's own tiles and file."""
-    # normalized once; kept on the executors' disks, since level 0 and the reduced levels both take it
-    made = normalize.normalize_tiles(tiles, profile, pad_to=config.tile_size, keep_errors=True).persist(StorageLevel.DISK_ONLY)
+    # read and normalized once; kept on the executors' disks, since level 0 and the reduced levels both take it
+    tiles = files.tiles_of(slides, config.tile_size, clock)
+    made = normalize.normalize_tiles(tiles, profile, pad_to=config.tile_size, keep_errors=True, moments=moments, clock=clock).persist(StorageLevel.DISK_ONLY)
     try:
-        spent = {r["slide_id"]: r for r in made.groupBy("slide_id").agg(F.sum("seconds").alias("seconds"), F.min("error").alias("error")).collect()}  # a row a slide
-        errors = [i for i, r in spent.items() if r["error"] is not None]
-        fine, some = made.where(~F.col("slide_id").isin(errors)), slides.where(~F.col("slide_id").isin(errors))
+        spent = made.groupBy("slide_id").agg(F.sum("seconds").alias("seconds"), F.min("error").alias("error"))
+        spent = {r["slide_id"]: r for r in spent.collect()}  # a row a slide
+        bad = made.where("error is not null").select("slide_id").distinct()
+        fine, some = (d.join(bad, "slide_id", "left_anti") for d in (made, slides))
         levels, sizes = with_levels(fine.drop("seconds", "error"), some, config.tile_size)
         per_cm, unit = resolution(F.when(F.col("mpp") != "unknown", F.col("mpp")))
         about = some.join(sizes, "slide_id").select("slide_id", "stem", "widths", "heights", per_cm.alias("resolution"), unit.alias("unit"))
-        rows = sinks.write_pyramids(levels, about, config.output_dir, config.tile_size, config.compression).collect()
+        rows = sinks.write_pyramids(levels, about, config.output_dir, config.tile_size, config.compression, config.jpeg_quality, clock).collect()
     finally:
         made.unpersist()
     time_of = lambda r: round(r["seconds"] + (spent[r["slide_id"]]["seconds"] if r["slide_id"] in spent else 0.0), 4)
     done = [{"slide_id": r["slide_id"], "filename": r["file"], "tiles_total": r["tiles"], "elapsed_s": time_of(r), "error": r["error"], **stain_fields(profile)} for r in rows]
-    if config.mode in (3, 4):
-        done = _with_sample_counts(done, tiles, slides, config)
-    return done + [{"slide_id": i, "error": spent[i]["error"]} for i in errors]
+    return done + [{"slide_id": i, "error": r["error"]} for i, r in spent.items() if r["error"] is not None]
 
 
-def _with_sample_counts(done: list[dict], tiles: DataFrame, slides: DataFrame, config: JobConfig) -> list[dict]:
+def _with_sample_counts(done: list[dict], scored: DataFrame) -> list[dict]:
     """The log of LAB runs also tells how many sampled tiles counted."""
-    windows = packed.cut_windows(tiles, sampling_grid(slides, config.slide_type, config.tile_size), config.tile_size)
-    valid = tissue.biopsy_valid if config.slide_type == "biopsy" else tissue.tma_valid
-    counts = tissue.with_fallback(valid(packed.window_stats(windows))).groupBy("slide_id").agg(F.first("valid_count").alias("valid_tiles"), F.first("total_count").alias("total_tiles_sampled"), F.first("fallback").alias("fallback"))
-    found = {f"{r['stem']}_norm.tiff": r.asDict() for r in counts.join(slides.select("slide_id", "stem"), "slide_id").collect()}
-    return [{**r, **{k: found[r["filename"]][k] for k in ("valid_tiles", "total_tiles_sampled", "fallback")}} for r in done]
+    counts = scored.groupBy("slide_id").agg(F.first("valid_count").alias("valid_tiles"), F.first("total_count").alias("total_tiles_sampled"), F.first("fallback").alias("fallback"))
+    found = {r["slide_id"]: r.asDict() for r in counts.collect()}  # a row a slide
+    return [{**r, **found.get(r["slide_id"], {})} for r in done]
 
 
 def image_batch(pixels: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
@@ -225,10 +271,4 @@ def normalize_images(images: DataFrame, profile: Profile) -> DataFrame:
     return images.select("path", "h", "w", "pixels").mapInPandas(go, "path string, h int, w int, pixels binary")
 
 
-def cancellable(spark: SparkSession, group: str, config: JobConfig, paths: list[str]) -> DataFrame:
-    """``run`` under a job group: ``spark.sparkContext.cancelJobGroup(group)`` from another thread ends it."""
-    spark.sparkContext.setJobGroup(group, f"normalize {len(paths)} slides", interruptOnCancel=True)
-    return run(spark, dataclasses.replace(config), paths)
-
-
-__all__ = ["MIN_VALID_TILES", "cancellable", "fit", "fit_packed", "image_batch", "log_rows", "normalize_images", "run", "transform", "with_levels"]
+__all__ = ["MIN_VALID_TILES", "fit", "fit_packed", "fit_windows", "image_batch", "log_rows", "normalize_images", "run", "score_windows", "transform", "with_levels"]

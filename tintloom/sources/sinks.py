@@ -4,46 +4,31 @@ from __future__ import annotations
 
 import dataclasses
 import time
-import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LOG_VERSION, SAVE_MIN_SCORE, WHITE_LEVEL, WHITE_SHARE
-from ..operators.normalize import Profile, _REGISTRY, np_with_background
-from . import codecs
+from ..operators.normalize import SOURCE, Profile, _REGISTRY, np_with_background, of_slide, with_moments
+from ..operators.quality import no_clock
+from . import codecs, storage
 from .pixels import array_of
+from .pyramids import write_pyramids
 
 # The columns of the parameter log, in order.
 LOG_COLUMNS = "filename string, tiles_total int, tiles_saved int, tiles_skipped int, valid_tiles int, total_tiles_sampled int, elapsed_s double, fallback boolean, stain_H_r double, stain_H_g double, stain_H_b double, stain_E_r double, stain_E_g double, stain_E_b double, method string, error string"
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(place)
-
-
-def _remove(path: str) -> None:
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    system.delete_file(place)
-
-
 def _parent_free(folder: str) -> str:
     return folder.rstrip("/")
 
 
-def write_png_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, folder: str) -> DataFrame:
-    """Normalize and write the tissue tiles; rows (slide_id, tx, ty, file, saved, error, seconds), one for each tile evaluated.
+def write_png_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, folder: str, *, moments: DataFrame | None = None, clock=no_clock) -> DataFrame:
+    """Normalize and write the tissue tiles; rows (slide_id, tx, ty, file, saved, error, unreadable, seconds), one for each tile evaluated.
 
-    tiles: packed, padded black where the slide ends; slides: slide_id, stem. Skipped: mostly white, flat, or failing.
+    tiles: packed, with an error where one can't be read; slides: slide_id, stem. Skipped: mostly white, flat, or failing.
     """
     function, folder = _REGISTRY[profile.kind], _parent_free(folder)
 
@@ -51,96 +36,55 @@ def write_png_tiles(tiles: DataFrame, slides: DataFrame, profile: Profile, folde
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                name, began = f"{r.stem}_x{r.tx:04d}_y{r.ty:04d}.png", time.perf_counter()
-                error = None
+                began, name, error, saved, unreadable = time.perf_counter(), None, None, False, r.pixels is None
                 try:
-                    image = array_of(r.pixels, r.h, r.w)
+                    if unreadable:
+                        raise ValueError(r.error)
+                    name = f"{r.stem}_x{int(r.tx):04d}_y{r.ty:04d}.png"
+                    image = array_of(r.pixels, int(r.h), int(r.w))
                     white = (image.astype(np.int32).sum(-1) > 3 * WHITE_LEVEL).mean() >= WHITE_SHARE
-                    saved = not (white or image.std() < SAVE_MIN_SCORE)
-                    if saved:
-                        with _open(f"{folder}/{r.stem}/{name}") as f:
-                            f.write(codecs.encode_png(np_with_background(image, profile, function)))
+                    if not (white or image.std() < SAVE_MIN_SCORE):
+                        with clock("algo.normalize"):
+                            made = np_with_background(image, of_slide(profile, r), function)
+                        with clock("io.save"), storage.open_output(f"{folder}/{r.stem}/{name}") as f:
+                            f.write(codecs.encode_png(made))
+                        saved = True
                 except Exception as e:  # a tile that fails is skipped, the run goes on
-                    saved, error = False, str(e)
-                out.append((r.slide_id, r.tx, r.ty, name, saved, error, time.perf_counter() - began))
-            yield pd.DataFrame(out, columns=["slide_id", "tx", "ty", "file", "saved", "error", "seconds"])
+                    error = str(e) or type(e).__name__
+                out.append((r.slide_id, r.tx, r.ty, name, saved, error, unreadable, time.perf_counter() - began))
+            frame = pd.DataFrame(out, columns=["slide_id", "tx", "ty", "file", "saved", "error", "unreadable", "seconds"])
+            yield frame.astype({"tx": "Int32"})
 
-    rows = tiles.join(F.broadcast(slides.select("slide_id", "stem")), "slide_id")  # a row a slide
-    return rows.select("slide_id", "stem", "tx", "ty", "h", "w", "pixels").mapInPandas(run, "slide_id int, tx int, ty int, file string, saved boolean, error string, seconds double")
+    if "error" not in tiles.columns:
+        tiles = tiles.withColumn("error", F.lit(None).cast("string"))
+    rows = with_moments(tiles, moments).join(F.broadcast(slides.select("slide_id", "stem")), "slide_id")  # a row a slide
+    return rows.select("slide_id", "stem", "tx", "ty", "h", "w", "pixels", "error", *SOURCE).mapInPandas(run, "slide_id int, tx int, ty int, file string, saved boolean, error string, unreadable boolean, seconds double")
 
 
-def tile_counts(manifest: DataFrame, tile: int) -> DataFrame:
-    """Saved, skipped and evaluated tiles of each slide, with the top-left pixels of the skipped ones."""
-    place = F.when(~F.col("saved"), F.struct((F.col("tx") * tile).alias("x"), (F.col("ty") * tile).alias("y")))
-    return manifest.groupBy("slide_id").agg(F.count("*").cast("int").alias("tiles_total"), F.sum(F.col("saved").cast("int")).cast("int").alias("tiles_saved"), F.sum((~F.col("saved")).cast("int")).cast("int").alias("tiles_skipped"), F.array_sort(F.collect_list(place)).alias("skipped_coords"))
-
+def move_png_tiles(manifest: DataFrame, slides: DataFrame, source: str, folder: str) -> DataFrame:
+    """Give the saved tiles of slides (slide_id, stem) their final names; rows (slide_id, moved, error)."""
+    source, folder = _parent_free(source), _parent_free(folder)
 
-def write_pyramids(levels: DataFrame, slides: DataFrame, folder: str, tile: int, compression: str = "deflate") -> DataFrame:
-    """Write one tiled BigTIFF a slide, now; rows (slide_id, file, tiles, seconds, error), one for each slide.
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                error = None
+                try:
+                    storage.move(f"{source}/{r.stem}/{r.file}", f"{folder}/{r.stem}/{r.file}")
+                except Exception as e:
+                    error = str(e) or type(e).__name__
+                out.append((r.slide_id, error is None, error))
+            yield pd.DataFrame(out, columns=["slide_id", "moved", "error"])
 
-    levels: packed tiles of every level (slide_id, level, tx, ty, h, w, pixels) at full tile size.
-    slides: slide_id, stem, and arrays by level of width and height, resolution, unit. Tiles are compressed once, where
-    they are, and kept on the executors' disks; then each file is written as a stream in order, one tile in memory at
-    a time. A slide that lacks a tile, or has one too many, is an error and leaves no file.
-    """
+    rows = manifest.where("saved").join(F.broadcast(slides.select("slide_id", "stem")), "slide_id")  # a row a slide
+    return rows.select("slide_id", "stem", "file").mapInPandas(run, "slide_id int, moved boolean, error string")
 
-    def squeeze(batches):
-        for batch in batches:
-            data = [zlib.compress(p, 6) if compression == "deflate" else bytes(p) for p in batch.pixels]
-            yield pd.DataFrame({"slide_id": batch.slide_id, "level": batch.level, "tx": batch.tx, "ty": batch.ty, "data": data})
-
-    small = levels.select("slide_id", "level", "tx", "ty", "pixels").mapInPandas(squeeze, "slide_id int, level int, tx int, ty int, data binary").persist(StorageLevel.DISK_ONLY)
-    folder, spark = _parent_free(folder), levels.sparkSession
-    told = {r["slide_id"]: r.asDict() for r in slides.collect()}  # one row a slide in the batch
-    method = 8 if compression == "deflate" else 1
-
-    def write(batches):
-        state = None
-
-        def finish():
-            info, error = told[state["slide"]], state["error"]
-            images = []
-            for k, (w, h) in enumerate(zip(info["widths"], info["heights"], strict=True)):
-                places, offsets, sizes = state["levels"].get(k, ([], [], []))
-                wanted = [(tx, ty) for ty in range(-(-h // tile)) for tx in range(-(-w // tile))]
-                if places != wanted and error is None:
-                    error = f"level {k} has {len(places)} of {len(wanted)} tiles, or others than it needs"
-                images.append({"width": w, "height": h, "tile": tile, "offsets": offsets, "sizes": sizes, "resolution": info["resolution"], "unit": info["unit"], "compression": method})
-            if error is None:
-                # blocks come first, so the header is written with their total, and the directories follow
-                state["file"].write(codecs.bigtiff_ifds(state["at"], images))
-            state["file"].close()
-            if error is not None:
-                _remove(f"{folder}/{state['name']}")
-            return pd.DataFrame([(state["slide"], state["name"], state["tiles"], time.perf_counter() - state["began"], error)], columns=["slide_id", "file", "tiles", "seconds", "error"])
 
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if state is None or state["slide"] != r.slide_id:
-                    if state:
-                        yield finish()
-                    name = f"{told[r.slide_id]['stem']}_norm.tiff"
-                    state = {"slide": r.slide_id, "name": name, "file": _open(f"{folder}/{name}"), "levels": {}, "at": 16, "tiles": 0, "error": None, "began": time.perf_counter()}
-                    state["file"].write(codecs.bigtiff_header(16 + int(r.total)))
-                places, offsets, sizes = state["levels"].setdefault(r.level, ([], [], []))
-                places.append((r.tx, r.ty))
-                offsets.append(state["at"])
-                sizes.append(len(r.data))
-                state["file"].write(r.data)
-                state["at"] += len(r.data)
-                state["tiles"] += r.level == 0
-        if state:
-            yield finish()
-
-    schema = "slide_id int, file string, tiles int, seconds double, error string"
-    try:
-        totals = small.groupBy("slide_id").agg(F.sum(F.octet_length("data")).alias("total"))
-        rows = small.join(F.broadcast(totals), "slide_id").repartition("slide_id").sortWithinPartitions("slide_id", "level", "ty", "tx")  # totals: a row a slide
-        made = [tuple(r) for r in rows.mapInPandas(write, schema).collect()]  # a row a slide
-    finally:
-        small.unpersist()
-    lost = told.keys() - {m[0] for m in made}
-    return spark.createDataFrame(made + [(i, f"{told[i]['stem']}_norm.tiff", 0, 0.0, "none of its tiles could be read") for i in sorted(lost)], schema)
+def tile_counts(manifest: DataFrame, tile: int) -> DataFrame:
+    """Saved, skipped and evaluated tiles of each slide, with the top-left pixels of the skipped ones."""
+    place = F.when(~F.col("saved"), F.struct((F.col("tx") * tile).alias("x"), (F.col("ty") * tile).alias("y")))
+    return manifest.groupBy("slide_id").agg(F.count("*").cast("int").alias("tiles_total"), F.sum(F.col("saved").cast("int")).cast("int").alias("tiles_saved"), F.sum((~F.col("saved")).cast("int")).cast("int").alias("tiles_skipped"), F.array_sort(F.collect_list(place)).alias("skipped_coords"))
 
 
 def write_images(images: DataFrame, folder: str, ending: str = "tif") -> DataFrame:
@@ -155,7 +99,7 @@ def write_images(images: DataFrame, folder: str, ending: str = "tif") -> DataFra
                 stem = r.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 error = None
                 try:
-                    with _open(f"{folder}/{stem}_norm.{ending}") as f:
+                    with storage.open_output(f"{folder}/{stem}_norm.{ending}") as f:
                         f.write(encode(array_of(r.pixels, r.h, r.w)))
                 except Exception as e:
                     error = str(e)
@@ -208,6 +152,9 @@ def write_run_log(log: DataFrame, config, when: str, stamp: str) -> list[str]:
         return []
     name = config.method.replace(" ", "_").replace("–", "-")
     text = f"{_parent_free(config.output_dir)}/run_log_{name}_{stamp}.md"
-    with _open(text) as f:
+    with storage.open_output(text) as f:
         f.write(render_run_log(rows, config, when).encode())
     return [text, write_csv_log(log, config.output_dir, name, stamp)]
+
+
+__all__ = ["LOG_COLUMNS", "move_png_tiles", "render_run_log", "run_summary", "tile_counts", "write_csv_log", "write_images", "write_png_tiles", "write_pyramids", "write_run_log"]
