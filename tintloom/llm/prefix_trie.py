@@ -180,9 +180,10 @@ def trie(turns: DataFrame, heads: DataFrame) -> DataFrame:
         parts.append(below)
     null = F.lit(None).cast("long")
     if n_convs:
-        top = heads.sparkSession.range(1).select(root.alias("conv_id"), F.lit(0).cast("long").alias("depth"), null.alias("parent_conv_id"), F.lit(n_convs).cast("long").alias("n_convs"))
-        folded = _folded(below) if below is not None else top.select("conv_id", *(null.alias(c) for c in ("children", "leaves", "saved")))
-        parts.append(top.join(folded, "conv_id", "left").select(*NODES[:4], F.coalesce("children", F.lit(0)).alias("n_children"), F.coalesce("leaves", one).alias("n_leaves"), F.coalesce("saved", F.lit(0)).alias("saved_tokens")))
+        # all nodes of the first level are the root's children
+        top = below if below is not None else heads.sparkSession.range(0).select(null.alias("n_leaves"), null.alias("saved_tokens"))
+        top = top.agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
+        parts.append(top.select(root.alias("conv_id"), F.lit(0).cast("long").alias("depth"), null.alias("parent_conv_id"), F.lit(n_convs).cast("long").alias("n_convs"), "n_children", F.coalesce("leaves", one).alias("n_leaves"), F.coalesce("saved", F.lit(0)).alias("saved_tokens")))
     else:
         parts.append(heads.sparkSession.range(0).select(*(null.alias(c) for c in NODES)))
     nodes, where = parts[0], ended[0]
