@@ -232,7 +232,7 @@ def test_jpeg_streams_that_differ():
     assert np.abs(jpeg.decode(whole, ycc=False)[..., 0] - (image @ [0.299, 0.587, 0.114])).max() < 16
     with pytest.raises(ValueError, match="codes"):
         jpeg.decode(bare)
-    with pytest.raises(ValueError, match="shorter"):
+    with pytest.raises(ValueError, match="shorter|broken"):
         jpeg.decode(whole[: len(whole) // 2])
     with pytest.raises(ValueError, match="baseline"):
         jpeg.decode(whole.replace(b"\xff\xc0", b"\xff\xc2"))

@@ -254,7 +254,11 @@ def decode(data: bytes, tables: Tables | None = None, ycc: bool | None = None) -
             raise ValueError("a JPEG stream lacks its codes")
         units += [(c, bx, by, across * sx, *codes) for by in range(sy) for bx in range(sx)]
     planes = []
-    for (places, values), (_, sx, sy, q) in zip(_read_scan(_stretches(data, scan[1]), units, across, across * down, restart), parts, strict=True):
+    try:
+        coefficients = _read_scan(_stretches(data, scan[1]), units, across, across * down, restart)
+    except IndexError as e:
+        raise ValueError("a JPEG stream is shorter than its size") from e
+    for (places, values), (_, sx, sy, q) in zip(coefficients, parts, strict=True):
         if q not in found.quant:
             raise ValueError("a JPEG stream lacks its quantization")
         rows, cols = down * sy, across * sx
