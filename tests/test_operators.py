@@ -121,7 +121,8 @@ def test_stain_fits(spark, images, pixels):
     plane = np.linalg.svd(od, full_matrices=False)[2][:2].T
     plane = plane * np.where(plane.sum(0) > 0, -1, 1)
     angle = np.arctan2(od @ plane[:, 1], od @ plane[:, 0])
-    want = stains.stains_between(plane, *np.percentile(angle, [15, 85]))
+    ends = [plane @ [np.cos(t), np.sin(t)] for t in np.percentile(angle, [15, 85])]
+    want = np.array(sorted((v / np.linalg.norm(v) for v in ends), key=lambda v: v[0]))
     assert np.allclose(found["stain_matrix"], want, atol=1e-6)
     conc = np.linalg.lstsq(want.T, od.T, rcond=None)[0]
     assert np.allclose(found["max_concentrations"], np.percentile(conc, 99, axis=1), atol=1e-6)
@@ -133,6 +134,68 @@ def test_stain_fits(spark, images, pixels):
     assert max(min(np.degrees(np.arccos(np.clip(a @ t, -1, 1))) for a in v) for t in true) < 25
 
 
+def test_planes_of_many_matrices_at_once(spark):
+    """The closed form against an eigenvalue routine, degenerate matrices included."""
+    rng = np.random.default_rng(3)
+    rows = [rng.gamma(2.0, 0.4, (50, 3)) for _ in range(40)]
+    rows += [np.outer(rng.random(20) + 0.1, v) for v in ((1.0, 2.0, 3.0), (1.0, 0.0, 0.0))]  # of one direction
+    rows += [np.eye(3), np.diag([2.0, 1.0, 1.0]), np.diag([1.0, 2.0, 2.0])]
+    grams = [x.T @ x for x in rows]
+    sums = spark.createDataFrame([(i, *(float(m["rgb".index(a), "rgb".index(b)]) for a, b in stains.PAIRS)) for i, m in enumerate(grams)], "i int, " + ", ".join(f"s_{a}{b} double" for a, b in stains.PAIRS))
+    for orientation, sign in (("as_reference", -1), ("positive", 1)):
+        for r in stains.with_plane(sums, orientation).collect():
+            own = np.array([[r[f"p_{c}{k}"] for k in (0, 1)] for c in "rgb"])
+            m, values = grams[r["i"]], np.linalg.eigvalsh(grams[r["i"]])
+            assert np.allclose(own.T @ own, np.eye(2), atol=1e-9)
+            assert np.allclose(np.sort(np.diag(own.T @ m @ own)), values[1:], rtol=1e-9, atol=1e-9)
+            assert (own.sum(0) * sign >= -1e-9).all()
+            if r["i"] < 40:
+                want = np.linalg.eigh(m)[1][:, ::-1][:, :2]
+                want = want * np.where(want.sum(0) * sign < 0, -1, 1)
+                assert np.allclose(own, want, atol=1e-8)
+
+
+def plain_dictionary(od, weights, penalty=0.1, rounds=50):
+    """Alternating descent over rows, codes by coordinates until they stand still."""
+    atoms = np.array(DEFAULT_STAINS) / np.linalg.norm(DEFAULT_STAINS, axis=1, keepdims=True)
+    for _ in range(rounds):
+        g, hit, codes = atoms @ atoms.T, od @ atoms.T - penalty, np.zeros((len(od), 2))
+        for _ in range(3000):
+            old = codes.copy()
+            for k in range(2):
+                codes[:, k] = np.maximum(0, hit[:, k] - codes[:, 1 - k] * g[0, 1])
+            if np.abs(codes - old).max() < 1e-13:
+                break
+        a, b, before = (codes * weights[:, None]).T @ codes, (codes * weights[:, None]).T @ od, atoms.copy()
+        for k in range(2):
+            atoms[k] = np.maximum(0, (b[k] - a[k, 1 - k] * atoms[1 - k]) / a[k, k])
+            atoms[k] /= np.linalg.norm(atoms[k])
+        if np.abs(atoms - before).max() < 1e-7:
+            break
+    return atoms
+
+
+def test_dictionary_on_aggregates(spark, images, pixels):
+    colours = pixels.where("slide_id = 0").groupBy("r", "g", "b").agg(F.count("*").alias("times"))
+    found = stains.positive_dictionary(tissue.od_tissue(colours))
+    od = color.np_rgb_to_od(images[0]).reshape(-1, 3)
+    od = od[np.linalg.norm(od, axis=1) > 0.15]
+    assert np.allclose(found, plain_dictionary(od, np.ones(len(od))), atol=1e-6)
+    again = stains.positive_dictionary(tissue.od_tissue(colours).repartition(7))
+    assert np.allclose(found, again, atol=1e-9)
+    assert np.allclose(stains.positive_dictionary(tissue.od_tissue(colours).limit(0)) @ [1, 0, 0], [0.65 / np.linalg.norm(DEFAULT_STAINS[0]), 0.072 / np.linalg.norm(DEFAULT_STAINS[1])])
+
+
+def test_fits_of_all_slides_at_once(spark, pixels):
+    colours = pixels.groupBy("slide_id", "r", "g", "b").agg(F.count("*").alias("times"))
+    rows = {r["slide_id"]: r for r in stains.fit_macenko_by(colours, ["slide_id"]).collect()}
+    assert len(rows) == pixels.select("slide_id").distinct().count()
+    for i, r in rows.items():
+        own = stains.fit_macenko(pixels.where(f"slide_id = {i}"))
+        assert np.allclose(stains.fit_of(r)["stain_matrix"], own["stain_matrix"]) and np.allclose(stains.fit_of(r)["max_concentrations"], own["max_concentrations"])
+        assert r["fallback"] == (r["n"] < 100)
+
+
 @pytest.mark.parametrize("n,default", [(99, True), (100, False)])
 def test_minimum_tissue(spark, n, default):
     image = np.full((20, 20, 3), 255, np.uint8)

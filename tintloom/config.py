@@ -24,7 +24,6 @@ CONCENTRATION_EPS = 1e-6
 DEFAULT_STAINS = ((0.650, 0.704, 0.286), (0.072, 0.990, 0.105))
 DEFAULT_MAX_CONCENTRATIONS = (1.0, 1.0)
 VAHADANE_LAMBDA = 0.1
-VAHADANE_SAMPLE = 50_000
 VAHADANE_ROUNDS = 50
 REINHARD_SIGMA_FLOOR = 1e-6
 OD_CLIP = (1, 254)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import WHITE_LEVEL, WHITE_SHARE
 from ..functions.color import np_rgb_to_lab
 from ..sources.pixels import array_of
+from . import stains
 from .quality import no_clock
 
 WINDOWS = "slide_id int, seq int, x int, y int, h int, w int, pixels binary"
@@ -84,14 +85,19 @@ def histogram_rows(stats: DataFrame) -> DataFrame:
 
 
 def colours(tiles: DataFrame) -> DataFrame:
-    """Distinct colours of packed tiles with their counts: a tile sends each of its colours once."""
+    """Distinct colours of the packed tiles of each slide with their counts: a tile sends each of its colours once."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                image = array_of(r.pixels, r.h, r.w).reshape(-1, 3).astype(np.int32)
+            for slide, pixels in zip(batch.slide_id, batch.pixels, strict=True):
+                image = np.frombuffer(pixels, np.uint8).reshape(-1, 3).astype(np.int32)
                 code, n = np.unique(image[:, 0] << 16 | image[:, 1] << 8 | image[:, 2], return_counts=True)
-                yield pd.DataFrame({"code": code, "n": n})
+                yield pd.DataFrame({"slide_id": np.int32(slide), "code": code, "n": n})
+
+    counts = tiles.select("slide_id", "pixels").mapInPandas(run, "slide_id int, code int, n long").groupBy("slide_id", "code").agg(F.sum("n").alias("times"))
+    return counts.select("slide_id", F.shiftright("code", 16).alias("r"), F.shiftright("code", 8).bitwiseAND(255).alias("g"), F.col("code").bitwiseAND(255).alias("b"), "times")
+
 
-    counts = tiles.select("h", "w", "pixels").mapInPandas(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("times"))
-    return counts.select(F.shiftright("code", 16).alias("r"), F.shiftright("code", 8).bitwiseAND(255).alias("g"), F.col("code").bitwiseAND(255).alias("b"), "times")
+def fit_slides(tiles: DataFrame, orientation: str = "as_reference") -> DataFrame:
+    """Stains and high concentrations of each slide from its packed tiles, all slides at once (``stains.fit_macenko_by``)."""
+    return stains.fit_macenko_by(colours(tiles), ["slide_id"], orientation)

@@ -44,6 +44,15 @@ def used_pixels(tiles: DataFrame, under: DataFrame) -> DataFrame:
     return under.join(tiles.where("used").select("slide_id", "seq"), ["slide_id", "seq"])
 
 
+def used_colours(tiles: DataFrame, under: DataFrame, tile: int) -> DataFrame:
+    """Distinct colours of the slides' used windows: rows (slide_id, r, g, b, times), black padding included."""
+    seen = used_pixels(tiles, under).groupBy("slide_id", "r", "g", "b").agg(F.count("*").alias("times"))
+    area = tiles.where("used").groupBy("slide_id").agg((F.count("*") * tile * tile).alias("area"))
+    inside = seen.groupBy("slide_id").agg(F.sum("times").alias("n"))
+    black = area.join(inside, "slide_id", "left").select("slide_id", *(F.lit(0).alias(c) for c in "rgb"), (F.col("area") - F.coalesce("n", F.lit(0))).alias("times"))
+    return seen.unionByName(black.where("times > 0"))
+
+
 def slide_cdf(pixels: DataFrame, slides: DataFrame, slide_type: str, tile: int) -> DataFrame:
     """Dense CDFs of the slides' used windows, with valid_count, total_count and fallback.
 

@@ -155,12 +155,25 @@ def _fit(mode):
     def go(spark, d):
         p = view(spark, d)
         profile = pipeline.fit(p, _slides(p), _config(mode), 0)
-        rows = [(i, *(float(x) for x in row), None if profile.max_concentrations is None else float(profile.max_concentrations[i])) for i, row in enumerate(profile.stains)]
+        rows = [(i, *(round(float(x), 6) for x in row), None if profile.max_concentrations is None else round(float(profile.max_concentrations[i]), 6)) for i, row in enumerate(profile.stains)]
         return spark.createDataFrame(rows, "stain int, r double, g double, b double, max_concentration double")
 
     return go
 
 
+def _fits(p):
+    tiles, under = stats.sample(p, _slides(p), "biopsy", T)
+    fits = stains.fit_macenko_by(stats.used_colours(tiles, under, T), ["slide_id"])
+    return rounded(fits.drop("n"), [c for c, t in fits.dtypes if t == "double"])
+
+
+def _packed_fits(p):
+    windows = packed.cut_windows(px.pack(p), grid.sampling_grid(_slides(p), "biopsy", T), T)
+    scored = pipeline.score_windows(windows, _config(5)).where("used")
+    fits = packed.fit_slides(windows.join(scored.select("slide_id", "seq"), ["slide_id", "seq"]))
+    return rounded(fits.drop("n"), [c for c, t in fits.dtypes if t == "double"])
+
+
 def _default_stains(kind):
     return normalize.stain_profile(kind, {"stain_matrix": color.DEFAULT_STAINS, "max_concentrations": (1.0, 1.0)})
 
@@ -291,6 +304,8 @@ def queries() -> dict:
         "macenko_angles": p(_angles),
         "macenko_max_conc": p(_max_conc),
         "macenko_fit": _fit(5),
+        "macenko_fit_by_slide": p(_fits),
+        "packed_macenko_fit_by_slide": p(_packed_fits),
         "vahadane_fit": _fit(6),
         "ols_concentrations": p(lambda v: rounded(stains.with_concentrations(tissue.with_od(v)).select("slide_id", "x", "y", "c0", "c1"), ["c0", "c1"])),
         "macenko_apply": p(lambda v: normalize.macenko(v, _default_stains("macenko")).select(*OUT)),

@@ -118,6 +118,28 @@ def _reinhard(stats: str, using: str, target: str) -> str:
     return rgb(f"(SELECT p.slide_id, p.tx, p.ty, p.x, p.y, p.r, p.g, p.b, {moved} FROM pl p JOIN {stats} s USING ({using}) CROSS JOIN {target} t)")
 
 
+def _times(a: str, b: str) -> str:
+    """The product of two symmetric 3 x 3 matrices given as nine columns each, a00 to a22."""
+    return ", ".join(f"{' + '.join(f'{a}{i}{k} * {b}{k}{j}' for k in range(3))} m{i}{j}" for i in range(3) for j in range(3))
+
+
+def _longest(prefix: str) -> str:
+    """The unit direction of the longest column of m00 to m22, as prefix0 to prefix2."""
+    n = [f"(m0{j} * m0{j} + m1{j} * m1{j} + m2{j} * m2{j})" for j in range(3)]
+    pick = lambda i: f"CASE WHEN {n[0]} >= {n[1]} AND {n[0]} >= {n[2]} THEN m{i}0 / sqrt({n[0]}) WHEN {n[1]} >= {n[2]} THEN m{i}1 / sqrt({n[1]}) ELSE m{i}2 / sqrt({n[2]}) END {prefix}{i}"
+    return ", ".join(map(pick, range(3)))
+
+
+def _less(value: str, name: str) -> str:
+    """The matrix of sums less a value, as nine columns."""
+    return ", ".join(f"s{min(i, j)}{max(i, j)}{f' - {value}' if i == j else ''} {name}{i}{j}" for i in range(3) for j in range(3))
+
+
+_SUMS = ", ".join(f"sum(od_{a} * od_{b}) s{i}{j}" for i, a in enumerate("rgb") for j, b in enumerate("rgb") if i <= j)
+_MIX = " + ".join("w{0}%d * od_%s" % (j, c) for j, c in enumerate("rgb"))
+_WEIGHTS = ", ".join(f"CASE WHEN aa * dd - bb * bb > 1e-12 THEN ({x} * {k}_{c} - bb * {j}_{c}) / (aa * dd - bb * bb) ELSE {k}_{c} / 2 END w{n}{i}" for i, c in enumerate("rgb") for n, (x, k, j) in enumerate((("dd", "h", "e"), ("aa", "e", "h"))))
+_STAIN = ", ".join(f"{k}_{c}" for k in "he" for c in "rgb")
+
 T = "slide_id, tx, ty,"
 CTES = {
     "px": f"""SELECT slide_id, tx, ty, x, y, {', '.join(f"CAST(CASE WHEN (tx + ty + slide_id) % 4 = 0 THEN 240 + ch % 16 ELSE 245 - (ch * {h}) // 100 - (ce * {e}) // 100 END AS INT) {c}" for c, h, e in (("r", 150, 10), ("g", 110, 120), ("b", 50, 30)))}
@@ -169,6 +191,24 @@ CTES = {
     "mp": "SELECT slide_id, tx, ty, quantile_cont(c0, 0.99) p0, quantile_cont(c1, 0.99) p1 FROM pc GROUP BY ALL",
     "ma": from_conc("(SELECT pc.* EXCLUDE (c0, c1), c0 * 1.0 / (p0 + 1e-6) c0, c1 * 1.0 / (p1 + 1e-6) c1 FROM pc JOIN mp USING (slide_id, tx, ty))"),
     "va": from_conc(f"(SELECT * EXCLUDE (c0, c1), greatest(c0, {d(0)}) c0, greatest(c1, {d(0)}) c1 FROM pc)"),
+    # the plane of the used windows' tissue: eigenvalues in closed form, directions as columns of (A - x)(A - y)
+    "ut": f"SELECT * FROM (SELECT slide_id, {', '.join(f'{od(c)} od_{c}' for c in 'rgb')} FROM su) WHERE sqrt(od_r * od_r + od_g * od_g + od_b * od_b) > {d(0.15)}",
+    "ug": f"SELECT slide_id, count(*) n, {_SUMS}, (s00 + s11 + s22) / 3 q, sqrt(((s00 - q) * (s00 - q) + (s11 - q) * (s11 - q) + (s22 - q) * (s22 - q) + 2 * (s01 * s01 + s02 * s02 + s12 * s12)) / 6) p FROM ut GROUP BY slide_id HAVING count(*) >= 100",
+    "ue": "SELECT *, q + 2 * p * cos(phi) x0, q + 2 * p * cos(phi + 2 * pi() / 3) x2, 3 * q - x0 - x2 x1 FROM (SELECT *, acos(greatest(-1, least(1, ((s00 - q) * ((s11 - q) * (s22 - q) - s12 * s12) - s01 * (s01 * (s22 - q) - s12 * s02) + s02 * (s01 * s12 - (s11 - q) * s02)) / (p * p * p) / 2))) / 3 phi FROM ug)",
+    "uf": f"SELECT slide_id, {_longest('f')} FROM (SELECT slide_id, {_times('a', 'b')} FROM (SELECT slide_id, {_less('x1', 'a')}, {_less('x2', 'b')} FROM ue))",
+    "ul": f"SELECT slide_id, {_longest('l')} FROM (SELECT slide_id, {_times('a', 'b')} FROM (SELECT slide_id, {_less('x0', 'a')}, {_less('x1', 'b')} FROM ue))",
+    "uz": "SELECT slide_id, f0, f1, f2, l1 * f2 - l2 * f1 z0, l2 * f0 - l0 * f2 z1, l0 * f1 - l1 * f0 z2 FROM uf JOIN ul USING (slide_id)",
+    "up": f"SELECT slide_id, {', '.join(f'{k}{i} * CASE WHEN {k}0 + {k}1 + {k}2 > 0 THEN -1 ELSE 1 END {k}{i}' for k in 'fz' for i in range(3))} FROM uz",
+    "ua": f"SELECT slide_id, quantile_cont(t, 0.15) low, quantile_cont(t, 0.85) high FROM (SELECT slide_id, atan2({' + '.join(f'z{i} * od_{c}' for i, c in enumerate('rgb'))}, {' + '.join(f'f{i} * od_{c}' for i, c in enumerate('rgb'))}) t FROM ut JOIN up USING (slide_id)) GROUP BY slide_id",
+    "ub": f"SELECT slide_id, {', '.join(f'f{i} * cos({t}) + z{i} * sin({t}) {k}{i}' for k, t in (('a', 'low'), ('b', 'high')) for i in range(3))} FROM up JOIN ua USING (slide_id)",
+    "us": f"SELECT slide_id, {', '.join(f'CASE WHEN a0 / na > b0 / nb THEN {y}{i} / n{y} ELSE {x}{i} / n{x} END {k}_{c}' for k, x, y in (('h', 'a', 'b'), ('e', 'b', 'a')) for i, c in enumerate('rgb'))} FROM (SELECT *, sqrt(a0 * a0 + a1 * a1 + a2 * a2) na, sqrt(b0 * b0 + b1 * b1 + b2 * b2) nb FROM ub)",
+    "uw": f"SELECT slide_id, {_STAIN}, {_WEIGHTS} FROM (SELECT *, h_r * h_r + h_g * h_g + h_b * h_b aa, h_r * e_r + h_g * e_g + h_b * e_b bb, e_r * e_r + e_g * e_g + e_b * e_b dd FROM us)",
+    "um": f"SELECT slide_id, quantile_cont({_MIX.format(0)}, 0.99) max0, quantile_cont({_MIX.format(1)}, 0.99) max1 FROM ut JOIN uw USING (slide_id) GROUP BY slide_id",
+    "fit5": "SELECT slide_id, " + ", ".join(f"coalesce({k}_{c}, {d(DEFAULT_STAINS[i][j])}) {k}_{c}" for i, k in enumerate("he") for j, c in enumerate("rgb")) + ", coalesce(max0, 1.0::DOUBLE) max0, coalesce(max1, 1.0::DOUBLE) max1, h_r IS NULL fallback FROM sl LEFT JOIN us USING (slide_id) LEFT JOIN um USING (slide_id)",
+    "to5": f"SELECT {_STAIN}, max0, max1, {_WEIGHTS} FROM (SELECT *, h_r * h_r + h_g * h_g + h_b * h_b aa, h_r * e_r + h_g * e_g + h_b * e_b bb, e_r * e_r + e_g * e_g + e_b * e_b dd FROM fit5 WHERE slide_id = 0)",
+    "c5": f"SELECT po.*, {_STAIN}, max0, max1, {_MIX.format(0)} c0, {_MIX.format(1)} c1 FROM po CROSS JOIN to5",
+    "p5": "SELECT slide_id, tx, ty, quantile_cont(c0, 0.99) p0, quantile_cont(c1, 0.99) p1 FROM c5 GROUP BY ALL",
+    "n5": "SELECT *, " + ", ".join(back(f"h_{c} * (c0 * max0 / (p0 + 1e-6)) + e_{c} * (c1 * max1 / (p1 + 1e-6))") + f" {c}2" for c in "rgb") + " FROM c5 JOIN p5 USING (slide_id, tx, ty)",
     "tile_scores": f"SELECT {T} {_score('count(*)')} FROM px GROUP BY ALL",
     "save": f"SELECT slide_id, tx, ty, score, white_frac, mostly_white OR score < 5 skipped FROM (SELECT {T} {_score('100')} FROM px GROUP BY ALL)",
 }
@@ -296,6 +336,10 @@ def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
         "mode2_end_to_end": f"SELECT {_P2} FROM ({_white('m2')})",
         "mode3_end_to_end": f"SELECT {_P2} FROM ({_white('r3')}) WHERE slide_id > 0",
         "mode4_end_to_end": f"SELECT {_P2} FROM ({_white('r4')})",
+        "mode5_end_to_end": f"SELECT {_P2} FROM ({_white('n5')}) WHERE slide_id > 0",
+        "macenko_fit": "SELECT CAST(i AS INT) stain, " + ", ".join(f"round(CASE WHEN i = 0 THEN h_{c} ELSE e_{c} END, 6) {c}" for c in "rgb") + ", round(CASE WHEN i = 0 THEN max0 ELSE max1 END, 6) max_concentration FROM fit5 CROSS JOIN range(2) t(i) WHERE slide_id = 0",
+        "macenko_fit_by_slide": f"SELECT slide_id, {_r(_STAIN.replace(',', ''))}, {_r('max0 max1')}, fallback FROM fit5",
+        "packed_macenko_fit_by_slide": f"SELECT slide_id, {_r(_STAIN.replace(',', ''))}, {_r('max0 max1')}, fallback FROM fit5",
         "tiles_end_to_end": f"SELECT {_P2} FROM ({_white('m1')}) JOIN (SELECT slide_id, tx, ty FROM save WHERE NOT skipped) USING (slide_id, tx, ty)",
         "image_batch_histogram": f"SELECT * FROM ({_qc('im')}) JOIN ({_wasserstein('im')}) USING (slide_id, ch)",
         "image_batch_reinhard": _labqc("(SELECT slide_id, r, g, b, r2, g2, b2 FROM ir)"),

@@ -33,8 +33,14 @@ def fit(pixels: DataFrame, slides: DataFrame, config: JobConfig, reference: int
     if config.mode == 4:
         return normalize.stats_profile(stats.mean_stats(stats.slide_lab_stats(*args), []).first())
     tiles, under = stats.sample(*args)
-    used = stats.used_pixels(tiles, under)
-    return normalize.stain_profile("macenko", stains.fit_macenko(used, config.orientation)) if config.mode == 5 else normalize.stain_profile("vahadane", stains.fit_vahadane(used))
+    return stain_target(stats.used_colours(tiles, under, config.tile_size), config)
+
+
+def stain_target(colours: DataFrame, config: JobConfig) -> Profile:
+    """The stains of the reference's colours (slide_id, r, g, b, times), which are one slide's."""
+    if config.mode == 5:
+        return normalize.stain_profile("macenko", stains.fit_macenko_colours(colours, config.orientation))
+    return normalize.stain_profile("vahadane", stains.fit_vahadane_colours(colours))
 
 
 def transform(pixels: DataFrame, profile: Profile, source: DataFrame | None = None) -> DataFrame:
@@ -74,10 +80,7 @@ def fit_windows(windows: DataFrame, scored: DataFrame, config: JobConfig) -> Pro
     if config.mode in (3, 4):
         return normalize.stats_profile(stats.mean_stats(window_moments(scored), []).first())
     used = windows.join(scored.where("used").select("slide_id", "seq"), ["slide_id", "seq"])
-    if config.mode == 5:
-        return normalize.stain_profile("macenko", stains.fit_macenko_colours(packed.colours(used), config.orientation))
-    long = px.unpack(used.select("slide_id", F.col("seq").alias("tx"), F.lit(0).alias("ty"), "h", "w", "pixels"), config.tile_size)
-    return normalize.stain_profile("vahadane", stains.fit_vahadane(long))
+    return stain_target(packed.colours(used), config)
 
 
 def stain_fields(profile: Profile) -> dict:
