@@ -52,7 +52,8 @@ class JobConfig:
 
     ``source_scope`` is ``tile``, for each tile's own statistics, or in modes 3 and 4 ``slide``, for those of the slide's sampled windows.
     ``compression`` of pyramids is ``deflate``, ``none`` or ``jpeg``, which takes ``jpeg_quality`` (1 to 100, 80 if not given).
-    ``orientation`` is ``as_reference`` or ``positive`` (see ``stains.basis``).
+    ``own`` names a method given to ``normalize.register_method``, which takes the place of the mode's; the mode then says
+    whether its target is the reference (odd modes and 6) or the batch. ``orientation`` is ``as_reference`` or ``positive`` (see ``stains.basis``).
     """
 
     mode: int
@@ -67,11 +68,12 @@ class JobConfig:
     source_scope: str = "tile"
     orientation: str = "as_reference"
     input_folder: str | None = None
+    own: str | None = None
     n_workers: int = 4  # kept for callers; Spark sets the parallelism
 
     @property
     def method(self) -> str:
-        return MODES[self.mode][0]
+        return self.own or MODES[self.mode][0]
 
     @property
     def label(self) -> str:

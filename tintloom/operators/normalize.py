@@ -178,6 +178,49 @@ def register_normalizer(kind: str, function: Callable[[np.ndarray, Profile], np.
     _REGISTRY[kind] = function
 
 
+@dataclass(frozen=True)
+class Method:
+    """A normalizer of one's own with its fit.
+
+    partial: numbers that a tile adds, always equally many; those of all sampled tiles are summed within their tasks and
+    then over all, and finish makes a profile of ``kind`` from the sums. apply takes a tile and that profile.
+    """
+
+    kind: str
+    apply: Callable[[np.ndarray, Profile], np.ndarray]
+    partial: Callable[[np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], Profile]
+
+
+METHODS: dict[str, Method] = {}
+
+
+def register_method(method: Method) -> None:
+    """Make a method known by its kind: ``JobConfig(own=kind)`` takes it."""
+    register_normalizer(method.kind, method.apply)
+    METHODS[method.kind] = method
+
+
+def fit_method(tiles: DataFrame, method: Method) -> Profile:
+    """The target of packed tiles (h, w, pixels). Only sums travel, as many rows a task as a tile has numbers."""
+    partial = method.partial
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                own = np.asarray(partial(array_of(r.pixels, r.h, r.w)), np.float64).ravel()
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    sums = tiles.select("h", "w", "pixels").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    rows = dict((r["i"], r["v"]) for r in sums.collect())  # as many as a tile has numbers
+    if not rows:
+        raise RuntimeError("there are no tiles to fit")
+    return method.finish(np.array([rows[i] for i in range(len(rows))]))
+
+
 def np_with_background(image: np.ndarray, profile: Profile, function: Callable | None = None) -> np.ndarray:
     bg = color.np_rgb_to_lab(image)[..., 0] >= BACKGROUND_L
     if bg.all():

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import WHITE_LEVEL, WHITE_SHARE
+from ..config import THUMBNAIL, WHITE_LEVEL, WHITE_SHARE
 from ..functions.color import np_rgb_to_lab
 from ..sources.pixels import array_of
 from . import stains
@@ -98,6 +98,42 @@ def colours(tiles: DataFrame) -> DataFrame:
     return counts.select("slide_id", F.shiftright("code", 16).alias("r"), F.shiftright("code", 8).bitwiseAND(255).alias("g"), F.col("code").bitwiseAND(255).alias("b"), "times")
 
 
+def thumbnails(tiles: DataFrame, slides: DataFrame, tile: int, max_size: int = THUMBNAIL) -> DataFrame:
+    """Small pictures of slides: rows (slide_id, x, y, r, g, b), of area means, with borders in proportion.
+
+    The longest side is ``max_size``, both are cut to whole pixels, and none is enlarged. A tile sends the sums of the
+    target pixels it meets. Shares are whole numbers (a source pixel is as many units wide as the target is pixels), so
+    sums are exact, in whatever order they are added. tiles: slide_id, tx, ty, h, w, pixels; slides: slide_id, width, height.
+    """
+    longest = F.greatest("width", "height")
+    side = lambda c: F.when(longest <= max_size, F.col(c)).otherwise(F.greatest(F.lit(1), F.floor(F.col(c) * F.lit(max_size) / longest).cast("int")))
+    sizes = slides.select("slide_id", "width", "height", side("width").alias("tw"), side("height").alias("th"))
+
+    def shares(begin: int, n: int, size: int, target: int) -> tuple[int, np.ndarray]:
+        """The first target pixel that n source pixels from `begin` meet, and the units of each that lie in each."""
+        first, last = begin * target // size, ((begin + n) * target - 1) // size
+        at, of = np.arange(begin, begin + n)[None] * target, np.arange(first, last + 1)[:, None] * size
+        return first, np.maximum(0, np.minimum(at + target, of + size) - np.maximum(at, of))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                n_y, n_x = min(r.h, r.height - r.ty * tile), min(r.w, r.width - r.tx * tile)
+                if n_y <= 0 or n_x <= 0:
+                    continue
+                image = array_of(r.pixels, r.h, r.w)[:n_y, :n_x].astype(np.int64)
+                y0, down = shares(r.ty * tile, n_y, r.height, r.th)
+                x0, across = shares(r.tx * tile, n_x, r.width, r.tw)
+                sums = np.einsum("ty,yxc->txc", down, image)
+                sums = np.einsum("sx,txc->tsc", across, sums)
+                y, x = np.mgrid[y0 : y0 + len(down), x0 : x0 + len(across)]
+                yield pd.DataFrame({"slide_id": r.slide_id, "x": x.ravel(), "y": y.ravel(), "area": r.width * r.height, **{c: sums[..., i].ravel() for i, c in enumerate("rgb")}})
+
+    rows = tiles.join(sizes, "slide_id").select("slide_id", "tx", "ty", "h", "w", "pixels", "width", "height", "tw", "th")
+    sums = rows.mapInPandas(run, "slide_id int, x int, y int, area long, r long, g long, b long").groupBy("slide_id", "x", "y", "area").agg(*(F.sum(c).alias(c) for c in "rgb"))
+    return sums.select("slide_id", "x", "y", *(F.expr(f"cast((2 * {c} + area) div (2 * area) as int)").alias(c) for c in "rgb"))
+
+
 def fit_slides(tiles: DataFrame, orientation: str = "as_reference") -> DataFrame:
     """Stains and high concentrations of each slide from its packed tiles, all slides at once (``stains.fit_macenko_by``)."""
     return stains.fit_macenko_by(colours(tiles), ["slide_id"], orientation)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IMAGE_SUFFIXES, MIN_TISSUE_PIXELS, MODES, WSI_SUFFIXES, JobConfig
-from ..functions import color, names
+from ..functions import color, names, tables
 from ..operators import grid, normalize, packed, pyramid, quality, stains, stats, tissue
 from ..sources import files, pixels as px, sinks
-from . import oracle, pipeline
+from . import images, oracle, pipeline
 
 #: Tiles of the fixture slides.
 T = 10
@@ -34,12 +34,10 @@ def on_pixels(f):
     return lambda spark, d: f(view(spark, d))
 
 
-def _literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _paths(spark):
-    return _literal(spark, [(p,) for p in oracle.PATHS], "path string")
+def _paths(spark, d):
+    """A file name for each event: its type and number, with an ending picked by the user's number."""
+    ending = F.get(F.lit(oracle.ENDINGS), (F.col("user_id") % len(oracle.ENDINGS)).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("/data/"), "event_type", F.lit("."), F.col("event_id").cast("string"), ending).alias("path"))
 
 
 def _windows(p: DataFrame, kind: str):
@@ -51,6 +49,14 @@ def _thumbnail(p):
     return px.thumbnail(p, 4)
 
 
+def _sql_grid(p):
+    """The sampling grids of both kinds from SQL."""
+    spark = p.sparkSession
+    tables.register(spark)
+    text = "SELECT slide_id, kind, seq, x, y FROM {slides}, LATERAL explode(array('biopsy', 'tma')) AS k(kind), LATERAL sampling_grid(width, height, {tile}, kind)"
+    return spark.sql(text, slides=_slides(p), tile=T)
+
+
 def _filter(kind):
     def go(p):
         valid = tissue.biopsy_valid if kind == "biopsy" else tissue.tma_valid
@@ -218,6 +224,18 @@ def _qc(kind):
     return on_pixels(go)
 
 
+def _image_batch(kind):
+    """Whole packed images through the image runner's one pass, matched to the average of the batch."""
+
+    def go(p):
+        whole = px.pack(p.withColumns({"tx": F.lit(0), "ty": F.lit(0)}))
+        rows = images.normalized(whole, images.fit_images(whole, kind), "slide_id").drop("error")
+        rows = rounded(rows, [c for c, t in rows.dtypes if t == "double" and c != "wasserstein"], 6 if kind == "histogram" else 5)
+        return rounded(rows, ["wasserstein"], 12) if kind == "histogram" else rows
+
+    return on_pixels(go)
+
+
 def _wasserstein(p):
     out = _images("histogram")(p)[0]
     rows = quality.wasserstein(out.select("slide_id", "r", "g", "b"), out.select("slide_id", *(F.col(f"{c}2").alias(c) for c in "rgb")), ["slide_id"])
@@ -242,31 +260,41 @@ def _preview(p):
 
 
 def _grays(spark, d):
-    return _literal(spark, [(g,) for g in oracle.GRAYS], "v int").select("v", color.gray16_to_8(F.col("v")).alias("v8"))
+    """16-bit grays: the events' values over the whole range."""
+    v = F.floor(F.abs("value") * 1000).cast("long") % 65536
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", v.cast("int").alias("v")).select("event_id", "v", color.gray16_to_8(F.col("v")).alias("v8"))
 
 
 def _mpps(spark, d):
+    """Resolutions as headers have them: numbers, zeros, words, and none."""
+    k = F.col("event_id") % 5
+    mpp = F.when(k == 0, F.lit(None)).when(k == 1, F.col("event_type")).when(k == 2, F.lit("0")).otherwise(((F.col("user_id") % 97 + 1) / 64).cast("string"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", mpp.alias("mpp"))
     per_cm, unit = names.resolution(F.col("mpp"))
-    return _literal(spark, [(m,) for m in oracle.MPPS], "mpp string").select("mpp", per_cm.alias("resolution"), unit.alias("unit"))
+    return rows.select("event_id", per_cm.alias("resolution"), unit.alias("unit"))
 
 
 def _labels(spark, d):
+    """How many events a mode has, taken from their users' numbers, with the mode's names."""
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy((F.col("user_id") % len(MODES) + 1).cast("int").alias("mode")).agg(F.count("*").alias("n"))
     key = names.mode_key(F.col("mode"))
-    return _literal(spark, [(k,) for k in MODES], "mode int").select("mode", key.alias("key"), names.mode_label(F.col("mode")).alias("label"), names.safe_name(key).alias("safe"))
+    return rows.select("mode", "n", key.alias("key"), names.mode_label(F.col("mode")).alias("label"), names.safe_name(key).alias("safe"))
 
 
 def queries() -> dict:
     p = on_pixels
     return {
         "pixel_view": view,
-        "file_discovery_wsi": lambda s, d: files.with_suffix(_paths(s), WSI_SUFFIXES),
-        "file_discovery_images": lambda s, d: files.with_suffix(_paths(s), IMAGE_SUFFIXES),
+        "file_discovery_wsi": lambda s, d: files.with_suffix(_paths(s, d), WSI_SUFFIXES),
+        "file_discovery_images": lambda s, d: files.with_suffix(_paths(s, d), IMAGE_SUFFIXES),
         "slide_info": p(_slides),
         "thumbnail_box": p(_thumbnail),
+        "thumbnail_area": p(lambda v: packed.thumbnails(px.pack(v), _slides(v), T, 16)),
         "output_preview": p(_preview),
         "tile_grid": p(lambda v: grid.full_grid(_slides(v), T)),
         "biopsy_grid": p(lambda v: grid.sampling_grid(_slides(v), "biopsy", T)),
         "tma_grid": p(lambda v: grid.sampling_grid(_slides(v), "tma", T)),
+        "grids_in_sql": p(_sql_grid),
         "sampled_tile_pixels": p(lambda v: grid.padded_windows(grid.sampling_grid(_slides(v), "biopsy", T), v, T)),
         "tile_score": p(lambda v: rounded(tissue.scored(v, TILE).select(*TILE, "score"), ["score"])),
         "mostly_white": p(lambda v: rounded(tissue.scored(v, TILE).select(*TILE, "white_frac", "mostly_white"), ["white_frac"])),
@@ -325,8 +353,8 @@ def queries() -> dict:
         "timing_report": _timing,
         **{f"mode{m}_end_to_end": _mode(m) for m in MODES},
         "tiles_end_to_end": p(_tiles_run),
-        "image_batch_histogram": _qc("histogram"),
-        "image_batch_reinhard": _qc("reinhard"),
+        "image_batch_histogram": _image_batch("histogram"),
+        "image_batch_reinhard": _image_batch("reinhard"),
     }
 
 

@@ -173,6 +173,9 @@ CTES = {
     "m2": _matched("lut2", "slide_id tx ty"),
     "ilut": _lut("(" + _cdf("hh", "slide_id,") + ")", "(SELECT * FROM hc WHERE slide_id = 0)", "slide_id"),
     "im": _matched("ilut", "slide_id"),
+    "bc": _cdf("(" + _dense("(" + _long("px", "") + ")", "") + ")", ""),
+    "blut": _lut("(" + _cdf("hh", "slide_id,") + ")", "bc", "slide_id"),
+    "bm": _matched("blut", "slide_id"),
     "pl": lab("px"),
     "tst": f"SELECT {T} {_STATS} FROM pl GROUP BY ALL",
     "ist": f"SELECT slide_id, {_STATS} FROM pl GROUP BY ALL",
@@ -185,6 +188,8 @@ CTES = {
     "r4": _reinhard("tst", "slide_id, tx, ty", "tg4"),
     "r3s": _reinhard("sst", "slide_id", "tg3"),
     "ir": _reinhard("ist", "slide_id", "tg5"),
+    "tg6": f"SELECT {_MEANS} FROM ist",
+    "br": _reinhard("ist", "slide_id", "tg6"),
     "po": f"SELECT *, {', '.join(f'{od(c)} od_{c}' for c in 'rgb')} FROM px",
     "pt": f"SELECT * FROM po WHERE sqrt(od_r * od_r + od_g * od_g + od_b * od_b) > {d(0.15)}",
     "pc": f"SELECT *, {conc()} FROM po",
@@ -250,14 +255,14 @@ def _labqc(source: str) -> str:
     return f"SELECT slide_id, ch, round(avg(v), 5) orig_mean_lab, round(stddev_pop(v), 5) orig_std_lab, round(avg(v2), 5) norm_mean_lab, round(stddev_pop(v2), 5) norm_std_lab, round(avg(abs(v2 - v)), 5) delta_e FROM (WITH pair AS ({both}) {long}) GROUP BY ALL"
 
 
-PATHS = ["/data/b.tif", "/data/a.SVS", "/data/c.png", "/data/d.dcm", "/data/e", "/data/f.ndpi", "/data/dir.svs/g.jpeg", "/data/h.bmp", "/data/i.tar.tiff"]
-MPPS = ["0.25", None, "abc", "0", "0.5"]
-GRAYS = [0, 255, 256, 257, 32768, 65535]
-_values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+#: Endings of the file names that the discovery queries make: of slides and images, in both cases, and of other files.
+ENDINGS = [".tif", ".SVS", ".png", ".dcm", "", ".ndpi", ".jpeg", ".bmp", ".tar.tiff", ".JPG", ".txt"]
+_MPP = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN event_type WHEN 2 THEN '0' ELSE CAST((user_id % 97 + 1)::DOUBLE / 64 AS VARCHAR) END"
 
 
 def _found(suffixes) -> str:
-    return f"SELECT path, regexp_extract(path, '[^/]+$') AS name, regexp_replace(regexp_extract(path, '[^/]+$'), '^(.+)\\.[^.]+$', '\\1') stem FROM (VALUES {_values([(p,) for p in PATHS])}) t(path) WHERE lower(regexp_extract(regexp_extract(path, '[^/]+$'), '^.+(\\.[^.]+)$', 1)) IN ({', '.join(map(repr, suffixes))})"
+    made = f"SELECT '/data/' || event_type || '.' || event_id || ({ENDINGS!r})[user_id % {len(ENDINGS)} + 1] AS path FROM events"
+    return f"SELECT path, regexp_extract(path, '[^/]+$') AS name, regexp_replace(regexp_extract(path, '[^/]+$'), '^(.+)\\.[^.]+$', '\\1') stem FROM ({made}) WHERE lower(regexp_extract(regexp_extract(path, '[^/]+$'), '^.+(\\.[^.]+)$', 1)) IN ({', '.join(map(repr, suffixes))})"
 
 
 def _r(names: str, digits: int = 6) -> str:
@@ -277,9 +282,11 @@ def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
         "file_discovery_images": _found(image_suffixes),
         "slide_info": "SELECT slide_id, width, height, 1 levels, 'unknown' mpp, CAST(ceil(width / 512.0) * ceil(height / 512.0) AS BIGINT) approx_tiles FROM sl",
         "thumbnail_box": f"SELECT slide_id, CAST(x // 4 AS INT) x, CAST(y // 4 AS INT) y, {', '.join(f'CAST((2 * sum({c}) + count(*)) // (2 * count(*)) AS INT) {c}' for c in 'rgb')}, count(*) n FROM px GROUP BY slide_id, x // 4, y // 4",
+        "thumbnail_area": "SELECT slide_id, CAST(t AS INT) x, CAST(u AS INT) y, " + ", ".join(f"CAST((2 * sum({c} * ox * oy) + width * height) // (2 * width * height) AS INT) {c}" for c in "rgb") + " FROM (SELECT *, least((x + 1) * tw, (t + 1) * width) - greatest(x * tw, t * width) ox, least((y + 1) * th, (u + 1) * height) - greatest(y * th, u * height) oy FROM (SELECT *, unnest(range((y * th) // height, ((y + 1) * th - 1) // height + 1)) u FROM (SELECT *, unnest(range((x * tw) // width, ((x + 1) * tw - 1) // width + 1)) t FROM (SELECT px.*, CAST(width AS BIGINT) width, CAST(height AS BIGINT) height, CASE WHEN greatest(width, height) <= 16 THEN width ELSE greatest(1, width * 16 // greatest(width, height)) END tw, CASE WHEN greatest(width, height) <= 16 THEN height ELSE greatest(1, height * 16 // greatest(width, height)) END th FROM px JOIN sl USING (slide_id))))) GROUP BY slide_id, t, u, width, height",
         "tile_grid": "SELECT * FROM full_grid",
         "biopsy_grid": "SELECT * FROM bio",
         "tma_grid": "SELECT * FROM tma",
+        "grids_in_sql": "SELECT slide_id, 'biopsy' kind, seq, x, y FROM bio UNION ALL SELECT slide_id, 'tma', seq, x, y FROM tma",
         "sampled_tile_pixels": "SELECT * FROM bw",
         "tile_score": f"SELECT slide_id, tx, ty, {_r('score')} FROM tile_scores",
         "mostly_white": f"SELECT slide_id, tx, ty, {_r('white_frac')}, mostly_white FROM tile_scores",
@@ -320,9 +327,9 @@ def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
         "macenko_apply": f"SELECT {_P2} FROM ma",
         "vahadane_apply": f"SELECT {_P2} FROM va",
         "edge_pad_white": "SELECT g.slide_id, g.tx, g.ty, CAST(g.tx * 13 + dx AS INT) x, CAST(g.ty * 13 + dy AS INT) y, coalesce(p.r, 255) r, coalesce(p.g, 255) g, coalesce(p.b, 255) b FROM (SELECT DISTINCT slide_id, CAST(x // 13 AS INT) tx, CAST(y // 13 AS INT) ty FROM px) g CROSS JOIN range(13) a(dx) CROSS JOIN range(13) c(dy) LEFT JOIN px p ON p.slide_id = g.slide_id AND p.x = g.tx * 13 + dx AND p.y = g.ty * 13 + dy",
-        "gray16_to_8": f"SELECT v, CAST(floor(v::DOUBLE / {d(65535)} * {d(255)}) AS INT) v8 FROM (VALUES {_values([(g,) for g in GRAYS])}) t(v)",
-        "mpp_resolution": f"SELECT mpp, CASE WHEN ok THEN 10000.0::DOUBLE / n ELSE 0.0::DOUBLE END resolution, CASE WHEN ok THEN 3 ELSE 1 END unit FROM (SELECT mpp, n, n IS NOT NULL AND n <> 0 ok FROM (SELECT mpp, try_cast(coalesce(mpp, '0.25') AS DOUBLE) n FROM (VALUES {_values([(m,) for m in MPPS])}) t(mpp)))",
-        "mode_labels": f"SELECT \"mode\", key, label, replace(replace(key, ' ', '_'), '–', '-') safe FROM (VALUES {_values([(k, *v) for k, v in MODES.items()])}) t(\"mode\", key, label)",
+        "gray16_to_8": f"SELECT event_id, v, CAST(floor(v::DOUBLE / {d(65535)} * {d(255)}) AS INT) v8 FROM (SELECT event_id, CAST(CAST(floor(abs(value) * 1000) AS BIGINT) % 65536 AS INT) v FROM events)",
+        "mpp_resolution": f"SELECT event_id, CASE WHEN ok THEN 10000.0::DOUBLE / n ELSE 0.0::DOUBLE END resolution, CASE WHEN ok THEN 3 ELSE 1 END unit FROM (SELECT event_id, n, n IS NOT NULL AND n <> 0 ok FROM (SELECT event_id, try_cast(coalesce(mpp, '0.25') AS DOUBLE) n FROM (SELECT event_id, {_MPP} mpp FROM events)))",
+        "mode_labels": "SELECT \"mode\", n, key, label, replace(replace(key, ' ', '_'), '–', '-') safe FROM (SELECT CAST(user_id % 6 + 1 AS INT) \"mode\", count(*) n FROM events GROUP BY 1) JOIN (VALUES " + ", ".join(f"({k}, '{v[0]}', '{v[1]}')" for k, v in MODES.items()) + ") t(\"mode\", key, label) USING (\"mode\")",
         "pyramid_levels": "SELECT slide_id, CAST(k AS INT) AS level, CAST(f AS INT) factor, CAST((width + f - 1) // f AS INT) w, CAST((height + f - 1) // f AS INT) h FROM (SELECT sl.*, k, CAST(pow(2, k) AS BIGINT) f FROM sl CROSS JOIN range(1, 21) t(k)) WHERE k = 1 OR (width // f > 10 AND height // f > 10)",
         "pyramid_reduce2": f"SELECT slide_id, CAST(x // 2 AS INT) x, CAST(y // 2 AS INT) y, {', '.join(f'CAST((2 * sum({c}) + count(*)) // (2 * count(*)) AS INT) {c}' for c in 'rgb')} FROM px GROUP BY slide_id, x // 2, y // 2",
         "wasserstein": _wasserstein("im"),
@@ -341,8 +348,8 @@ def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
         "macenko_fit_by_slide": f"SELECT slide_id, {_r(_STAIN.replace(',', ''))}, {_r('max0 max1')}, fallback FROM fit5",
         "packed_macenko_fit_by_slide": f"SELECT slide_id, {_r(_STAIN.replace(',', ''))}, {_r('max0 max1')}, fallback FROM fit5",
         "tiles_end_to_end": f"SELECT {_P2} FROM ({_white('m1')}) JOIN (SELECT slide_id, tx, ty FROM save WHERE NOT skipped) USING (slide_id, tx, ty)",
-        "image_batch_histogram": f"SELECT * FROM ({_qc('im')}) JOIN ({_wasserstein('im')}) USING (slide_id, ch)",
-        "image_batch_reinhard": _labqc("(SELECT slide_id, r, g, b, r2, g2, b2 FROM ir)"),
+        "image_batch_histogram": f"SELECT * FROM ({_qc('bm')}) JOIN ({_wasserstein('bm').replace('256, 6)', '256, 12)')}) USING (slide_id, ch)",  # halves at the seventh digit do occur
+        "image_batch_reinhard": _labqc("(SELECT slide_id, r, g, b, r2, g2, b2 FROM br)"),
         "output_preview": "SELECT 's' || slide_id stem, slide_id, CASE WHEN slide_id % 2 = 0 THEN '/out/s' || slide_id || '_norm.tiff' END output FROM sl",
     }
     return {k: query(v) for k, v in q.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from ..operators import normalize, packed, pyramid, quality, stains, stats, tiss
 from ..operators.grid import sampling_grid
 from ..operators.normalize import Profile
 from ..sources import files, pixels as px, sinks, storage
+from .progress import CANCELLED, UNSTARTED, Watch
 
 
 def fit(pixels: DataFrame, slides: DataFrame, config: JobConfig, reference: int | None = None) -> Profile:
@@ -73,7 +75,10 @@ def window_moments(scored: DataFrame) -> DataFrame:
 
 
 def fit_windows(windows: DataFrame, scored: DataFrame, config: JobConfig) -> Profile:
-    """The target from sampled windows and their scores."""
+    """The target from sampled windows and their scores; by a registered method of one's own if the settings name it."""
+    if config.own:
+        used = windows.join(scored.where("used").select("slide_id", "seq"), ["slide_id", "seq"])
+        return normalize.fit_method(used, normalize.METHODS[config.own])
     if config.mode in (1, 2):
         cdfs = stats.cdf(packed.histogram_rows(scored.where("used")), ["slide_id"])
         return normalize.cdf_profile(cdfs if config.mode == 1 else stats.slide_weighted_cdf(cdfs))
@@ -137,7 +142,7 @@ def with_levels(tiles: DataFrame, slides: DataFrame, tile: int) -> tuple[DataFra
     return top.unionByName(reduced), arrays
 
 
-def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quality.Timings | None = None) -> DataFrame:
+def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quality.Timings | None = None, watch: Watch | None = None) -> DataFrame:
     """A whole batch over slide files; returns the run log.
 
     A slide whose header, a sampled window or any tile can't be read, that can't be normalized or written, or whose
@@ -145,12 +150,45 @@ def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quali
     with a bad header or window has no part in batch averages. (A tile that only turns out to be bad as it is
     normalized fails its slide then: every block of a slide is decoded once for that, and the blocks under its sampled
     windows once more, before.) A reference that can't be sampled ends the run. timings: gets the seconds of the
-    driver's steps and of reading, normalizing and writing within tasks.
+    driver's steps and of reading, normalizing and writing within tasks. watch: progress, and cancelling from another
+    thread: slides under way are rows of error "cancelled" that took no time, later ones "not started".
     """
     timings = timings or quality.Timings()
+    if watch is not None:
+        with watch.jobs(f"normalize {len(paths)} slides"):
+            return _run(spark, config, paths, timings, watch)
+    return _run(spark, config, paths, timings, None)
+
+
+def _waves(slides: DataFrame, watch: Watch | None, write) -> list[dict]:
+    """Log rows of all slides; wave by wave where a watch is given."""
+    if watch is None:
+        return write(slides)
+    ids = sorted(r["slide_id"] for r in slides.select("slide_id").collect())  # a row a slide
+    done: list[dict] = []
+    watch.total = len(ids)
+    for k in range(0, len(ids), watch.wave):
+        wave = ids[k : k + watch.wave]
+        if watch.cancelled:
+            done += [{"slide_id": i, "error": UNSTARTED} for i in ids[k:]]
+            break
+        try:
+            done += write(slides.where(F.col("slide_id").isin(wave)))  # as many as a wave has
+            watch.done += len(wave)
+        except Exception:
+            if not watch.cancelled:
+                raise
+            done += [{"slide_id": i, "error": CANCELLED, "elapsed_s": 0.0} for i in wave]
+    return done
+
+
+def _run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quality.Timings, watch: Watch | None) -> DataFrame:
+    """See ``run``."""
     # a reference outside the batch is read but not normalized
     every = list(dict.fromkeys([*paths, *([config.ref_path] if config.ref_path else [])]))
     problems = config.problems(len(paths), exists=lambda p: p in every)
+    if config.own and config.own not in normalize.METHODS:
+        problems.append(f"no method {config.own} is registered")
     if problems:
         raise ValueError("; ".join(problems))
     by_reference, wanted = config.mode in REFERENCE_MODES, set(paths)
@@ -185,7 +223,8 @@ def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quali
                 profile = fit_windows(windows, of_target, config)
             moments = window_moments(scored) if config.source_scope == "slide" else None
             with timings.time("normalize and write"):
-                done = (_write_tiles if config.output_format == "tiles" else _write_slides)(mine, profile, config, moments, timings.clock)
+                write = _write_tiles if config.output_format == "tiles" else _write_slides
+                done = _waves(mine, watch, lambda some: write(some, profile, config, moments, timings.clock, watch))
             if config.mode in (3, 4) and config.output_format == "wsi":
                 done = _with_sample_counts(done, scored)
         elif config.mode in (2, 4):
@@ -195,7 +234,13 @@ def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quali
         for df in held:
             df.unpersist()
     name_of = lambda r: r.get("filename") or every[r["slide_id"]].rsplit("/", 1)[-1]
-    rows = [{"method": config.method, **r} if r.get("error") is None else {"method": config.method, "filename": name_of({"slide_id": r["slide_id"]}), "error": r["error"]} for r in done]
+    rows = []
+    for r in done:
+        if r.get("error") is None:
+            rows.append({"method": config.method, **r})
+        else:
+            stopped = r["error"] in (CANCELLED, UNSTARTED)  # these have no method
+            rows.append({"method": None if stopped else config.method, "filename": name_of({"slide_id": r["slide_id"]}), "error": r["error"], "elapsed_s": r.get("elapsed_s") if stopped else None})
     log = log_rows(spark, rows)
     if config.save_log:
         now = datetime.datetime.now()
@@ -203,7 +248,7 @@ def run(spark: SparkSession, config: JobConfig, paths: list[str], timings: quali
     return log
 
 
-def _write_tiles(slides: DataFrame, profile: Profile, config: JobConfig, moments: DataFrame | None, clock) -> list[dict]:
+def _write_tiles(slides: DataFrame, profile: Profile, config: JobConfig, moments: DataFrame | None, clock, watch: Watch | None = None) -> list[dict]:
     """Rows of the log of PNG tiles, one a slide. Tiles get their final names once all of their slide were read."""
     first = F.row_number().over(Window.partitionBy("stem").orderBy("slide_id")) == 1
     ranked = slides.select("slide_id", "path", "stem", "height", first.alias("first"))
@@ -216,7 +261,9 @@ def _write_tiles(slides: DataFrame, profile: Profile, config: JobConfig, moments
         bad = manifest.where("unreadable").groupBy("slide_id").agg(F.min("error").alias("error"))
         good = manifest.join(bad.select("slide_id"), "slide_id", "left_anti")
         lost = sinks.move_png_tiles(good, some, work, config.output_dir).where("error is not null").groupBy("slide_id").agg(F.min("error").alias("error"))
-        errors = [r.asDict() for r in lost.unionByName(bad).unionByName(same).collect()]  # a row a failed slide
+        manifest.count()
+        with watch.spared() if watch else nullcontext():
+            errors = [r.asDict() for r in lost.unionByName(bad).unionByName(same).collect()]  # a row a failed slide
         rows = sinks.tile_counts(good, config.tile_size).join(good.groupBy("slide_id").agg(F.round(F.sum("seconds"), 4).alias("elapsed_s")), "slide_id")
         failed = {r["slide_id"] for r in errors}
         counts = [r for r in rows.join(some.select("slide_id", "stem"), "slide_id").collect() if r["slide_id"] not in failed]
@@ -226,7 +273,7 @@ def _write_tiles(slides: DataFrame, profile: Profile, config: JobConfig, moments
     return [{"slide_id": r["slide_id"], "filename": r["stem"], **{k: r[k] for k in ("tiles_total", "tiles_saved", "tiles_skipped", "elapsed_s")}} for r in counts] + errors
 
 
-def _write_slides(slides: DataFrame, profile: Profile, config: JobConfig, moments: DataFrame | None, clock) -> list[dict]:
+def _write_slides(slides: DataFrame, profile: Profile, config: JobConfig, moments: DataFrame | None, clock, watch: Watch | None = None) -> list[dict]:
     """Rows of the log of pyramids, one a slide; elapsed_s is the work on a slide's own tiles and file."""
     # read and normalized once; kept on the executors' disks, since level 0 and the reduced levels both take it
     tiles = files.tiles_of(slides, config.tile_size, clock)
@@ -239,7 +286,7 @@ def _write_slides(slides: DataFrame, profile: Profile, config: JobConfig, moment
         levels, sizes = with_levels(fine.drop("seconds", "error"), some, config.tile_size)
         per_cm, unit = resolution(F.when(F.col("mpp") != "unknown", F.col("mpp")))
         about = some.join(sizes, "slide_id").select("slide_id", "stem", "widths", "heights", per_cm.alias("resolution"), unit.alias("unit"))
-        rows = sinks.write_pyramids(levels, about, config.output_dir, config.tile_size, config.compression, config.jpeg_quality, clock).collect()
+        rows = sinks.write_pyramids(levels, about, config.output_dir, config.tile_size, config.compression, config.jpeg_quality, clock, watch.spared if watch else nullcontext).collect()
     finally:
         made.unpersist()
     time_of = lambda r: round(r["seconds"] + (spent[r["slide_id"]]["seconds"] if r["slide_id"] in spent else 0.0), 4)

@@ -16,6 +16,7 @@ import time
 import uuid
 import zlib
 from collections.abc import Callable
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -166,13 +167,13 @@ def _finished(tiles: DataFrame, slides: DataFrame, folder: str, work: str, tile:
     return rows.groupBy("slide_id").applyInPandas(finish, DONE)
 
 
-def write_pyramids(levels: DataFrame, slides: DataFrame, folder: str, tile: int, compression: str = "deflate", quality: int | None = None, clock=no_clock) -> DataFrame:
+def write_pyramids(levels: DataFrame, slides: DataFrame, folder: str, tile: int, compression: str = "deflate", quality: int | None = None, clock=no_clock, last=nullcontext) -> DataFrame:
     """Write one tiled BigTIFF a slide, now; rows (slide_id, file, tiles, seconds, error), one for each slide.
 
     levels: packed tiles of every level (slide_id, level, tx, ty, h, w, pixels) at full tile size. slides: slide_id,
     stem, and arrays by level of width and height, resolution, unit. A slide that lacks a tile or has one too many, that
     can't be written, or whose file would take the name of another slide's, is an error; it leaves no file, and the
-    others are written.
+    others are written. last: a context for the job that gives the files their names.
     """
     spark, folder = levels.sparkSession, folder.rstrip("/")
     work = f"{folder}/.tintloom-{uuid.uuid4().hex}"
@@ -184,7 +185,8 @@ def write_pyramids(levels: DataFrame, slides: DataFrame, folder: str, tile: int,
         blocks = spark.read.parquet(storage.uri(f"{work}/blocks")).join(named.where("problem is null").select("slide_id"), "slide_id", "left_semi")
         _write_bands(blocks, work, local, clock).write.parquet(storage.uri(f"{work}/places"))
         places = spark.read.parquet(storage.uri(f"{work}/places"))
-        done = _finished(places, named, folder, work, tile, _about(compression, quality), local, clock).collect()  # a row a slide
+        with last():
+            done = _finished(places, named, folder, work, tile, _about(compression, quality), local, clock).collect()  # a row a slide
     finally:
         storage.remove(work)
     return spark.createDataFrame([tuple(r) for r in done], DONE)

@@ -88,9 +88,8 @@ def tile_counts(manifest: DataFrame, tile: int) -> DataFrame:
 
 
 def write_images(images: DataFrame, folder: str, ending: str = "tif") -> DataFrame:
-    """Write whole packed images (path, h, w, pixels) as ``{stem}_norm.{ending}``: tif, tiff or png."""
+    """Write whole packed images (path, h, w, pixels) as ``{stem}_norm.{ending}``: tif, tiff, png, jpg, jpeg or bmp."""
     folder = _parent_free(folder)
-    encode = codecs.encode_png if ending == "png" else codecs.encode_tiff
 
     def run(batches):
         for batch in batches:
@@ -100,7 +99,7 @@ def write_images(images: DataFrame, folder: str, ending: str = "tif") -> DataFra
                 error = None
                 try:
                     with storage.open_output(f"{folder}/{stem}_norm.{ending}") as f:
-                        f.write(encode(array_of(r.pixels, r.h, r.w)))
+                        f.write(codecs.encode_image(array_of(r.pixels, r.h, r.w), ending))
                 except Exception as e:
                     error = str(e)
                 out.append((r.path, f"{stem}_norm.{ending}", error))
