@@ -30,9 +30,3 @@ def pad_white(pixels: DataFrame, grid: DataFrame, tile: int, names=("r", "g", "b
     full = grid.select("slide_id", "tx", "ty", F.explode(span).alias("dx")).select("*", F.explode(span).alias("dy"))
     full = full.select("slide_id", "tx", "ty", (F.col("tx") * tile + F.col("dx")).alias("x"), (F.col("ty") * tile + F.col("dy")).alias("y"))
     return full.join(pixels.select("slide_id", "tx", "ty", "x", "y", *names), ["slide_id", "tx", "ty", "x", "y"], "left").select("slide_id", "tx", "ty", "x", "y", *(F.coalesce(c, F.lit(255)).alias(c) for c in names))
-
-
-def stream_order(tiles: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Tiles of each slide together, row-major: the order in which a file takes them."""
-    n = [partitions] if partitions else []
-    return tiles.repartitionByRange(*n, "slide_id", "ty", "tx").sortWithinPartitions("slide_id", "ty", "tx")

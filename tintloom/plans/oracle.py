@@ -270,8 +270,8 @@ def _r(names: str, digits: int = 6) -> str:
 
 
 def _log_sql() -> str:
-    counts = "SELECT 's' || slide_id filename, CAST(count(*) AS INT) tiles_total, CAST(count_if(NOT skipped) AS INT) tiles_saved, CAST(count_if(skipped) AS INT) tiles_skipped, 'HistMatch-Reference' \"method\", NULL::VARCHAR error FROM save WHERE slide_id < 3 GROUP BY slide_id"
-    return f"{counts} UNION ALL SELECT 's3.svs', NULL, NULL, NULL, NULL, 'unreadable'"
+    one = lambda n: f"CAST(CASE WHEN NOT skipped THEN {n} END AS INT)"
+    return f"SELECT 's' || slide_id || '_' || tx || '_' || ty filename, {one(1)} tiles_total, {one(1)} tiles_saved, {one(0)} tiles_skipped, 'HistMatch-Reference' \"method\", CASE WHEN skipped THEN 'nothing but background' END error FROM save"
 
 
 def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
