@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,18 +289,26 @@ def normalize_tiles(tiles: DataFrame, profile: Profile, pad_to: int | None = Non
 
 
 def tile_histograms(tiles: DataFrame) -> DataFrame:
-    """Rows (slide_id, ch, v, n) of packed tiles: 768 counts leave a task for each slide in a batch."""
+    """Rows (slide_id, ch, v, n) of packed tiles: 768 counts leave a task for each slide it has met."""
 
     def run(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            sums: dict = {}
-            for row in batch.itertuples(index=False):
-                image = array_of(row.pixels, row.h, row.w).reshape(-1, 3)
-                own = sums.setdefault(row.slide_id, np.zeros((3, 256), np.int64))
+            for slide, pixels in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = sums.setdefault(slide, np.zeros((3, 256), np.int64))
+                image = np.frombuffer(pixels.as_buffer(), np.uint8).reshape(-1, 3)  # a view of the batch
                 for i in range(3):
                     own[i] += np.bincount(image[:, i], minlength=256)
-            for slide, own in sums.items():
-                yield pd.DataFrame({"slide_id": slide, "ch": np.repeat(list("RGB"), 256), "v": np.tile(np.arange(256, dtype=np.int32), 3), "n": own.ravel()})
-
-    counts = tiles.select("slide_id", "h", "w", "pixels").mapInPandas(run, "slide_id int, ch string, v int, n long")
+            if len(sums) > 1_000:
+                yield counted(sums)
+                sums = {}
+        if sums:
+            yield counted(sums)
+
+    def counted(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        n = len(sums)
+        columns = [np.repeat(np.array(list(sums), np.int32), 768), np.tile(np.repeat(list("RGB"), 256), n), np.tile(np.arange(256, dtype=np.int32), 3 * n), np.concatenate([x.ravel() for x in sums.values()])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slide_id", "ch", "v", "n"])
+
+    counts = tiles.select("slide_id", "pixels").mapInArrow(run, "slide_id int, ch string, v int, n long")
     return counts.groupBy("slide_id", "ch", "v").agg(F.sum("n").alias("n"))
