@@ -107,6 +107,14 @@ def test_each_block_is_decoded_once_and_workers_are_timed(spark, folder, tmp_pat
     assert timings.report(spark) == "No timings recorded."
 
 
+def test_a_stain_fit_reads_its_windows_twice(spark, folder, tmp_path):
+    """Once to score them, and once for the colours of those that are used."""
+    timings = quality.Timings(spark)
+    config = JobConfig(mode=5, output_dir=str(tmp_path), ref_path=str(folder / "s2.tif"), tile_size=T, save_log=False)
+    pipeline.run(spark, config, [str(folder / "s1.tif")], timings).collect()
+    assert timings.tasks["io.load_window"][0] == 2 * 49 and timings.tasks["io.load"][0] == 4
+
+
 def test_slides_of_one_name_and_files_that_cant_be_written(spark, folder, tmp_path):
     for d in "ab":
         os.makedirs(tmp_path / d)

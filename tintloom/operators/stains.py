@@ -142,7 +142,11 @@ def fit_macenko(pixels: DataFrame, orientation: str = "as_reference") -> dict:
 
 def fit_macenko_colours(colours: DataFrame, orientation: str = "as_reference") -> dict:
     """The same from distinct colours (r, g, b, times), of which there are at most 2**24."""
-    row = fit_macenko_by(colours.withColumn("one", F.lit(1)), ["one"], orientation).first()
+    held = colours.withColumn("one", F.lit(1)).persist(StorageLevel.DISK_ONLY)  # four steps take them
+    try:
+        row = fit_macenko_by(held, ["one"], orientation).first()
+    finally:
+        held.unpersist()
     return fit_of(row) if row else {"stain_matrix": np.array(DEFAULT_STAINS), "max_concentrations": np.array(DEFAULT_MAX_CONCENTRATIONS)}
 
 
