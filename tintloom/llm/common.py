@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,23 @@ def text_where(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string").join(ids, "doc_id", "left_semi")
 
 
+def tidy(run):
+    """run, a function over Arrow batches, giving memory that it no longer needs back to the system when it ends.
+
+    A worker outlives its tasks, and allocators keep what they have freed.
+    """
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

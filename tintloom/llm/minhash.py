@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, discard, id_of, join_by_key, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, wanted, wanted_filter
+from .common import NO_ID, components, discard, id_of, join_by_key, materialize, mix, shingle_hashes, slices, small_batches, table, text_of, tidy, wanted, wanted_filter
 
 #: The least similarity that bands and sketches are made for.
 LEAST = 0.8
@@ -177,7 +177,7 @@ def sign(docs: DataFrame, width: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, f1, f2)), *lists], names=names)
 
     rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, bits array<long>, more array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, bands array<long>, bits array<long>, more array<long>")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -211,7 +211,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
             good = [overlap(held[x], held[y]) >= least for x, y in zip(ta, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(v, good, strict=True) if g], pa.int64()) for v in (a, b)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _texts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(f1[use]), pa.array(f2[use]), pa.array([texts[a + i] for i in use], pa.string())], names=["f1", "f2", "text"])
 
     rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    found = rows.mapInArrow(run, "f1 long, f2 long, text string")
+    found = rows.mapInArrow(tidy(run), "f1 long, f2 long, text string")
     out = materialize(found.join(keys.select("rep", "f1", "f2"), ["f1", "f2"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     bits.destroy()
     return out
