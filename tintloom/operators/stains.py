@@ -150,42 +150,65 @@ def fit_macenko_colours(colours: DataFrame, orientation: str = "as_reference") -
     return fit_of(row) if row else {"stain_matrix": np.array(DEFAULT_STAINS), "max_concentrations": np.array(DEFAULT_MAX_CONCENTRATIONS)}
 
 
-def _codes(atoms: np.ndarray, penalty: float) -> list[Column]:
-    """The sparse non-negative mixture of two unit atoms that is closest to each density, in closed form.
+def _taking_part(atoms: np.ndarray, penalty: float) -> Column:
+    """Which atoms the sparse non-negative mixture closest to a density has: 0 none, 1 the first, 2 the second, 3 both.
 
-    Either both atoms take part, or the one that fits better, or none.
+    Either both have a positive share, or the one that fits better takes part if it fits at all.
     """
     g = float(atoms[0] @ atoms[1])
     hit = [sum(F.lit(float(atoms[k][i])) * F.col(f"od_{c}") for i, c in enumerate("rgb")) - penalty for k in (0, 1)]
-    alone = [F.when(hit[k] >= hit[1 - k] if k == 0 else hit[k] > hit[1 - k], F.greatest(hit[k], F.lit(0.0))).otherwise(0.0) for k in (0, 1)]
-    if 1 - g * g < 1e-12:
-        return alone
-    both = [(hit[k] - g * hit[1 - k]) / (1 - g * g) for k in (0, 1)]
-    inside = (both[0] > 0) & (both[1] > 0)
-    return [F.when(inside, both[k]).otherwise(alone[k]) for k in (0, 1)]
+    alone = F.when(F.greatest(*hit) <= 0, 0).when(hit[0] >= hit[1], 1).otherwise(2)
+    return alone if 1 - g * g < 1e-12 else F.when((hit[0] > g * hit[1]) & (hit[1] > g * hit[0]), 3).otherwise(alone)
+
+
+def _updated(atoms: np.ndarray, sums: dict[int, tuple[float, np.ndarray, np.ndarray]], penalty: float) -> np.ndarray:
+    """The atoms after one descent over them, for the mixtures of these atoms. With the same atoms taking part a mixture
+    is linear in the density, so the sums of densities and of their products say all."""
+    a, b = np.zeros((2, 2)), np.zeros((2, 3))
+    for part, (weight, first, second) in sums.items():
+        own = [k for k in (0, 1) if part >> k & 1]
+        if not own:
+            continue
+        m, shift = np.zeros((2, 3)), np.zeros(2)
+        inverse = np.linalg.inv(atoms[own] @ atoms[own].T)
+        m[own], shift[own] = inverse @ atoms[own], -penalty * inverse.sum(1)
+        a += m @ second @ m.T + np.outer(m @ first, shift) + np.outer(shift, m @ first) + weight * np.outer(shift, shift)
+        b += m @ second + np.outer(shift, first)
+    atoms = atoms.copy()
+    for k in (0, 1):
+        if a[k, k] > 1e-12:
+            new = np.maximum(0, (b[k] - a[k, 1 - k] * atoms[1 - k]) / a[k, k])
+            norm = np.linalg.norm(new)
+            atoms[k] = new / norm if norm > 1e-6 else atoms[k]
+    return atoms
 
 
 def positive_dictionary(colours: DataFrame, penalty: float = VAHADANE_LAMBDA, rounds: int = VAHADANE_ROUNDS, settled: float = 1e-7) -> np.ndarray:
     """Two non-negative unit atoms whose sparse non-negative mixtures come closest to the densities (od_r, od_g, od_b, times).
 
-    Alternates exact codes with one coordinate descent over the atoms, from the default stains. A round is one
-    aggregation of nine sums over the colours: rows stay where they are, and the atoms travel.
+    Alternates exact codes with a descent over the atoms, from the default stains, until a descent moves them no more. A
+    round is one aggregation of ten sums for each set of atoms that take part; with these the driver descends several
+    times before colours are dealt to the sets anew. Rows stay where they are, and the atoms travel.
     """
     atoms = np.array(DEFAULT_STAINS) / np.linalg.norm(DEFAULT_STAINS, axis=1, keepdims=True)
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    x = [F.col(f"od_{c}") for c in "rgb"]
     for _ in range(rounds):
-        c = colours.select("times", "od_r", "od_g", "od_b", *(v.alias(f"c{k}") for k, v in enumerate(_codes(atoms, penalty))))
-        total = lambda a, b: F.sum(F.col("times") * F.col(a) * F.col(b))
-        s = c.agg(*(total(f"c{i}", f"c{j}") for i, j in ((0, 0), (0, 1), (1, 1))), *(total(f"c{k}", f"od_{ch}") for k in (0, 1) for ch in "rgb")).first()
-        if s[0] is None:
-            break
-        a, b, before = np.array([[s[0], s[1]], [s[1], s[2]]]), np.array([s[3:6], s[6:9]]), atoms.copy()
-        for k in (0, 1):
-            if a[k, k] > 1e-12:
-                atoms[k] = np.maximum(0, (b[k] - a[k, 1 - k] * atoms[1 - k]) / a[k, k])
-                norm = np.linalg.norm(atoms[k])
-                atoms[k] = atoms[k] / norm if norm > 1e-6 else before[k]
+        weighted = [F.sum(F.col("times") * v) for v in (*x, *(x[i] * x[j] for i, j in pairs))]
+        found = colours.groupBy(_taking_part(atoms, penalty).alias("part")).agg(F.sum("times"), *weighted).collect()  # 4 rows at most
+        sums = {}
+        for r in found:
+            second = np.zeros((3, 3))
+            for (i, j), v in zip(pairs, r[5:], strict=True):
+                second[i, j] = second[j, i] = v
+            sums[r[0]] = float(r[1]), np.array(r[2:5], float), second
+        before, atoms = atoms, _updated(atoms, sums, penalty)
         if np.abs(atoms - before).max() < settled:
             break
+        for _ in range(rounds):
+            last, atoms = atoms, _updated(atoms, sums, penalty)
+            if np.abs(atoms - last).max() < settled / 10:
+                break
     return atoms
 
 
