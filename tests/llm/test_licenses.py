@@ -67,4 +67,63 @@ def test_automata_match_patterns():
                 w.insert(rng.randrange(len(w) + 1), rng.choice(vocabulary))
             if rng.random() < 0.3 and w:
                 del w[rng.randrange(len(w))]
-            assert auto.accepts([x.encode() for x in w], 0) == accepts(template, w), (template, w)
+            assert (auto.longest([x.encode() for x in w], 0) is not None) == accepts(template, w), (template, w)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED \u201cAS IS\u201d, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+
+
+def wording(template, regions):
+    """A template's words, with its optional regions or without; three words stand for a replaceable one."""
+    out, opened = [], 0
+    for token in re.findall(r"\[\[|\]\]|<\d+>|[^\s\[\]<>]+", template):
+        if token in ("[[", "]]"):
+            opened += 1 if token == "[[" else -1
+        elif regions or not opened:
+            out += ["holder"] * min(3, int(token[1:-1])) if token[0] == "<" else [x.decode() for x in licenses.words_of(token)]
+    return out
+
+
+def test_whole_notices_reach_their_last_word(spark):
+    cases = []
+    for label, template in licenses.WHOLE:
+        for regions in (True, False):
+            w = wording(template, regions)
+            cases.append((label, w, True))
+        # without optional regions, all words but the holders' are mandatory
+        at = max(i for i in range(1, len(w)) if "holder" not in w[i - 1 : i + 1])
+        cases.append((label, [*w[:at], "departs", *w[at:]], False))
+    cases += [("mit-text", MIT.split(), True), ("apache-2.0-text", APACHE.split(), True), ("mit-text", MIT.replace("LIABLE", "ANSWERABLE").split(), False)]
+    df = spark.createDataFrame([(i, " ".join(["before", *w, "behind"])) for i, (_, w, _) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        label, w, full = cases[r["doc_id"]]
+        assert (label in r["labels"].split(",")) == full, (label, w)
+        assert (r["score"] == 1.0) == full
+        if full:
+            n = len(licenses.words_of(" ".join(w)))
+            assert any(x["label"] == label and x["first_word"] == 1 and x["end_word"] >= n - 2 for x in r["notices"]), (label, r["notices"])
+
+
+def test_the_longest_match_is_noted(spark):
+    text = "GNU General Public License, version 3 or (at your option) any later version, and more"
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in r["notices"]] == [("gpl-3.0", 0, 13)]
+    assert r["score"] == 0.75
+    auto = licenses.Automaton("a [[b [[c]]]]")
+    assert [auto.longest(x.encode().split(), 0) for x in ("a", "a b", "a b c", "a c", "b", "")] == [1, 2, 3, 1, None, None]

@@ -2,7 +2,9 @@
 
 A template is wording with markup: [[ ... ]] encloses a region that may be left out, <n> stands for up to n words
 of any kind, such as a holder's name. Each template becomes a small automaton over words; a text is accepted
-where, from some word on, all mandatory wording follows exactly. A plain phrase is a template without regions.
+where, from some word on, all mandatory wording follows exactly, and the longest such stretch is what is noted. A plain
+phrase is a template without regions. Notices are known in two ways: by their opening clause, which may go on
+differently, and whole to their last word.
 
 Null and empty texts have no words and no matches: n_words 0, n_base 0, first and last null, labels empty, score 0.
 Overlapping places all count. Rows that repeat give results that repeat; texts of any length are scanned whole.
@@ -27,7 +29,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Label and template of whole notices, beyond the base phrases.
+#: Label and template of names and opening clauses, beyond the base phrases.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license [[,]] version 2.0 [[the license]]"),
     ("apache-2.0", "spdx license identifier apache 2.0"),
@@ -46,6 +48,61 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license [[v]] 2.0"),
 ]
 
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[and]] "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by <14> and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall <12> be liable for any direct indirect "
+    "incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage"
+)
+#: Label and template of notices from their first word to their last.
+WHOLE = [
+    ("mit-text", (
+        "permission is hereby granted free of charge to any person obtaining a copy of this <6> and associated documentation files [[the <3>]] "
+        "to deal in the <3> without restriction including without limitation the rights to use copy modify merge publish distribute "
+        "sublicense and or sell copies of the <3> and to permit persons to whom the <3> is furnished to do so subject to the following "
+        "conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies "
+        "or substantial portions of the <3> the <3> is provided <2> without warranty of any kind express or implied including but not "
+        "limited to the warranties of merchantability fitness for a particular purpose and <2> in no event shall the <8> be liable for any "
+        "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+        "<3> or the use or other dealings in the <3>"
+    )),
+    ("bsd-2-clause-text", _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("bsd-3-clause-text", _BSD_CONDITIONS + (
+        "[[3]] neither the name of <12> nor the names of [[its]] [[the]] [[other]] contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission "
+    ) + _BSD_DISCLAIMER),
+    ("isc-text", (
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies the software is provided <2> and <4> disclaims "
+        "all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <4> "
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+        "profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software"
+    )),
+    ("apache-2.0-text", (
+        "licensed under the apache license version 2.0 the <1> you may not use this <4> except in compliance with the license you may obtain "
+        "a copy of the license at <2> apache org licenses license 2.0 [[html]] [[txt]] unless required by applicable law or agreed to in writing software "
+        "distributed under the license is distributed on an <2> basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license"
+    )),
+    ("gpl-text", (
+        "this <4> is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public "
+        "license as published by the free software foundation [[either]] version <2> of the license [[or at your option any later version]] "
+        "this <4> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details "
+        "[[you should have received a copy of the gnu [[lesser]] [[affero]] general public license along with this <4> if not "
+        "[[see <2> www gnu org licenses]] [[write to the free software foundation [[inc]] <14> usa]]]]"
+    )),
+]
+
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -102,61 +159,71 @@ class Automaton:
                 todo.append(s)
         return states
 
-    def accepts(self, words: list[bytes], at: int) -> bool:
-        """Whether all mandatory wording stands from word `at` on."""
-        states = self._closed({0})
-        while self.end not in states:
+    def longest(self, words: list[bytes], at: int) -> int | None:
+        """The word behind the longest stretch from word `at` on that has all mandatory wording; None if there is none."""
+        states, end = self._closed({0}), None
+        while True:
+            if self.end in states:
+                end = at
             if not states or at >= len(words):
-                return False
+                return end
             word, at = words[at], at + 1
             states = self._closed({t for s in states for k in (word, None) for t in self.edges[s].get(k, ())})
-        return True
 
-    def places(self, words: list[bytes], joined: bytes) -> list[int]:
-        """The words at which a match begins. joined: the words, each with a blank before, and one at the end."""
+    def places(self, words: list[bytes], joined: bytes) -> list[tuple[int, int]]:
+        """The words at which a match begins and before which it ends. joined: the words, each with a blank before, and one at the end."""
         found, at, counted, index = [], joined.find(self.lead), 0, 0
         while at >= 0:
             index += joined.count(b" ", counted, at)
             counted = at
-            if self.accepts(words, index):
-                found.append(index)
+            end = index + len(self.lead.split()) if self.plain else self.longest(words, index)
+            if end is not None:
+                found.append((index, end))
             at = joined.find(self.lead, at + 1)
         return found
 
 
-def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+NOTICE = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+
+
+def scan(
+    docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, whole: list[tuple[str, str]] | None = None
+) -> DataFrame:
     """Rows (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices).
 
     n_base, first_word, last_word and base_labels tell of the phrases; labels adds those of accepted templates, and
-    notices says where: label and first word of each. score: 1 with an accepted template, 0.5 with phrases alone, else 0.
-    One narrow pass: no shuffle.
+    notices says where: label, first word of each and the word behind its last one. score: 1 with a whole notice, 0.75
+    with another template, 0.5 with phrases alone, else 0. One narrow pass: no shuffle.
     """
     small_batches(docs.sparkSession)
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
+    whole = WHOLE if whole is None else whole
 
     def run(batches):
         base = [(label, Automaton(p)) for p, label in phrases.items()]
-        more = [(label, Automaton(t)) for label, t in templates]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]
+        more = [[(label, Automaton(t)) for label, t in some] for some in (templates, whole)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(NOTICE)]
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 joined = b" " + b" ".join(words) + b" "
-                at = [(label, i) for label, a in base for i in a.places(words, joined)]
-                noted = [(label, i) for label, a in more for i in a.places(words, joined)]
+                at = [(label, i) for label, a in base for i, _ in a.places(words, joined)]
+                named, full = ([(label, *span) for label, a in some for span in a.places(words, joined)] for some in more)
                 own = {label for label, _ in at}
                 index = [i for _, i in at]
                 rows.append((
                     len(words), len(at), min(index, default=None), max(index, default=None), ",".join(sorted(own)),
-                    ",".join(sorted(own | {label for label, _ in noted})), 1.0 if noted else 0.5 if at else 0.0,
-                    [f"{label}@{i}" for label, i in sorted(noted, key=lambda x: (x[1], x[0]))],
+                    ",".join(sorted(own | {label for label, _, _ in named + full})), 1.0 if full else 0.75 if named else 0.5 if at else 0.0,
+                    [dict(zip(NOTICE.names, x, strict=True)) for x in sorted(named + full, key=lambda x: (*x[1:], x[0]))],
                 ))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *map(str, range(8))])
 
     return docs.select(id_of().alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<string>"
+        run,
+        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+        "notices array<struct<label: string, first_word: long, end_word: long>>",
     )
 
 

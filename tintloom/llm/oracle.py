@@ -135,18 +135,19 @@ def license_sql() -> str:
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
         places.append((label, f"[i for i in range(0, len(w) - {len(words) - 1}) if {test}]"))
     more: dict[str, list[str]] = {}
-    for label, template in licenses.TEMPLATES:
+    for label, template in licenses.TEMPLATES + licenses.WHOLE:
         more.setdefault(label, []).append(_pattern(template))
     columns = ", ".join(f"{code} AS p{k}" for k, (_, code) in enumerate(places))
     every = " || ".join(f"p{k}" for k in range(len(places)))
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (label, _) in enumerate(places))
     own = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(joined, '{p}')" for p in patterns) + f" THEN '{label}' END" for label, patterns in more.items())
+    whole = " OR ".join(f"regexp_matches(joined, '{_pattern(template)}')" for _, template in licenses.WHOLE)
     clean = lambda names: f"list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL)))"
     return f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
 p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, {columns} FROM w),
-q AS (SELECT doc_id, len(w) AS n_words, {every} AS hits, {clean(base)} AS base, {clean(own)} AS own FROM p)
+q AS (SELECT doc_id, len(w) AS n_words, {every} AS hits, {clean(base)} AS base, {clean(own)} AS own, {whole} AS whole FROM p)
 SELECT doc_id, n_words, len(hits) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word, array_to_string(base, ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(base || own)), ',') AS labels, CASE WHEN len(own) > 0 THEN 1.0 WHEN len(hits) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q"""
+  array_to_string(list_sort(list_distinct(base || own)), ',') AS labels, CASE WHEN whole THEN 1.0 WHEN len(own) > 0 THEN 0.75 WHEN len(hits) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q"""
 
 
 def oracle_sql() -> dict[str, str]:
