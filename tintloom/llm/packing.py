@@ -37,10 +37,11 @@ class Words:
     """Maps stretches without white space to their ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no word crosses it, so stretches can be encoded one by one. What was met is
-    kept in two generations, so that it stays bounded.
+    kept in two generations, each bounded in entries and in characters, and forgotten when a task ends.
     """
 
     most = 300_000
+    most_chars = 4_000_000
     #: Python takes these for white space, the tokenizer doesn't.
     odd = re.compile("[\x1c-\x1f]").search
     parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -56,6 +57,8 @@ class Words:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        #: Characters of the stretches in `known` and of those in `pieces`.
+        self.known_chars = self.piece_chars = 0
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,17 +100,20 @@ class Words:
                 pieces.update((p, self.plain(p)) for p in new)
         for s, parts in zip(stretches, found, strict=True):
             self.known[s] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-        if len(pieces) > self.most:
+        self.piece_chars += sum(map(len, new))
+        if len(pieces) > self.most or self.piece_chars > self.most_chars:
             pieces.clear()
+            self.piece_chars = 0
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of some texts; what is new in any of them is encoded at once."""
         parted = [t.split() for t in texts]
-        if len(self.known) >= self.most:
-            self.older, self.known = self.known, {}
+        if len(self.known) >= self.most or self.known_chars > self.most_chars:
+            self.older, self.known, self.known_chars = self.known, {}, 0
         new = list(filterfalse(self.known.__contains__, set(chain.from_iterable(parted))))
         if new:
             older = self.older
+            self.known_chars += sum(map(len, new))
             self.known.update((s, older[s]) for s in new if s in older)
             self.learn([s for s in new if s not in older])
         get = self.known.__getitem__
@@ -116,6 +122,7 @@ class Words:
     def forget(self) -> None:
         for held in (self.known, self.older, self.pieces):
             held.clear()
+        self.known_chars = self.piece_chars = 0
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
