@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager, suppress
@@ -220,45 +221,100 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as long as they were ever needed."""
+    """Powers of an odd base and of its inverse modulo 2**64. What was needed is kept, up to a bound."""
 
     base = np.uint64(0x5851F42D4C957F2D)
     inverse = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
+    most_kept = 1 << 21
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            grown = np.full(n, cls.base), np.full(n, cls.inverse)
-            for x in grown:
-                x[0] = 1
-            cls.up, cls.down = np.multiply.accumulate(grown[0]), np.multiply.accumulate(grown[1])
-        return cls.up[:n], cls.down[:n]
+        if len(cls.up) >= n:
+            return cls.up[:n], cls.down[:n]
+        grown = np.full(n, cls.base), np.full(n, cls.inverse)
+        for x in grown:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        if n <= cls.most_kept:
+            cls.up, cls.down = grown
+        return grown
 
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Long texts are cut at blanks into parts of so many characters, and bytes are hashed by windows of so many.
+PART = 400_000
+_blank = re.compile("[ \n]").search
+
+
+def parts_of(texts: list[str], most: int = PART, cut=_blank):
+    """Texts in order, short ones together and each long one by parts that begin at a blank: yields the index of the
+    first text and the texts or the part. A stretch without blanks isn't cut."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        if held and size + len(t) > most:
+            yield first, held
+            held, size = [], 0
+        if len(t) <= most:
+            first = i if not held else first
+            held.append(t)
+            size += len(t)
+            continue
+        begin = 0
+        while begin < len(t):
+            found = cut(t, begin + most)
+            end = found.start() if found else len(t)
+            yield i, [t[begin:end]]
+            begin = end
+    if held:
+        yield first, held
+
+
+def _byte_word_hashes(raw: bytes, window: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and hash of each word of lower-cased UTF-8. A word that goes over windows is summed up piece by piece."""
+    data = np.frombuffer(raw, np.uint8)
+    starts, values = [], []
+    going = 0  # bytes so far of a word that goes on into this window
+    for a in range(0, len(data), window):
+        piece = data[a : a + window]
+        inside = _WORD[piece]
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, stop = edge[::2], edge[1::2]
+        up, down = Powers.get(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        value = (total[stop] - total[start]) * down[start]
+        if going and len(start) and start[0] == 0:
+            values[-1][-1:] += value[:1] * np.uint64(pow(int(Powers.base), going, 2**64))
+            going += int(stop[0])
+            over = len(start) == 1 and stop[0] == len(piece)
+            start, stop, value = start[1:], stop[1:], value[1:]
+            if over:
+                continue
+        going = int(stop[-1] - start[-1]) if len(stop) and stop[-1] == len(piece) else 0
+        if len(start):
+            starts.append(start + a)
+            values.append(value)
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), mix(np.concatenate(values))
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The words of lower-cased texts, in order: the index of the text, and a 64-bit hash.
 
-    Words are runs of letters, digits and characters beyond ASCII; all else parts them.
+    Words are runs of letters, digits and characters beyond ASCII; all else parts them. Beside the result, arrays of
+    one part of a text are held at a time, however long the text.
     """
-    raw = "\n".join(t.lower() for t in texts).encode("utf-8", "surrogatepass")
-    ends = np.cumsum([len(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in texts])
-    data = np.frombuffer(raw + b"\n", np.uint8)
-    inside = _WORD[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.concatenate([[0], edge])
-    start, stop = edge[::2], edge[1::2]
-    up, down = Powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    hashes = mix((total[stop] - total[start]) * down[start])
-    return np.searchsorted(ends, start, side="right"), hashes
+    of, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for first, held in parts_of(texts):
+        raw = [t.lower().encode("utf-8", "surrogatepass") for t in held]
+        start, value = _byte_word_hashes(b"\n".join([*raw, b""]))
+        of.append(first + np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right"))
+        hashes.append(value)
+    return np.concatenate(of), np.concatenate(hashes)
 
 
 def shingle_hashes(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:

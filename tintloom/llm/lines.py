@@ -16,19 +16,21 @@ Lines shorter than ``least_near`` characters are compared exactly, those shorter
 Nulls count as empty texts; a text without lines to drop stays as it is; a document whose lines are all dropped goes.
 A row is known by its doc_id and a 64-bit hash of its text: rows with one doc_id or none are documents of their own,
 in the order of their hashes, and null ids come first; only rows that repeat with id and text (or with no id and the
-same text) count as one document, and each keeps the lines that it keeps. Texts of any length are taken whole. An
-empty table gives an empty result. Only doc_id and text are read; ``dedup`` passes all other columns on, whatever
+same text) count as one document, and each keeps the lines that it keeps. Texts of any length are taken whole, a part
+at a time; only a single line is never cut, and takes some 45 bytes a character. An empty table gives an empty result. Only doc_id and text are read; ``dedup`` passes all other columns on, whatever
 their names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Powers, components, id_of, join_by_key, materialize, mix, slices, small_batches, table, text_of, wanted, wanted_filter
+from .common import NO_ID, Powers, components, id_of, join_by_key, materialize, mix, parts_of, small_batches, table, text_of, tidy, wanted, wanted_filter
 
 #: A key that occurs so often in the sample of lines (one in SAMPLE) is split; at most so many keys are.
 SAMPLE, FREQUENT, MOST_SPLIT = 64, 4, 50_000
@@ -79,6 +81,22 @@ class Lines:
         return self._parities(self.codes.astype(np.uint64) * _K1 >> np.uint64(58), self.begin[which], self.end[which])
 
 
+_feed = re.compile("\n").search
+
+
+def lines_of(texts: list[str], least: int):
+    """Lines of some texts at a time, with the text and the number therein of each line. Long texts are cut at line feeds,
+    so that working arrays stay small; only a single line is never cut."""
+    last, passed = -1, 0
+    for first, held in parts_of(texts, PIECE, _feed):
+        on = first == last and len(held) == 1  # a further part of the text before: it begins with the feed that parts them
+        lines = Lines([held[0][1:]] if on else held, least)
+        if not on:
+            passed = 0
+        yield lines, first + lines.of, passed + lines.number
+        last, passed = first, passed + len(lines.begin)
+
+
 def _segments(size: np.ndarray, ordinal: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and length of a segment within a line of that size."""
     base, rest = size // (edits + 1), size % (edits + 1)
@@ -165,20 +183,25 @@ def occurrences(docs: DataFrame, least: int, least_near: int, edits: int) -> Dat
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, PIECE):
-                lines = Lines(texts[a:b], least)
+            owners, held, sampled, keys = [], [], [], [np.zeros(0, np.uint64)]
+            for lines, of, number in lines_of(batch.column(1).to_pylist(), least):
                 w = lines.chosen
                 h = lines.hashes(lines.begin[w], lines.end[w])
-                rows = pa.StructArray.from_arrays([pa.array(lines.number[w].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(lines.parities(w).view(np.int64)), pa.array(lines.letters(w).view(np.int64))], fields=list(kind))
-                ends = np.searchsorted(lines.of[w], np.arange(b - a + 1)).astype(np.int32)
+                owners.append(of[w])
+                held.append([number[w].astype(np.int32), *(x.view(np.int64) for x in (h, lines.parities(w), lines.letters(w)))])
                 some = (lines.size[w] >= least_near) & (h % np.uint64(SAMPLE) == 0)
-                keys = index_keys(lines, w[some], edits)
-                at = np.searchsorted(lines.of[w[some]], np.arange(b - a + 1)).astype(np.int32) * (edits + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "tag", "lines", "sample"])
+                sampled.append(of[w[some]])
+                keys.append(index_keys(lines, w[some], edits).ravel())
+            if not held:
+                continue
+            rows = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], fields=list(kind))
+            places = np.arange(batch.num_rows + 1)
+            ends = np.searchsorted(np.concatenate(owners), places).astype(np.int32)
+            at = np.searchsorted(np.concatenate(sampled), places).astype(np.int32) * (edits + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(at, pa.array(np.concatenate(keys).view(np.int64)))], names=["doc_id", "tag", "lines", "sample"])
 
     rows = docs.select(F.coalesce(id_of(), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("tag"))
-    return rows.mapInArrow(run, "doc_id long, tag long, lines array<struct<number: int, h: long, parities: long, letters: long>>, sample array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, tag long, lines array<struct<number: int, h: long, parities: long, letters: long>>, sample array<long>")
 
 
 def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) -> DataFrame:
@@ -188,9 +211,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) ->
     def run(batches):
         known: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, PIECE):
-                lines = Lines(texts[a:b], least_near)
+            for lines, _, _ in lines_of(batch.column(0).to_pylist(), least_near):
                 w = lines.chosen
                 all_h = lines.hashes(lines.begin, lines.end)
                 # lines that this task has met already needn't be sent again
@@ -217,7 +238,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray, least_near: int, edits: int) ->
                     k, h = np.concatenate(out_k), np.concatenate(out_h)
                     yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(np.full(len(k), kind, np.int8))], names=["key", "h", "kind"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(run, "key long, h long, kind byte")
+    return docs.select(text_of().alias("text")).mapInArrow(tidy(run), "key long, h long, kind byte")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -267,9 +288,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
     def run(batches):
         known: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, PIECE):
-                lines = Lines(texts[a:b], least_near)
+            for lines, _, _ in lines_of(batch.column(0).to_pylist(), least_near):
                 w = lines.chosen
                 h = lines.hashes(lines.begin[w], lines.end[w])
                 some = np.flatnonzero(wanted(bits.value, h))
@@ -285,7 +304,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, least_near: int) -> DataFrame:
                         out.append(raw[4 * lines.begin[w[j]] : 4 * lines.end[w[j]]].decode("utf-32-le", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(out_h, np.uint64).view(np.int64)), pa.array(out, pa.string())], names=["h", "line"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(run, "h long, line string")
+    found = docs.select(text_of().alias("text")).mapInArrow(tidy(run), "h long, line string")
     out = materialize(found.join(ids, "h", "left_semi").dropDuplicates(["h"]), "lines")
     bits.destroy()
     return out
@@ -387,21 +406,22 @@ def _with_drops(docs: DataFrame, gone: DataFrame, columns: list[Column], schema:
             texts, numbers, hs = (batch.column(i).to_pylist() for i in (n, n + 1, n + 2))
             kept, dropped = list(texts), np.zeros(len(texts), np.int32)
             some = [i for i, x in enumerate(numbers) if x]
-            for a, b in slices([texts[i] for i in some], PIECE):
-                now = some[a:b]
-                lines = Lines([texts[i] for i in now], 0)
-                h = lines.hashes(lines.begin, lines.end).view(np.int64)
-                ends = np.searchsorted(lines.of, np.arange(b - a + 1))
-                for j, i in enumerate(now):
-                    gone_ = set(zip(numbers[i], hs[i], strict=True))
-                    mine = h[ends[j] : ends[j + 1]].tolist()
-                    stay = [t for k, (t, v) in enumerate(zip(texts[i].split("\n"), mine, strict=True)) if (k, v) not in gone_]
-                    dropped[i] = len(mine) - len(stay)
-                    kept[i] = "\n".join(stay)
+            owners, hashed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lines, of, _ in lines_of([texts[i] for i in some], 0):
+                owners.append(of)
+                hashed.append(lines.hashes(lines.begin, lines.end).view(np.int64))
+            h = np.concatenate(hashed)
+            ends = np.searchsorted(np.concatenate(owners), np.arange(len(some) + 1))
+            for j, i in enumerate(some):
+                gone_ = set(zip(numbers[i], hs[i], strict=True))
+                mine = h[ends[j] : ends[j + 1]].tolist()
+                stay = [t for k, (t, v) in enumerate(zip(texts[i].split("\n"), mine, strict=True)) if (k, v) not in gone_]
+                dropped[i] = len(mine) - len(stay)
+                kept[i] = "\n".join(stay)
             count = pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(kept, pa.string()), count, pa.array(dropped)], names=[*batch.schema.names[:n], "kept", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, schema + ", kept string, n_lines int, n_dropped int")
+    return joined.mapInArrow(tidy(run), schema + ", kept string, n_lines int, n_dropped int")
 
 
 def apply_drops(docs: DataFrame, gone: DataFrame) -> DataFrame:

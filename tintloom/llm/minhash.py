@@ -47,6 +47,8 @@ FAR_BOTH = 206
 BLOCK = 1024
 #: Texts are worked on by slices of so many characters.
 PIECE = 400_000
+#: Points of so many distinct shingles are drawn side by side.
+DRAWN = 100_000
 #: A round of leaders that finds links in fewer of its pairs is the last one.
 FEW = 0.1
 #: Bits of a shingle's hash that are kept; the rest of 64 bits tells texts apart while sorting.
@@ -80,7 +82,6 @@ def signatures(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, r
     """n x registers identities (32 bits) of the earliest points; texts without shingles have zeros."""
     time = np.full(n * registers, np.inf)
     who = np.zeros(n * registers, np.uint32)
-    latest = np.full(n, np.inf)
 
     def emit(doc, seed, at):
         """Point of a seed at a time falls into its register."""
@@ -90,6 +91,14 @@ def signatures(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, r
         won = at == time[cell]
         who[cell[won]] = (again[won] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
+    for begin in range(0, len(element), DRAWN):
+        part = slice(begin, begin + DRAWN)
+        _draw(of[part], element[part], count[part], emit, lambda: time.reshape(n, registers).max(1))
+    return who.reshape(n, registers)
+
+
+def _draw(of: np.ndarray, element: np.ndarray, count: np.ndarray, emit, latest_of) -> None:
+    """Emit the points of these elements that may still come before the latest registers."""
     # The rungs that each element reaches: (0, 1], then (1, 2], (2, 4] ... below its count.
     top = np.where(count > 1, np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64), 0) + 1
     row = np.repeat(np.arange(len(element)), top)
@@ -104,7 +113,7 @@ def signatures(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, r
     # What may still give points: range, its first point, whether that is counted, points drawn at this leaf.
     nodes = [doc, el, w, low, size, at, seed, inside, np.zeros(len(doc), np.int64)]
     while len(nodes[0]):
-        latest = time.reshape(n, registers).max(1)
+        latest = latest_of()
         near = nodes[5] < latest[nodes[0]]
         nodes = [x[near] for x in nodes]
         doc, el, w, low, size, at, seed, counted, drawn = nodes
@@ -137,7 +146,6 @@ def signatures(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, r
                 alive = lo < ww
                 parts.append([x[alive] for x in (d, e, ww, lo, half, when, mine, full, np.zeros(len(d), np.int64))])
         nodes = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [x[:0] for x in nodes]
-    return who.reshape(n, registers)
 
 
 def fingerprints(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
