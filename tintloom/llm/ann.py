@@ -4,15 +4,14 @@ Unit vectors are taken relative to a centre (the mean of a bounded sample), rota
 and kept as the signs of their components, packed 64 to a word, with two correction scalars: the length of the
 residual, and the inner product of the residual's direction with its code. A query is rotated once and quantised to
 a few bits, so that its inner product with a code is a sum of bit counts. The estimate's error is bounded by
-eps * sqrt((1 - f^2) / (f^2 (dim - 1))), f being the second scalar. Of each block of candidates, those whose bound reaches the k-th best lower bound are reranked by exact cosines in double precision.
+eps * sqrt((1 - f^2) / (f^2 (dim - 1))), f being the second scalar. Of each
+block of candidates, those whose bound reaches the k-th best lower bound are reranked by exact cosines in double
+precision.
 
 Each vector is encoded once. Queries and candidates, with codes and vectors, meet in blocks of bounded size; each block
 sends its k nearest of each query, and the overall k nearest are chosen from those. (Codes alone would be a tenth of
 the bytes, but where vectors point in all directions a quarter of all candidates are within the bounds, and a join that
-fetches the vectors of these moves more.) Ties reaches the k-th best lower bound are reranked by exact cosines in double precision.
-
-Queries and candidates meet in blocks of bounded size; each block sends its k nearest of each query, and the
-overall k nearest are chosen from those. Ties go to the smaller vec_id. Vectors that are null, zero or hold null or
+fetches the vectors of these moves more.) Ties go to the smaller vec_id. Vectors that are null, zero or hold null or
 non-finite components take no part; vectors of different length aren't compared. Rows that repeat a vec_id are
 candidates of their own, except for queries of that id; a query id with several vectors asks for the first of them in
 order of its bytes. An empty table gives an empty result. Only the two named columns are read.
