@@ -274,6 +274,12 @@ def _log_sql() -> str:
     return f"SELECT 's' || slide_id || '_' || tx || '_' || ty filename, {one(1)} tiles_total, {one(1)} tiles_saved, {one(0)} tiles_skipped, 'HistMatch-Reference' \"method\", CASE WHEN skipped THEN 'nothing but background' END error FROM save"
 
 
+def _run_log_sql() -> str:
+    some = lambda n: f"CAST(CASE WHEN count_if(NOT skipped) > 0 THEN {n} END AS INT)"
+    whole = f"SELECT 's' || slide_id filename, {some('count(*)')} tiles_total, {some('count_if(NOT skipped)')} tiles_saved, {some('count_if(skipped)')} tiles_skipped, 'HistMatch-Reference' \"method\", CASE WHEN count_if(NOT skipped) = 0 THEN 'nothing but background' END error FROM save GROUP BY slide_id"
+    return f"{whole} UNION ALL {_log_sql()}"
+
+
 def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
     stat = " ".join(f"{k}_{c}" for c in "lab" for k in ("mu", "sigma"))
     q = {
@@ -335,7 +341,7 @@ def build(wsi_suffixes, image_suffixes) -> dict[str, str]:
         "wasserstein": _wasserstein("im"),
         "channel_qc": f"SELECT * FROM ({_qc('im')}) JOIN ({_wasserstein('im')}) USING (slide_id, ch)",
         "lab_qc": _labqc("(SELECT slide_id, r, g, b, r2, g2, b2 FROM ir)"),
-        "run_log": _log_sql(),
+        "run_log": _run_log_sql(),
         "run_summary": f"SELECT count(*) slides, CAST(count_if(error IS NULL) AS BIGINT) completed, CAST(count_if(error IS NOT NULL) AS BIGINT) errors, CAST(coalesce(sum(CASE WHEN error IS NULL THEN tiles_saved END), 0) AS BIGINT) tiles_saved, CAST(coalesce(sum(CASE WHEN error IS NULL THEN tiles_skipped END), 0) AS BIGINT) tiles_skipped FROM ({_log_sql()})",
         "error_rows": f"SELECT filename, error FROM ({_log_sql()}) WHERE error IS NOT NULL",
         "timing_report": "SELECT event_type label, count(*) calls, round(sum(value / 1000), 6) total_s, round(avg(value / 1000) * 1000, 6) mean_ms, round(max(value / 1000) * 1000, 6) max_ms FROM events GROUP BY 1",
