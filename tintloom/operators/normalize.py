@@ -142,7 +142,7 @@ def keep_background(normalized: DataFrame) -> DataFrame:
 def np_histogram_match(image: np.ndarray, profile: Profile) -> np.ndarray:
     out = np.empty_like(image)
     for i in range(3):
-        own = np.cumsum(np.bincount(image[..., i].ravel(), minlength=256)) / image[..., i].size
+        own = profile.extra["source_cdf"][i] if "source_cdf" in profile.extra else np.cumsum(np.bincount(image[..., i].ravel(), minlength=256)) / image[..., i].size
         out[..., i] = np.searchsorted(profile.cdf[:, i], own, "left").clip(0, 255).astype(np.uint8)[image[..., i]]
     return out
 

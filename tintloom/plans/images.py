@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -83,15 +85,22 @@ def fit_images(images: DataFrame, kind: str) -> Profile:
 
 
 def _channel_rows(before: np.ndarray, after: np.ndarray) -> list[tuple]:
-    """Quality of each RGB channel from the joint counts of values before and after."""
+    """Quality of each RGB channel from the counts of values before and after."""
+    return _count_rows(_counts(before), _counts(after))
+
+
+def _counts(image: np.ndarray) -> np.ndarray:
+    return np.stack([np.bincount(image[..., i].ravel(), minlength=256) for i in range(3)])
+
+
+def _count_rows(before: np.ndarray, after: np.ndarray) -> list[tuple]:
     out = []
-    for i, ch in enumerate("RGB"):
-        joint = np.bincount(before[..., i].ravel().astype(np.int64) << 8 | after[..., i].ravel(), minlength=1 << 16).reshape(256, 256)
+    for ch, *both in zip("RGB", before, after, strict=True):
         row, v = [], np.arange(256)
-        for n in (joint.sum(1), joint.sum(0)):
+        for n in both:
             total, s, q = int(n.sum()), int((n * v).sum()), int((n * v * v).sum())
             row += [s / total, float(np.sqrt(float(total * q - s * s))) / total]
-        gap = np.abs(np.cumsum(joint.sum(1)) - np.cumsum(joint.sum(0))) / joint.sum()
+        gap = np.abs(np.cumsum(both[0]) - np.cumsum(both[1])) / both[0].sum()
         out.append((ch, *row, float(gap.sum() / 256)))
     return out
 
@@ -144,6 +153,95 @@ def normalized(images: DataFrame, profile: Profile, key: str = "path", *, folder
     return images.select(*dict.fromkeys([key, *(["stem"] if folder is not None else [])]), "h", "w", "pixels", "error").mapInPandas(run, schema)
 
 
+# Images by parts: slides of any size, of which no task holds a whole one.
+
+
+def _gathered(parts: DataFrame, measure, add, finish, schema: str) -> DataFrame:
+    """What is measured of each part (numbers, always equally many), added up by slide: within tasks, then over them.
+
+    A task sends one row for each slide it has met; ``finish`` makes the slide's rows (without its id) of the sum.
+    """
+
+    def frame(held):
+        return pd.DataFrame({"slide_id": np.array(list(held), np.int32), "state": list(held.values())})
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                own = np.asarray(measure(r), np.float64)
+                held[r.slide_id] = add(held[r.slide_id], own) if r.slide_id in held else own
+            if len(held) > 1_000:
+                yield frame(held)
+                held = {}
+        if held:
+            yield frame(held)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        slide = rows.slide_id.iloc[0]
+        return pd.DataFrame([(slide, *row) for row in finish(reduce(add, map(np.asarray, rows.state)))])
+
+    return parts.mapInPandas(run, "slide_id int, state array<double>").groupBy("slide_id").applyInPandas(one, f"slide_id int, {schema}")
+
+
+def _moments(values: np.ndarray) -> np.ndarray:
+    """Number, means, and sums of squares about the means."""
+    mean = values.mean(0)
+    return np.concatenate([[len(values)], mean, ((values - mean) ** 2).sum(0)])
+
+
+def _with(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The moments of two sets of values together."""
+    k, n = len(a) // 2, a[0] + b[0]
+    gap = b[1 : k + 1] - a[1 : k + 1]
+    return np.concatenate([[n], a[1 : k + 1] + gap * (b[0] / n), a[k + 1 :] + b[k + 1 :] + gap * gap * (a[0] * b[0] / n)])
+
+
+def _lab(r) -> np.ndarray:
+    return np_rgb_to_lab(np.frombuffer(r.pixels, np.uint8).reshape(-1, 3))
+
+
+def fit_parts(parts: DataFrame, kind: str) -> tuple[Profile, DataFrame]:
+    """The target of a batch whose images come by parts, as ``fit_images`` has it, and each image's own statistics."""
+    parts = parts.select("slide_id", "pixels")
+    if kind == "histogram":
+        measure = lambda r: _counts(np.frombuffer(r.pixels, np.uint8).reshape(-1, 3)).ravel()
+        own = _gathered(parts, measure, np.add, lambda n: [(n.astype(np.int64).tolist(),)], "hist array<long>").persist(StorageLevel.DISK_ONLY)
+        counts = packed.histogram_rows(own.select(F.lit(0).alias("slide_id"), "hist")).drop("slide_id")
+        return normalize.cdf_profile(stats.cdf(stats.dense(counts, []), [])), own
+    finish = lambda m: [tuple(np.stack([m[1:4], np.sqrt(m[4:] / m[0])], 1).ravel().tolist())]
+    own = _gathered(parts, lambda r: _moments(_lab(r)), _with, finish, ", ".join(f"{k}_{c} double" for c in "lab" for k in ("mu", "sigma"))).persist(StorageLevel.DISK_ONLY)
+    return normalize.stats_profile(stats.mean_stats(own, []).first()), own
+
+
+def normalized_parts(parts: DataFrame, profile: Profile, own: DataFrame) -> DataFrame:
+    """Quality rows (slide_id, ch, ...) of images that come by parts, three for each: every part is normalized by the
+    statistics of its whole image. A row an image is joined to the parts, and only sums leave the tasks."""
+    function = normalize._REGISTRY[profile.kind]
+    image = lambda r: np.frombuffer(r.pixels, np.uint8).reshape(1, -1, 3)
+    if profile.kind == "histogram":
+
+        def measure(r):
+            shares = np.asarray(r.hist).reshape(3, 256).cumsum(1)
+            after = function(image(r), replace(profile, extra={"source_cdf": shares / shares[:, -1:]}))
+            return np.concatenate([_counts(image(r)).ravel(), _counts(after).ravel()])
+
+        rows = parts.select("slide_id", "pixels").join(F.broadcast(own), "slide_id")  # a row an image
+        return _gathered(rows, measure, np.add, lambda n: _count_rows(*n.astype(np.int64).reshape(2, 3, 256)), f"ch string, {QC['histogram']}")
+
+    def measure(r):
+        a = _lab(r)
+        b = np_rgb_to_lab(function(image(r), normalize.of_slide(profile, r))).reshape(-1, 3)
+        return _moments(np.concatenate([a, b, np.abs(b - a)], 1))
+
+    def finish(m):
+        mean, dev = m[1:10].reshape(3, 3), np.sqrt(m[10:] / m[0]).reshape(3, 3)
+        return [(ch, *map(float, (mean[0, i], dev[0, i], mean[1, i], dev[1, i], mean[2, i]))) for i, ch in enumerate("Lab")]
+
+    rows = normalize.with_moments(parts.select("slide_id", "pixels"), F.broadcast(own))  # a row an image
+    return _gathered(rows, measure, _with, finish, f"ch string, {QC['reinhard']}")
+
+
 def run_images(spark: SparkSession, folder: str, output: str, target: Profile | str, *, ending: str = "tif", log: str | None = "", timings: quality.Timings | None = None) -> DataFrame:
     """Normalize the images of a folder; returns the quality rows (filename, channel, ..., error).
 
