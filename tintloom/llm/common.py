@@ -179,16 +179,48 @@ def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], times: str,
     return near.unionByName(far)
 
 
+#: So many edges or fewer are joined by one task: each step over them would have more tasks than rows are worth.
+FEW_EDGES = 200_000
+
+
+def smallest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node of each one's component. Roots with a smaller neighbour are hung on it
+    until each edge is within one tree."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[root]
+
+
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]  # FEW_EDGES at most
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in smallest_of(*np.concatenate(held, 1))], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(tidy(run), "node long, component long")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component being the smallest node.
 
     Alternates large-star and small-star steps until the set of edges stands still. Each step is one
-    aggregation with partial sums and one join, so a hub is never gathered into one group.
+    aggregation with partial sums and one join, so a hub is never gathered into one group. FEW_EDGES or fewer take none.
     Nodes without an edge to another node don't appear.
     """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    apart = materialize(edges.where("a <> b").select("a", "b"), "edges")
+    if apart.count() <= FEW_EDGES:
+        return _components_of_few(apart)
+    now = materialize(apart.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    discard(apart)
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
