@@ -44,13 +44,19 @@ class Words:
     most_chars = 4_000_000
     #: Python takes these for white space, the tokenizer doesn't.
     odd = re.compile("[\x1c-\x1f]").search
-    parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+    #: The tokenizer's pattern, and line feeds, which part stretches here.
+    parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
+    #: Stands for a line feed among ids; no id is as large.
+    mark = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for words that are in normal form and parted already
+        self.plainer = Tokenizer(self.tokenizer.model)
+        self.plainer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ids = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(ids.values()) + 1, bool)
         self.closes[[i for t, i in ids.items() if t.endswith("</w>")]] = True
@@ -75,21 +81,14 @@ class Words:
                 out[i] = s
         return out
 
-    def words_in(self, s: str) -> list[str]:
-        if s.isascii():  # the commonest shapes, without the pattern
-            if s.isalpha():
-                return [s]
-            if s[-1] in ".,;:!?" and s[:-1].isalpha():
-                return [s[:-1], s[-1]]
-        return self.parts(s)
-
     def learn(self, stretches: list[str]) -> None:
         """Encode what is new, all words in one call; the last token of each word tells where it ends."""
-        found = [self.words_in(s) for s in self.normal(stretches)]
+        found = self.parts("\n".join([*self.normal(stretches), ""]))
         pieces = self.pieces
-        new = list({p for parts in found for p in parts if p not in pieces})
+        pieces["\n"] = self.mark
+        new = list(set(found).difference(pieces))
         if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plainer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(new):
                 data, begin = ids.tobytes(), 0
@@ -98,8 +97,9 @@ class Words:
                     begin = end
             else:
                 pieces.update((p, self.plain(p)) for p in new)
-        for s, parts in zip(stretches, found, strict=True):
-            self.known[s] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        data = b"".join(map(pieces.__getitem__, found))
+        ends = np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF) * 4
+        self.known.update((s, data[a:b]) for s, a, b in zip(stretches, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True))
         self.piece_chars += sum(map(len, new))
         if len(pieces) > self.most or self.piece_chars > self.most_chars:
             pieces.clear()
