@@ -13,18 +13,16 @@ whatever other columns are named.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, materialize, slices, small_batches, table, text_of
+from .common import id_of, materialize, small_batches, table, text_of
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -33,101 +31,224 @@ RANKED = 1000
 SLOTS = "length int, low long, high long, each long, first_sequence long, first_offset long"
 
 
+def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches flat[start : start + length], one after the other."""
+    out, at = np.empty(int(length.sum()), flat.dtype), 0
+    for i in range(0, len(start), 1 << 16):  # indices of some stretches at a time
+        a, n = start[i : i + (1 << 16)], length[i : i + (1 << 16)]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        np.take(flat, np.repeat(a - ends + n, n) + np.arange(total), out=out[at : at + total])
+        at += total
+    return out
+
+
+class Ids:
+    """Distinct strings in the order in which they were met, and the ids of each."""
+
+    def __init__(self):
+        self.strings = pa.array([], pa.string())
+        self.ids = np.zeros(0, np.uint32)
+        self.start = self.length = np.zeros(0, np.int64)
+        self.chars = 0
+
+    def __iter__(self):
+        return iter(self.strings.to_pylist())
+
+    def add(self, strings: pa.Array, ids: np.ndarray, length: np.ndarray) -> None:
+        self.chars += pc.sum(pc.utf8_length(strings)).as_py() or 0
+        self.strings = pa.concat_arrays([self.strings, strings])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def places(self, strings: pa.Array, learn) -> np.ndarray:
+        """The place here of each string. What isn't here yet is added: learn(new) gives an order to add them in, and
+        their ids and numbers of ids in that order."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary
+        known = pc.index_in(distinct, value_set=self.strings)
+        place = known.fill_null(-1).to_numpy()
+        if known.null_count:
+            place = place.copy()
+            missing = np.flatnonzero(place < 0)
+            order, ids, length = learn(distinct.take(pa.array(missing)))
+            place[missing[order]] = np.arange(len(missing)) + len(self.strings)
+            self.add(distinct.take(pa.array(missing[order])), ids, length)
+        return place[coded.indices.to_numpy()]
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at some places, one after the other, and how many each has."""
+        length = self.length[places]
+        return gather(self.ids, self.start[places], length), length
+
+
 class Words:
-    """Maps stretches without white space to their ids as little-endian unsigned 32-bit numbers.
+    """Maps texts to their ids, by Arrow and NumPy over many texts at once.
 
-    The tokenizer drops white space and no word crosses it, so stretches can be encoded one by one. What was met is
-    kept in two generations, each bounded in entries and in characters, and forgotten when a task ends.
+    The tokenizer drops white space and no word crosses it, so stretches without white space are encoded one by one, each
+    distinct one once. What was met is kept, stretches in two generations, bounded in entries and in characters, and
+    forgotten when a task ends.
     """
 
-    most = 300_000
-    most_chars = 4_000_000
-    #: Python takes these for white space, the tokenizer doesn't.
-    odd = re.compile("[\x1c-\x1f]").search
-    #: The tokenizer's pattern, and line feeds, which part stretches here.
-    parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
-    #: Stands for a line feed among ids; no id is as large.
-    mark = b"\xff\xff\xff\xff"
+    most = 500_000
+    most_chars = 8_000_000
+    #: So many new words are encoded by one call.
+    at_once = 20_000
+    #: Python and Arrow take these for white space, the tokenizer doesn't.
+    odd = "[\x1c-\x1f]"
+    #: Kinds of characters in the tokenizer's pattern: white space parts, numbers stand alone, runs of the others are words.
+    SPACE, LETTER, NUMBER, OTHER = range(1, 5)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # for words that are in normal form and parted already
+        # for words that are in normal form, parted and written in the characters that stand for bytes
         self.plainer = Tokenizer(self.tokenizer.model)
-        self.plainer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plainer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The character that stands for each byte; the space goes on to part words. Bytes that are in no UTF-8 have none.
+        self.byte_chars = np.zeros(256, "<u4")
+        for s in map(chr, [*range(0x80), *range(0x80, 0x800, 0x20), *range(0x80, 0xC0), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x110000, 0x400)]):
+            self.byte_chars[list(s.encode())] = [ord(c) for c in level.pre_tokenize_str(s)[0][0]]
+        self.byte_chars[0x20] = 0x20
         ids = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(ids.values()) + 1, bool)
         self.closes[[i for t, i in ids.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        #: Characters of the stretches in `known` and of those in `pieces`.
-        self.known_chars = self.piece_chars = 0
+        #: The kinds of the characters met, by code point; 0: not met yet.
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.older, self.pieces = Ids(), Ids(), self.no_pieces()
+
+    def no_pieces(self) -> Ids:
+        """No words yet; a space is none, it has no ids."""
+        held = Ids()
+        held.add(pa.array([" "]), held.ids, np.zeros(1, np.int64))
+        return held
+
+    def full(self, held: Ids) -> bool:
+        return len(held.strings) > self.most or held.chars > self.most_chars
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def normal(self, stretches: list[str]) -> list[str]:
-        """Normal forms: the tokenizer's own for what isn't ASCII, in one call; white space parts them safely."""
-        out = [s.lower() for s in stretches]
-        other = [i for i, s in enumerate(stretches) if not s.isascii()]
-        if other:
-            found = self.tokenizer.normalizer.normalize_str(" ".join([stretches[i] for i in other])).split(" ")
-            if len(found) != len(other):
-                found = [self.tokenizer.normalizer.normalize_str(stretches[i]) for i in other]
-            for i, s in zip(other, found, strict=True):
-                out[i] = s
-        return out
-
-    def learn(self, stretches: list[str]) -> None:
-        """Encode what is new, all words in one call; the last token of each word tells where it ends."""
-        found = self.parts("\n".join([*self.normal(stretches), ""]))
-        pieces = self.pieces
-        pieces["\n"] = self.mark
-        new = list(set(found).difference(pieces))
-        if new:
-            ids = np.array(self.plainer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(new):
-                data, begin = ids.tobytes(), 0
-                for p, end in zip(new, (ends * 4).tolist(), strict=True):
-                    pieces[p] = data[begin:end]
-                    begin = end
+    def plain_of(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some strings, one after the other, and how many each has: by the tokenizer's own call for each."""
+        each = [np.frombuffer(self.plain(s), "<u4") for s in strings.to_pylist()]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def kind_of(self, char: str) -> int:
+        """The kind of a character, as the tokenizer itself parts it."""
+        part = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        found = len(part(f"a{char}a"))  # 1: a letter, 2: dropped
+        if found < 3:
+            return self.LETTER if found == 1 else self.SPACE
+        return self.OTHER if len(part(f"!{char}!")) == 1 else self.NUMBER
+
+    def parts(self, text: str) -> np.ndarray:
+        r"""Where words begin in a text of normal form, and its spaces: by the tokenizer's pattern
+        's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = self.kind[points]
+        if not kind.all():
+            for p in np.unique(points[kind == 0]).tolist():
+                self.kind[p] = self.kind_of(chr(p))
+            kind = self.kind[points]
+        begins = np.ones(len(kind), bool)
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= (kind == self.NUMBER) | (kind == self.SPACE)
+        # an apostrophe that begins a word takes some letters after it along
+        marks = np.flatnonzero((points == 0x27) & begins)
+        after = np.concatenate([points, np.zeros(2, "<u4")])
+        first, second = after[marks + 1], after[marks + 2]
+        two = (first == ord("r")) & (second == ord("e")) | (first == ord("v")) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+        one = np.isin(first, [ord(c) for c in "stmd"])
+        begins[marks[one | two] + 1] = False
+        nexts = np.concatenate([marks[one] + 2, marks[two] + 3])
+        begins[nexts[nexts < len(kind)]] = True
+        return np.flatnonzero(begins)
+
+    def learn_pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode new words, many by one call; the last token of each word tells where it ends."""
+        ids, lengths = [], []
+        for i in range(0, len(new), self.at_once):
+            some = new.slice(i, self.at_once)
+            text = self.byte_chars[np.frombuffer(joined(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            found = np.array(self.plainer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[found]) + 1
+            if len(ends) == len(some):
+                ids.append(found)
+                lengths.append(np.diff(ends, prepend=0))
             else:
-                pieces.update((p, self.plain(p)) for p in new)
-        data = b"".join(map(pieces.__getitem__, found))
-        ends = np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF) * 4
-        self.known.update((s, data[a:b]) for s, a, b in zip(stretches, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True))
-        self.piece_chars += sum(map(len, new))
-        if len(pieces) > self.most or self.piece_chars > self.most_chars:
-            pieces.clear()
-            self.piece_chars = 0
+                for held, x in zip((ids, lengths), self.plain_of(some), strict=True):
+                    held.append(x)
+        return np.arange(len(new)), np.concatenate(ids), np.concatenate(lengths)
+
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode new stretches; what is in the older generation is taken from there."""
+        at = pc.index_in(new, value_set=self.older.strings).fill_null(-1).to_numpy()
+        plain = pc.string_is_ascii(new).to_numpy(zero_copy_only=False)
+        old, low, other = np.flatnonzero(at >= 0), np.flatnonzero((at < 0) & plain), np.flatnonzero((at < 0) & ~plain)
+        ids, length = self.older.of(at[old])
+        texts = [joined(new.take(pa.array(low))).lower()] if len(low) else []
+        if len(other):
+            texts.append(self.tokenizer.normalizer.normalize_str(joined(new.take(pa.array(other)))))
+        if not texts:
+            return old, ids, length
+        fresh = np.concatenate([low, other])
+        text = " ".join([*texts, ""])  # a space after each stretch
+        new_ids, new_length = self.encode_normal(text) if text.count(" ") == len(fresh) else self.plain_of(new.take(pa.array(fresh)))
+        return np.concatenate([old, fresh]), np.concatenate([ids, new_ids]), np.concatenate([length, new_length])
+
+    def encode_normal(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches in normal form with a space after each, and how many each has."""
+        data = text.encode()
+        begins = self.parts(text)
+        if len(data) > len(text):
+            begins = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)[begins]
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data))
+        if self.full(self.pieces):
+            self.pieces = self.no_pieces()
+        ids, length = self.pieces.of(self.pieces.places(pieces, self.learn_pieces))
+        ends = np.cumsum(length)[np.frombuffer(data, np.uint8)[begins] == 0x20]
+        return ids, np.diff(ends, prepend=0)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and where each text's begin, with the end of the last."""
+        odd = pc.match_substring_regex(texts, self.odd)
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        # Arrow may leave white space in what it splits off the end of a text
+        parted = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.if_else(odd, "", texts) if len(odd_at) else texts))
+        offsets = parted.offsets.to_numpy()
+        if self.full(self.known):
+            self.older, self.known = self.known, Ids()
+        ids, length = self.known.of(self.known.places(parted.values.slice(offsets[0], offsets[-1] - offsets[0]), self.learn))
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])[offsets - offsets[0]]
+        if len(odd_at):
+            each = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for i in odd_at.tolist():
+                each[i] = np.frombuffer(self.plain(texts[i].as_py()), "<u4")
+            ids, bounds = np.concatenate(each), np.cumsum([0, *map(len, each)])
+        return ids, bounds
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of some texts; what is new in any of them is encoded at once."""
-        parted = [t.split() for t in texts]
-        if len(self.known) >= self.most or self.known_chars > self.most_chars:
-            self.older, self.known, self.known_chars = self.known, {}, 0
-        new = list(filterfalse(self.known.__contains__, set(chain.from_iterable(parted))))
-        if new:
-            older = self.older
-            self.known_chars += sum(map(len, new))
-            self.known.update((s, older[s]) for s in new if s in older)
-            self.learn([s for s in new if s not in older])
-        get = self.known.__getitem__
-        return [self.plain(t) if self.odd(t) else b"".join(map(get, p)) for t, p in zip(texts, parted, strict=True)]
-
-    def forget(self) -> None:
-        for held in (self.known, self.older, self.pieces):
-            held.clear()
-        self.known_chars = self.piece_chars = 0
+        ids, bounds = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
+def joined(strings: pa.Array) -> str:
+    """Strings, parted by spaces."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(strings)], strings), " ")[0].as_py()
+
+
 @lru_cache(2)
 def words(path: str) -> Words:
     return Words(path)
@@ -147,14 +268,17 @@ def encode_pieces(docs: DataFrame, capacity: int, path: str | None = None) -> Da
             code = words(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            lengths, crcs = [], []
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, 200_000):
-                for ids in code.encode_all(texts[a:b]):
-                    data = memoryview(ids + end)
-                    lengths.append(len(data) // 4)
-                    crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=names)
+            ids, bounds = code.encode_array(batch.column(2))
+            data, crcs = memoryview(ids.astype("<u4", copy=False)).cast("B"), []
+            for a, b in zip((bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist(), strict=True):
+                own = [zlib.crc32(data[i : min(i + 4 * capacity, b)]) for i in range(a, b, 4 * capacity)]
+                if (b - a) % (4 * capacity):  # the end mark goes into the last window
+                    own[-1] = zlib.crc32(end, own[-1])
+                else:
+                    own.append(zlib.crc32(end))
+                crcs.append(own)
+            lengths = pa.array(np.diff(bounds) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lengths, pa.array(crcs, pa.list_(pa.int64()))], names=names)
         code.forget()  # the worker goes on with other tasks
 
     rows = docs.select(id_of().alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), text_of().alias("text"))
