@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, materialize, small_batches, table, text_of
+from .common import id_of, materialize, small_batches, table, text_of, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -43,6 +43,14 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return out
 
 
+def found_in(strings: pa.Array, held: pa.Array) -> np.ndarray:
+    """The place in held, or -1, of each of some strings; both are distinct. Only strings, the fewer, are put into a table."""
+    out = np.full(len(strings), -1)
+    at = pc.index_in(held, value_set=strings)
+    out[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return out
+
+
 class Ids:
     """Distinct strings in the order in which they were met, and the ids of each."""
 
@@ -67,11 +75,9 @@ class Ids:
         their ids and numbers of ids in that order."""
         coded = strings.dictionary_encode()
         distinct = coded.dictionary
-        known = pc.index_in(distinct, value_set=self.strings)
-        place = known.fill_null(-1).to_numpy()
-        if known.null_count:
-            place = place.copy()
-            missing = np.flatnonzero(place < 0)
+        place = found_in(distinct, self.strings)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
             order, ids, length = learn(distinct.take(pa.array(missing)))
             place[missing[order]] = np.arange(len(missing)) + len(self.strings)
             self.add(distinct.take(pa.array(missing[order])), ids, length)
@@ -94,7 +100,7 @@ class Words:
     most = 500_000
     most_chars = 8_000_000
     #: So many new words are encoded by one call.
-    at_once = 20_000
+    at_once = 5_000
     #: Python and Arrow take these for white space, the tokenizer doesn't.
     odd = "[\x1c-\x1f]"
     #: Kinds of characters in the tokenizer's pattern: white space parts, numbers stand alone, runs of the others are words.
@@ -190,7 +196,7 @@ class Words:
 
     def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encode new stretches; what is in the older generation is taken from there."""
-        at = pc.index_in(new, value_set=self.older.strings).fill_null(-1).to_numpy()
+        at = found_in(new, self.older.strings)
         plain = pc.string_is_ascii(new).to_numpy(zero_copy_only=False)
         old, low, other = np.flatnonzero(at >= 0), np.flatnonzero((at < 0) & plain), np.flatnonzero((at < 0) & ~plain)
         ids, length = self.older.of(at[old])
@@ -282,7 +288,7 @@ def encode_pieces(docs: DataFrame, capacity: int, path: str | None = None) -> Da
         code.forget()  # the worker goes on with other tasks
 
     rows = docs.select(id_of().alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, salt long, doc_tokens long, crcs array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, salt long, doc_tokens long, crcs array<long>")
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
